@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.llm import chat_format, license_scan
+from assayframe.llm import _tokens, chat_format, license_scan, packing, token_file
+from assayframe.llm._shared import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,10 +51,22 @@ SELECT conv_id, count(*) AS n_turns,
 FROM formed GROUP BY conv_id"""
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), _tokens.default_path())
+
+
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "ids")
+    token_file.write_ids(table(spark, sf_dir, "documents"), path, _tokens.default_path())
+    return token_file.read_ids(spark, path, with_ids=False)
+
+
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
         "op5_chat_format": op5_chat_format,
+        "op7_best_fit_packing": op7_best_fit_packing,
+        "op9_token_file": op9_token_file,
     }
 
 
