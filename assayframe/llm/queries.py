@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.llm import _tokens, chat_format, license_scan, packing, token_file
+from assayframe.llm import _tokens, chat_format, decontaminate, license_scan, packing, pivot_topk, token_file
 from assayframe.llm._shared import shared_path
 
 
@@ -51,6 +51,40 @@ SELECT conv_id, count(*) AS n_turns,
 FROM formed GROUP BY conv_id"""
 
 
+def op4_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = pivot_topk.usable(table(spark, sf_dir, "embeddings"))
+    return pivot_topk.top_k(vectors, vectors.where(F.pmod("vec_id", F.lit(50)) == 0), 5)
+
+
+OP4_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP6_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+items AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS t
+    FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS t FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, sizes)),
+hits AS (SELECT doc_id, item_id, i, p.n FROM places p JOIN windows USING (n, t)),
+words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY 1),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hits) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _tokens.default_path())
 
@@ -64,11 +98,13 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
+        "op4_pivot_topk": op4_pivot_topk,
         "op5_chat_format": op5_chat_format,
+        "op6_decontamination": op6_decontamination,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op9_token_file": op9_token_file,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_license_scan": license_scan.oracle(), "op5_chat_format": OP5_SQL}
+    return {"op1_license_scan": license_scan.oracle(), "op4_pivot_topk": OP4_SQL, "op5_chat_format": OP5_SQL, "op6_decontamination": OP6_SQL}
