@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.llm import _tokens, chat_format, decontaminate, license_scan, packing, pivot_topk, token_file
+from assayframe.llm import _tokens, chat_format, decontaminate, license_scan, ngram_join, packing, pivot_topk, token_file
 from assayframe.llm._shared import shared_path
 
 
@@ -51,6 +51,11 @@ SELECT conv_id, count(*) AS n_turns,
 FROM formed GROUP BY conv_id"""
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = ngram_join.near_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op4_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = pivot_topk.usable(table(spark, sf_dir, "embeddings"))
     return pivot_topk.top_k(vectors, vectors.where(F.pmod("vec_id", F.lit(50)) == 0), 5)
@@ -98,6 +103,7 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
+        "op2_ngram_join": op2_ngram_join,
         "op4_pivot_topk": op4_pivot_topk,
         "op5_chat_format": op5_chat_format,
         "op6_decontamination": op6_decontamination,
