@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.llm import _tokens, chat_format, decontaminate, license_scan, ngram_join, packing, pivot_topk, token_file
+from assayframe.llm import _tokens, chat_format, decontaminate, license_scan, ngram_join, packing, pivot_topk, token_file, toxicity
 from assayframe.llm._shared import shared_path
 
 
@@ -94,6 +94,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _tokens.default_path())
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.held_out)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "ids")
     token_file.write_ids(table(spark, sf_dir, "documents"), path, _tokens.default_path())
@@ -108,6 +115,7 @@ def queries() -> dict:
         "op5_chat_format": op5_chat_format,
         "op6_decontamination": op6_decontamination,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_toxicity": op8_toxicity,
         "op9_token_file": op9_token_file,
     }
 
