@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.llm import _tokens, chat_format, decontaminate, license_scan, ngram_join, packing, pivot_topk, token_file, toxicity
+from assayframe.llm import _tokens, chat_format, decontaminate, license_scan, ngram_join, packing, pivot_topk, quality, token_file, toxicity
 from assayframe.llm._shared import shared_path
 
 
@@ -56,6 +56,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = pivot_topk.usable(table(spark, sf_dir, "embeddings"))
     return pivot_topk.top_k(vectors, vectors.where(F.pmod("vec_id", F.lit(50)) == 0), 5)
@@ -111,6 +116,7 @@ def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
         "op2_ngram_join": op2_ngram_join,
+        "op3_quality": op3_quality,
         "op4_pivot_topk": op4_pivot_topk,
         "op5_chat_format": op5_chat_format,
         "op6_decontamination": op6_decontamination,
