@@ -12,8 +12,8 @@ share min(l, l') of the longer prefixes before its whole sets are compared.
 
 Order of work. (1) In each bucket of a prefix shingle, members are compared with the bucket's hub, the member
 that meets most others; the links found give components. (2) Only pairs of different components that meet in a
-bucket can still change anything; they are filtered by size, by a parity bitmap of 1024 bits (bits that differ are
-shingles that differ, so too many rule a link out), by the prefix test, and then compared. So a large group of near
+bucket can still change anything; they are filtered by size, by a parity bitmap (bits that differ are shingles that
+differ, so too many rule a link out), by the prefix test, and then compared. So a large group of near
 copies costs a comparison for each member and bucket hub, not one for each pair, and no link that joins two
 components is missed. ``links`` holds the links found: each component is connected by them, but pairs inside a
 component are not all listed.
@@ -29,10 +29,11 @@ only if no member has an id; an empty table gives no row; extra columns are igno
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,7 +48,7 @@ SKETCH_BITS, SLICE_BITS = 20, 14
 _PARTS = 256
 #: a shingle is frequent from this estimate on, or from this multiple of the sketch's mean load
 HOT, HOT_MEANS, SALTS = 20_000, 8, 64
-PARITY_LONGS = 16
+PARITY_LONGS, FOLDED = 16, 4
 _CHUNK = 1 << 20
 
 
@@ -78,6 +79,12 @@ def _class_of(own: np.ndarray) -> int | None:
     return int(both.view(np.int64)[0])
 
 
+def _parity(own: np.ndarray) -> np.ndarray:
+    """Which of 1024 buckets an odd number of shingles falls in. Two sets whose bitmaps differ in k bits differ in k shingles at least."""
+    odd = np.bincount((own & np.uint64(64 * PARITY_LONGS - 1)).astype(np.int64), minlength=64 * PARITY_LONGS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def _prefix(n: int, percent: int, matches: int = 1) -> int:
     return n - -(-percent * n // 100) + matches
 
@@ -86,19 +93,24 @@ def _bucket(own: np.ndarray) -> np.ndarray:
     return (own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def _even_lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.reshape(-1)))
+
+
 def set_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, class) of every document, and the sketch of shingle counts over all documents."""
+    """(doc_id, n_shingles, class, parity) of every document, and the sketch of shingle counts over all documents."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["doc_id", "n_shingles", "class", "part", "slice", "counts"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["doc_id", "n_shingles", "class", "parity", "part", "slice", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             sizes, classes, held = [0] * batch.num_rows, [None] * batch.num_rows, []
+            parity = np.zeros((batch.num_rows, PARITY_LONGS), np.int64)
             for row, own in _sets(batch.column("text"), width):
-                sizes[row], classes[row] = len(own), _class_of(own)
+                sizes[row], classes[row], parity[row] = len(own), _class_of(own), _parity(own)
                 held.append(_bucket(own))
                 if len(held) == 256:
                     counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
@@ -106,14 +118,14 @@ def set_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndar
             if held:
                 counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), *(pa.nulls(n, k) for k in kinds[3:])], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), _even_lists(parity), *(pa.nulls(n, k) for k in kinds[4:])], names)
         part = TaskContext.get().partitionId()
         own = [(i, s.tobytes()) for i, s in enumerate(counts.reshape(-1, 1 << SLICE_BITS)) if s.any()]
         n = len(own)
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(n, k) for k in kinds[:3]), pa.array([part] * n, pa.int32()), pa.array([i for i, _ in own], pa.int32()), pa.array([b for _, b in own], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(n, k) for k in kinds[:4]), pa.array([part] * n, pa.int32()), pa.array([i for i, _ in own], pa.int32()), pa.array([b for _, b in own], pa.binary())], names)
 
     plain = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    scanned = written(plain.mapInArrow(scan, "doc_id bigint, n_shingles bigint, class bigint, part int, slice int, counts binary"), "classes")
+    scanned = written(plain.mapInArrow(scan, "doc_id bigint, n_shingles bigint, class bigint, parity array<bigint>, part int, slice int, counts binary"), "classes")
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(b, np.uint64 if len(b) == 8 << SLICE_BITS else np.uint32).astype(np.uint64) for b in table.column("counts").to_pylist())
@@ -129,7 +141,7 @@ def set_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndar
     for row in sums.collect():  # at most 2**SKETCH_BITS counters, whatever the input
         kind = np.uint64 if len(row["counts"]) == 8 << SLICE_BITS else np.uint32
         sketch[row["slice"] << SLICE_BITS : (row["slice"] + 1) << SLICE_BITS] = np.frombuffer(row["counts"], kind)
-    return scanned.where("slice is null").select("doc_id", "n_shingles", "class"), sketch
+    return scanned.where("slice is null").select("doc_id", "n_shingles", "class", "parity"), sketch
 
 
 def _ordered(own: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +178,7 @@ def _postings(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) ->
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, sketch: np.ndarray, width: int) -> DataFrame:
-    """(class, n, parity, tokens in global order) of the classes in wanted (class, doc_id of one member).
+    """(class, n, tokens in global order) of the classes in wanted (class, doc_id of one member).
 
     A bitmap of 2**24 bits over hashed doc_ids lets other documents be skipped where they are read.
     """
@@ -187,45 +199,49 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, sketch: np.ndarray, width: i
             at = batch.column("bit").to_numpy()
             batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1).cast(pa.bool_()))
             doc_ids = batch.column("doc_id")
-            rows, classes, parity, tokens, size = [], [], [], [], 0
+            rows, classes, tokens, size = [], [], [], 0
 
             def flush() -> pa.RecordBatch:
                 sizes = np.array([len(t) for t in tokens], np.int64)
-                lists = lambda n, v: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(v))
-                return pa.RecordBatch.from_arrays(
-                    [doc_ids.take(pa.array(rows, pa.int64())), pa.array(classes, pa.int64()), pa.array(sizes), lists(np.full(len(rows), PARITY_LONGS), np.concatenate(parity)), lists(sizes, np.concatenate(tokens).view(np.int64))],
-                    ["doc_id", "class", "n", "parity", "tokens"],
-                )
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(tokens).view(np.int64)))
+                return pa.RecordBatch.from_arrays([doc_ids.take(pa.array(rows, pa.int64())), pa.array(classes, pa.int64()), pa.array(sizes), lists], ["doc_id", "class", "n", "tokens"])
 
             for row, own in _sets(batch.column("text"), width):
                 name = _class_of(own)
                 if name is None or name in met:
                     continue
-                odd = np.bincount((own & np.uint64(64 * PARITY_LONGS - 1)).astype(np.int64), minlength=64 * PARITY_LONGS).astype(np.uint8) & 1
                 rows.append(row)
                 classes.append(name)
-                parity.append(np.packbits(odd).view(np.int64))
                 tokens.append(_ordered(own, sketch)[0])
                 size += len(own)
                 if size >= 1 << 20:
                     yield flush()
-                    rows, classes, parity, tokens, size = [], [], [], [], 0
+                    rows, classes, tokens, size = [], [], [], 0
             if rows:
                 yield flush()
 
     plain = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).withColumn("bit", bit)
-    sets = plain.mapInArrow(scan, "doc_id bigint, class bigint, n bigint, parity array<bigint>, tokens array<bigint>")
+    sets = plain.mapInArrow(scan, "doc_id bigint, class bigint, n bigint, tokens array<bigint>")
     return sets.join(wanted, (sets["class"] == wanted["class"]) & sets["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").drop("doc_id")
 
 
-def _may_link(x: str, y: str, percent: int):
-    """False if sizes or parity bitmaps rule a link out."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    differ = sum((F.bit_count(F.col(f"{x}.parity")[i].bitwiseXOR(F.col(f"{y}.parity")[i])) for i in range(PARITY_LONGS)), F.lit(0))
-    # 100 (n + m - d) / 2 >= percent (n + m + d) / 2, d: shingles in one set only
+def _may_link(n, m, differ, percent: int):
+    """False if sizes or bits that differ rule a link out: 100 (n + m - d) / 2 < percent (n + m + d) / 2 for d shingles in one set only."""
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ * (100 + percent) <= (100 - percent) * (n + m))
 
 
+def _differ(x: list, y: list):
+    return sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(x, y)), F.lit(0))
+
+
+def _near(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) of classes that their sizes and whole bitmaps (class, n, parity) do not rule out."""
+    x, y = light.alias("x"), light.alias("y")
+    bits = [[F.col(f"{side}.parity")[i] for i in range(PARITY_LONGS)] for side in "xy"]
+    joined = pairs.join(x, F.col("a") == F.col("x.class")).join(y, F.col("b") == F.col("y.class"))
+    return joined.where(_may_link(F.col("x.n"), F.col("y.n"), _differ(*bits), percent)).select(*pairs.columns)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of classes whose whole sets link."""
     whole = sets.select("class", "tokens")
@@ -238,7 +254,9 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     """(doc_id, n_shingles, component_id, class) of every document, and the links (a, b) found between classes."""
     docs = docs.select("doc_id", "text")
     classes, sketch = set_classes(docs, width)
-    members = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    one = F.min(F.struct("doc_id", "n_shingles", "parity")).alias("one")
+    members = written(classes.where("class is not null").groupBy("class").agg(one).select("class", "one.doc_id", F.col("one.n_shingles").alias("n"), "one.parity"), "members")
+    light = members.select("class", "n", "parity")
 
     # places where linked sets must meet: prefix shingles that two classes share
     spot = Window.partitionBy("token", "salt")
@@ -256,20 +274,33 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     spokes = spokes.unionAll(hubs.where("salt >= 0").join(over, "token").select(F.col("top.class").alias("a"), F.col("over.class").alias("b")))
     spokes = spokes.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    wanted = written(members.join(weights, "class", "left_semi"), "wanted")
-    sets = written(_whole_sets(docs, wanted, sketch, width), "sets")
-    light = sets.select("class", "n", "parity")
-    near = spokes.join(light.alias("x"), F.col("a") == F.col("x.class")).join(light.alias("y"), F.col("b") == F.col("y.class")).where(_may_link("x", "y", percent)).select("a", "b")
-    links = written(_linked(near, sets, percent), "links")
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        named = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
+        wanted = written(members.select("class", "doc_id").join(named, "class", "left_semi"), "wanted")
+        return written(_whole_sets(docs, wanted, sketch, width), "sets")
+
+    near = written(_near(spokes, light, percent), "near")
+    links = written(_linked(near, sets_of(near), percent), "links")
     components = connected_components(links)
 
     # what is left: pairs of different components
     named = weighed.join(components, F.col("class") == F.col("id"), "left").select("token", "class", F.coalesce("component", "class").alias("component"), "weight")
     mixed = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    left = written(named.join(mixed, "token").join(light, "class").distinct(), "left")
+    # bitmaps folded to 256 bits are enough to rule out most pairs where they meet
+    folded = [reduce(Column.bitwiseXOR, (F.col("parity")[i] for i in range(k, PARITY_LONGS, FOLDED))).alias(f"bits{k}") for k in range(FOLDED)]
+    left = written(named.join(mixed, "token").join(light.select("class", "n", *folded), "class").distinct(), "left")
     x, y = left.alias("x"), left.alias("y")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", percent))
-    pairs = written(pairs.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.max("x.weight").alias("cost_a"), F.max("y.weight").alias("cost_b")), "pairs")
+    bits = [[F.col(f"{side}.bits{k}") for k in range(FOLDED)] for side in "xy"]
+    pairs = x.join(
+        y,
+        (F.col("x.token") == F.col("y.token"))
+        & (F.col("x.class") < F.col("y.class"))
+        & (F.col("x.component") != F.col("y.component"))
+        & _may_link(F.col("x.n"), F.col("y.n"), _differ(*bits), percent),
+    )
+    pairs = pairs.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.max("x.weight").alias("cost_a"), F.max("y.weight").alias("cost_b"))
+    pairs = written(_near(pairs, light, percent), "pairs")
+    sets = sets_of(pairs)
 
     def prefix(side: str) -> DataFrame:
         """Prefixes lengthened by the candidates that a set is estimated to meet."""
