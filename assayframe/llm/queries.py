@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.llm import _tokens, chat_format, decontaminate, license_scan, ngram_join, packing, pivot_topk, quality, token_file, toxicity
+from assayframe.llm import _tokens, chat_format, decontaminate, html_extract, license_scan, ngram_join, packing, pivot_topk, quality, token_file, toxicity
 from assayframe.llm._shared import shared_path
 
 
@@ -112,6 +112,10 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_ids(spark, path, with_ids=False)
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
@@ -123,6 +127,7 @@ def queries() -> dict:
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_toxicity": op8_toxicity,
         "op9_token_file": op9_token_file,
+        "op10_html_extract": op10_html_extract,
     }
 
 
