@@ -118,3 +118,15 @@ def rolling(h: np.ndarray, width: int) -> np.ndarray:
     for k in range(width):
         out = out * np.uint64(_P) + h[k : k + m]
     return mix(out)
+
+
+def field(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column of a batch, or that field of its column ``_row``, which holds whole rows."""
+    return batch.column(name) if name in batch.schema.names else batch.column("_row").field(name)
+
+
+def whole_rows(docs):
+    """docs as one column ``_row``, so that names of its columns clash with nothing an operator adds."""
+    from pyspark.sql import functions as F
+
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm._words import ALNUM, Words, slices, string_buffers
+from assayframe.llm._words import ALNUM, Words, field, slices, string_buffers, whole_rows
 
 WIDTH = 13
 SHARD_WORDS, BLOCK_BYTES = 1 << 20, 64 << 20
@@ -210,8 +210,8 @@ def _scan(docs: DataFrame, items: list[tuple[int | None, str]], width: int) -> D
             return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in out.values()], list(out))
 
         for batch in batches:
-            raw, offsets = string_buffers(batch.column("text"))
-            own = pa.Table.from_batches([batch]).drop_columns(["text"])
+            raw, offsets = string_buffers(field(batch, "text"))
+            own = pa.Table.from_batches([batch]).select([f.name for f in keys])
             for i, j in slices(offsets, _CHUNK):
                 words = Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM)
                 held.append(words.hashes())
@@ -244,10 +244,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     bytes_ = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = -(-bytes_ // BLOCK_BYTES) or 1
     keep = keep or []
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text"), *keep)
-    if passes == 1:
-        found = _scan(own, [tuple(r) for r in items.collect()], width)
+    if passes == 1 and keep == ["_row"]:
+        found = _scan(docs.select("_row"), [tuple(r) for r in items.collect()], width).withColumn("doc_id", F.col("_row.doc_id"))
+    elif passes == 1:
+        found = _scan(docs.select("doc_id", F.col("text").cast("string").alias("text"), *keep), [tuple(r) for r in items.collect()], width)
     else:
+        own = docs.select("doc_id", F.col("text").cast("string").alias("text"), *keep) if keep != ["_row"] else docs.select("_row.doc_id", "_row.text", "_row")
         own = own.withColumn("_text_md5", F.md5("text"))
         blocks = (items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i) for i in range(passes))
         every = reduce(DataFrame.unionAll, (_scan(own, [tuple(r) for r in b.collect()], width) for b in blocks))
@@ -278,5 +280,4 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs without contaminated rows, all columns as they were."""
     names = docs.columns
-    packed = docs.select(F.col("doc_id"), F.col("text"), F.struct(*names).alias("_row"))
-    return find_contamination(packed, benchmark, width, ["_row"]).where("not contaminated").select("_row.*")
+    return find_contamination(whole_rows(docs), benchmark, width, ["_row"]).where("not contaminated").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

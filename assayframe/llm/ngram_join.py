@@ -324,8 +324,12 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 
 
 def keep_one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """docs, but of each component only the rows of its smallest doc_id, one if that repeats."""
+    """docs without the documents of a component that has a smaller doc_id; all columns as they were.
+
+    Rows of one doc_id are one document, of which repeated rows with the same text stay once. Rows without a doc_id stay.
+    """
     found, _ = near_copies(docs, width, percent)
-    stay = found.groupBy("component_id").agg(F.min("doc_id").alias("keep")).select("keep").distinct()
-    kept = docs.join(stay, docs["doc_id"] == stay["keep"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")) if docs.schema["doc_id"].nullable else kept
+    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null")) if repeated else kept

@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.llm._shared import written
-from assayframe.llm._words import NOT_SPACE, Words, slices, string_buffers
+from assayframe.llm._words import NOT_SPACE, Words, field, slices, string_buffers, whole_rows
 
 FIT_ROWS, ROUNDS, PER_ROUND = 40_000, 3, 2_000
 #: a pseudo-label needs this probability from its own view, and at least this from the other
@@ -179,21 +180,30 @@ class CoTrained:
 _VIEWS = "text_view array<double>, meta_view array<double>"
 
 
+def _both_views(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> list[np.ndarray]:
+    length = n_chars.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+    if (length < 0).any():
+        length = np.where(length < 0, pc.fill_null(pc.utf8_length(text), 0).to_numpy(zero_copy_only=False), length)
+    return [text_features(text), meta_features(lang.to_pylist(), source.to_pylist(), length)]
+
+
+def _given(docs: DataFrame) -> DataFrame:
+    """docs with all the columns that the views are made of."""
+    missing = {c: F.lit(None).cast(t) for c, t in (("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint")) if c not in docs.columns}
+    return docs.withColumns(missing) if missing else docs
+
+
 def views(docs: DataFrame) -> DataFrame:
-    """The columns of docs but text, lang, source and n_chars, with both views."""
-    given = {"text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
-    keys = [f for f in docs.schema.fields if f.name not in given]
-    plain = docs.select(*[f.name for f in keys], *[(F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in given.items()])
-    plain = plain.withColumn("n_chars", F.coalesce("n_chars", F.length("text"), F.lit(0)))
+    """doc_id with both views of every document."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [text_features(batch.column("text")), meta_features(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("n_chars").to_numpy(zero_copy_only=False))]
+            both = _both_views(*(batch.column(c) for c in ("text", "lang", "source", "n_chars")))
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.reshape(-1))) for v in both]
-            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in keys] + lists, [f.name for f in keys] + ["text_view", "meta_view"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], ["doc_id", "text_view", "meta_view"])
 
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys)
-    return plain.mapInArrow(scan, f"{kind}, {_VIEWS}")
+    plain = _given(docs).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("bigint"))
+    return plain.mapInArrow(scan, f"doc_id bigint, {_VIEWS}")
 
 
 def _arrays(batch) -> list[np.ndarray]:
@@ -281,31 +291,39 @@ def _sure(unlabelled: DataFrame, model: CoTrained, spark) -> DataFrame:
 
 
 def score(table: DataFrame, model: CoTrained | float) -> DataFrame:
-    """The columns of views but the views, with score."""
-    keys = [f for f in table.schema.fields if f.name not in ("text_view", "meta_view")]
+    """doc_id and score of every row of views."""
     if isinstance(model, float):
-        return table.select(*[f.name for f in keys], F.lit(model).alias("score"))
+        return table.select("doc_id", F.lit(model).alias("score"))
     shared = table.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             scores = own.score(_arrays(batch)) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in keys] + [pa.array(scores)], [f.name for f in keys] + ["score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys)
-    return table.mapInArrow(scan, f"{kind}, score double")
+    return table.mapInArrow(scan, "doc_id bigint, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id and score of every document."""
-    table = written(views(docs.select("doc_id", *[c for c in ("text", "lang", "source", "n_chars") if c in docs.columns])), "views")
+    table = written(views(docs), "views")
     return score(table, train(table, labels))
 
 
 def reject_poor(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs whose score reaches the threshold, all columns as they were."""
-    table = written(views(docs.select("doc_id", *[c for c in ("text", "lang", "source", "n_chars") if c in docs.columns])), "views")
-    model = train(table, labels)
-    packed = views(docs.withColumn("_row", F.struct(*docs.columns)).select("_row", *[c for c in ("text", "lang", "source", "n_chars") if c in docs.columns]))
-    return score(packed, model).where(F.col("score") >= threshold).select("_row.*")
+    model = train(written(views(docs), "views"), labels)
+    if isinstance(model, float):
+        return docs if model >= threshold else docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = whole_rows(_given(docs))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                scores = own.score(_both_views(*(field(batch, c) for c in ("text", "lang", "source", "n_chars"))))
+                yield batch.filter(pa.array(scores >= threshold))
+
+    return rows.mapInArrow(scan, rows.schema).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

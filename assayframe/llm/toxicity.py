@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.llm._shared import written
-from assayframe.llm._words import ALNUM, Words, slices, string_buffers
+from assayframe.llm._words import ALNUM, Words, field, slices, string_buffers, whole_rows
 
 HASH_BITS, SLICE_BITS = 20, 14
 PREFIXES = (4, 5, 6, 7, 8)
@@ -221,14 +221,14 @@ def _fit_rows(rows: DataFrame, model: Model) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and the other columns but text, with score."""
+    """The columns of docs but text, with score."""
     shared = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.bias))
     keys = [f for f in docs.schema.fields if f.name != "text"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in keys] + [pa.array(own.scores(batch.column("text")))], [f.name for f in keys] + ["score"])
+            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in keys] + [pa.array(own.scores(field(batch, "text")))], [f.name for f in keys] + ["score"])
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys)
     return docs.mapInArrow(scan, f"{kind}, score double")
@@ -242,5 +242,4 @@ def held_out(doc_id):
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs whose score stays under the threshold, all columns as they were."""
     model = train(docs, labels, held_out)
-    packed = docs.select("text", F.struct(*docs.columns).alias("_row"))
-    return score(packed, model).where(F.col("score") < THRESHOLD).select("_row.*")
+    return score(whole_rows(docs), model).where(F.col("score") < THRESHOLD).select("_row.*")
