@@ -6,9 +6,10 @@ hashes. Two sets link if 100 * intersection >= percent * union. Documents with e
 
 Prefixes. All sets are ordered by an estimate of how many documents hold a shingle (a count sketch of fixed size over
 all documents), then by hash. With a = ceil(percent * n / 100), sets that link share at least l of the first
-n - a + l shingles of each, for any l up to a. With l = 1 that gives the places where linked sets must meet. l is then
-chosen for each set by the candidates it is estimated to meet: 1 + floor(sqrt(cost)), a at most. A pair has to
-share min(l, l') of the longer prefixes before its whole sets are compared.
+n - a + l shingles of each, for any l up to a. With l = 1 that gives the places where linked sets must meet. From the
+start l is 1 + n // MATCH_STEP: sets that meet others in fewer places than any partner could ask for go at once. For
+pairs that are left, l grows with the candidates a set is estimated to meet, by floor(sqrt(cost)), to a at most. A pair
+has to share min(l, l') of these longer prefixes before its whole sets are compared.
 
 Order of work. (1) In each bucket of a prefix shingle, members are compared with the bucket's hub, the member
 that meets most others; the links found give components. (2) Only pairs of different components that meet in a
@@ -43,12 +44,14 @@ from assayframe.llm._words import NOT_SPACE, Words, mix, rolling, slices, string
 
 WIDTH, PERCENT = 5, 75
 #: counters of the sketch, in slices that tasks add up separately
-SKETCH_BITS, SLICE_BITS = 20, 14
+SKETCH_BITS, SLICE_BITS = 21, 14
 #: parts that sums of sketches are combined in
 _PARTS = 256
 #: a shingle is frequent from this estimate on, or from this multiple of the sketch's mean load
 HOT, HOT_MEANS, SALTS = 20_000, 8, 64
 PARITY_LONGS, FOLDED = 16, 4
+#: shingles of a set for each prefix shingle that it has to share beyond the first
+MATCH_STEP = 16
 _CHUNK = 1 << 20
 
 
@@ -85,8 +88,14 @@ def _parity(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
-def _prefix(n: int, percent: int, matches: int = 1) -> int:
-    return n - -(-percent * n // 100) + matches
+def _least(n: int, percent: int) -> int:
+    """Shingles that a set of n shares at least with any set it links to."""
+    return -(-percent * n // 100)
+
+
+def _matches(n: int) -> int:
+    """Prefix shingles that are asked for from the start; longer prefixes follow where candidates are many."""
+    return 1 + n // MATCH_STEP
 
 
 def _bucket(own: np.ndarray) -> np.ndarray:
@@ -152,7 +161,7 @@ def _ordered(own: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _postings(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(token, salt, class) for every prefix shingle; salt is -1 but for frequent shingles. A class comes once a task."""
+    """(token, salt, class, front) for every shingle of prefixes of _matches; salt is -1 but for frequent shingles, front is true in the prefix of one match. A class comes once a task."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     hot = max(HOT, HOT_MEANS * float(sketch.mean()))
 
@@ -160,21 +169,23 @@ def _postings(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) ->
         sketch = shared.value
         met: set[int] = set()
         for batch in batches:
-            tokens, salts, classes = [], [], []
+            tokens, salts, classes, front = [], [], [], []
             for _, own in _sets(batch.column("text"), width):
                 name = _class_of(own)
                 if name is None or name in met:
                     continue
                 met.add(name)
                 own, estimate = _ordered(own, sketch)
-                p = _prefix(len(own), percent)
+                shorter = len(own) - _least(len(own), percent) + 1
+                p = min(len(own), shorter + _matches(len(own)) - 1)
                 tokens.append(own[:p])
+                front.append(np.arange(p) < shorter)
                 salts.append(np.where(estimate[:p] >= hot, name % SALTS, -1).astype(np.int32))
                 classes.append(np.full(p, name, np.int64))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts)), pa.array(np.concatenate(classes))], ["token", "salt", "class"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(front))], ["token", "salt", "class", "front"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(scan, "token bigint, salt int, class bigint")
+    return docs.select(F.col("text").cast("string")).mapInArrow(scan, "token bigint, salt int, class bigint, front boolean")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, sketch: np.ndarray, width: int) -> DataFrame:
@@ -261,8 +272,12 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     # places where linked sets must meet: prefix shingles that two classes share
     spot = Window.partitionBy("token", "salt")
     met = _postings(docs, sketch, width, percent).repartition("token", "salt")
-    met = met.select("token", "salt", "class", F.min("class").over(spot).alias("low"), F.max("class").over(spot).alias("high"))
-    places = written(met.where("low <> high or salt >= 0").select("token", "salt", "class").dropDuplicates(["token", "salt", "class"]), "places")
+    met = met.select("token", "salt", "class", "front", F.min("class").over(spot).alias("low"), F.max("class").over(spot).alias("high"))
+    shared = written(met.where("low <> high or salt >= 0").select("token", "salt", "class", "front").dropDuplicates(["token", "salt", "class"]), "shared")
+    # a set goes unless it shares as many as the smallest set it could link to asks for
+    smallest = F.ceil(F.lit(percent) * F.col("n") / 100)
+    enough = shared.groupBy("class").agg(F.count("*").alias("met")).join(light.select("class", "n"), "class").where(F.col("met") >= 1 + F.floor(smallest / MATCH_STEP))
+    places = written(shared.where("front").select("token", "salt", "class").join(enough.select("class"), "class"), "places")
 
     # hubs: the members that meet most others
     sizes = places.groupBy("token", "salt").agg(F.count("*").alias("members"))
@@ -306,14 +321,21 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         """Prefixes lengthened by the candidates that a set is estimated to meet."""
         own = pairs.select(F.col(side).alias("class"), F.col(f"cost_{side}").alias("cost")).distinct().join(sets.select("class", "n", "tokens"), "class")
         least = F.ceil(F.lit(percent) * F.col("n") / 100)
-        need = F.least(least, F.lit(1) + F.floor(F.sqrt("cost")))
+        need = F.least(least, F.lit(1) + F.floor(F.col("n") / MATCH_STEP) + F.floor(F.sqrt("cost")))
         return own.select(F.col("class").alias(side), need.alias(f"need_{side}"), F.slice("tokens", F.lit(1), (F.col("n") - least + need).cast("int")).alias(f"prefix_{side}"))
 
     kept = pairs.select("a", "b").join(prefix("a"), "a").join(prefix("b"), "b").where(F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.least("need_a", "need_b")).select("a", "b")
     more = written(_linked(kept, sets, percent), "links")
     links = links.unionAll(more)
     if more.limit(1).count():
-        components = connected_components(links)
+        # only components that the new links join have to be followed
+        of = components.withColumnRenamed("component", "of")
+        joined = more.join(of.withColumnRenamed("id", "a"), "a", "left").withColumn("a", F.coalesce("of", "a")).drop("of")
+        joined = joined.join(of.withColumnRenamed("id", "b"), "b", "left").withColumn("b", F.coalesce("of", "b")).drop("of")
+        merged = connected_components(joined.where("a <> b").distinct())
+        over = merged.select(F.col("id").alias("component"), F.col("component").alias("over"))
+        grown = components.join(over, "component", "left").select("id", F.coalesce("over", "component").alias("component"))
+        components = written(grown.unionAll(merged.join(components.select("id"), "id", "left_anti").select("id", "component")), "components")
 
     # names of components: the smallest doc_id of all members
     joined = members.join(components, F.col("class") == F.col("id"), "left").select("class", F.coalesce("component", "class").alias("component"), "doc_id")
