@@ -76,7 +76,7 @@ def canonical_lines(text: Column) -> Column:
     for pattern, put in SPELLINGS:
         out = F.regexp_replace(out, pattern, put)
     out = F.regexp_replace(out, r"[^a-z0-9\n\x{80}-\x{10FFFF}]+", " ")
-    return F.filter(F.transform(F.split(out, "\n"), F.trim), lambda line: line != "")
+    return F.filter(F.transform(F.split(out, "\n"), lambda line: F.trim(line)), lambda line: line != "")
 
 
 def license_digests(spark: SparkSession, licenses=LICENSES) -> DataFrame:
