@@ -165,9 +165,9 @@ def load_skills(spark: SparkSession, path: str) -> DataFrame:
     """Skill documents at a file or below a folder, with whether a README.md lies beside each."""
     folder = _exists(spark, path)[1]
     docs = parse_skills(_files(spark, path if folder else skill_file(spark, path), "*.md" if folder else "*").where(~F.endswith("path", F.lit("README.md"))))
-    beside = lambda c: F.regexp_replace(c, "/[^/]*$", "")
+    beside = lambda c: F.regexp_replace(F.regexp_replace(c, "/[^/]*$", ""), "^file:/+", "file:/")
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "README.md").load(path if folder else skill_file(spark, path).rsplit("/", 1)[0])
-    readmes = listed.select(F.regexp_replace(beside(F.col("path")), "^file:/+", "file:///").alias("_dir")).distinct().withColumn("has_readme", F.lit(True))
+    readmes = listed.select(beside(F.col("path")).alias("_dir")).distinct().withColumn("has_readme", F.lit(True))
     return docs.join(readmes, beside(F.col("path")) == F.col("_dir"), "left").drop("_dir").withColumn("has_readme", F.coalesce("has_readme", F.lit(False)))
 
 
