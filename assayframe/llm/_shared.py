@@ -34,6 +34,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """At most so many documents in a batch between Spark and Python: with long texts, the default of 10,000 takes too much memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, rows)
+
+
 def drop_tables() -> None:
     """Delete the tables of this process from the shared folder."""
     while _made:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assayframe.llm._components import connected_components
-from assayframe.llm._shared import written
+from assayframe.llm._shared import bounded_batches, written
 from assayframe.llm._words import NOT_SPACE, Words, mix, rolling, slices, string_buffers
 
 WIDTH, PERCENT = 5, 75
@@ -106,6 +106,15 @@ def _even_lists(rows: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.reshape(-1)))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters in the fewest bytes that hold them."""
+    return counts.astype(np.min_scalar_type(counts.max())).tobytes()
+
+
+def _unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(counts, f"u{len(counts) >> SLICE_BITS}").astype(np.uint64)
+
+
 def set_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n_shingles, class, parity) of every document, and the sketch of shingle counts over all documents."""
 
@@ -128,8 +137,9 @@ def set_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndar
                 counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), _even_lists(parity), *(pa.nulls(n, k) for k in kinds[4:])], names)
+        pa.default_memory_pool().release_unused()
         part = TaskContext.get().partitionId()
-        own = [(i, s.tobytes()) for i, s in enumerate(counts.reshape(-1, 1 << SLICE_BITS)) if s.any()]
+        own = [(i, _packed(s)) for i, s in enumerate(counts.reshape(-1, 1 << SLICE_BITS)) if s.any()]
         n = len(own)
         yield pa.RecordBatch.from_arrays([*(pa.nulls(n, k) for k in kinds[:4]), pa.array([part] * n, pa.int32()), pa.array([i for i, _ in own], pa.int32()), pa.array([b for _, b in own], pa.binary())], names)
 
@@ -137,9 +147,11 @@ def set_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndar
     scanned = written(plain.mapInArrow(scan, "doc_id bigint, n_shingles bigint, class bigint, parity array<bigint>, part int, slice int, counts binary"), "classes")
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, np.uint64 if len(b) == 8 << SLICE_BITS else np.uint32).astype(np.uint64) for b in table.column("counts").to_pylist())
+        total = np.zeros(1 << SLICE_BITS, np.uint64)
+        for b in table.column("counts"):
+            total += _unpacked(b.as_py())
         first = table.slice(0, 1)
-        return pa.table({"part": first.column("part"), "slice": first.column("slice"), "counts": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"part": first.column("part"), "slice": first.column("slice"), "counts": pa.array([_packed(total)], pa.binary())})
 
     sums = scanned.where("slice is not null").select("part", "slice", "counts")
     parts = (sums.agg(F.max("part")).first()[0] or 0) + 1
@@ -148,8 +160,7 @@ def set_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndar
         sums = sums.withColumn("part", F.floor(F.col("part") / _PARTS).cast("int")).groupBy("slice", "part").applyInArrow(add, "part int, slice int, counts binary")
     sketch = np.zeros(1 << SKETCH_BITS, np.float32)
     for row in sums.collect():  # at most 2**SKETCH_BITS counters, whatever the input
-        kind = np.uint64 if len(row["counts"]) == 8 << SLICE_BITS else np.uint32
-        sketch[row["slice"] << SLICE_BITS : (row["slice"] + 1) << SLICE_BITS] = np.frombuffer(row["counts"], kind)
+        sketch[row["slice"] << SLICE_BITS : (row["slice"] + 1) << SLICE_BITS] = _unpacked(row["counts"])
     return scanned.where("slice is null").select("doc_id", "n_shingles", "class", "parity"), sketch
 
 
@@ -184,6 +195,7 @@ def _postings(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) ->
                 classes.append(np.full(p, name, np.int64))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(front))], ["token", "salt", "class", "front"])
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("text").cast("string")).mapInArrow(scan, "token bigint, salt int, class bigint, front boolean")
 
@@ -209,31 +221,31 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, sketch: np.ndarray, width: i
         for batch in batches:
             at = batch.column("bit").to_numpy()
             batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1).cast(pa.bool_()))
-            doc_ids = batch.column("doc_id")
-            rows, classes, tokens, size = [], [], [], 0
+            classes, tokens, size = [], [], 0
 
             def flush() -> pa.RecordBatch:
                 sizes = np.array([len(t) for t in tokens], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(tokens).view(np.int64)))
-                return pa.RecordBatch.from_arrays([doc_ids.take(pa.array(rows, pa.int64())), pa.array(classes, pa.int64()), pa.array(sizes), lists], ["doc_id", "class", "n", "tokens"])
+                return pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sizes), lists], ["class", "n", "tokens"])
 
-            for row, own in _sets(batch.column("text"), width):
+            for _, own in _sets(batch.column("text"), width):
                 name = _class_of(own)
                 if name is None or name in met:
                     continue
-                rows.append(row)
+                met.add(name)
                 classes.append(name)
                 tokens.append(_ordered(own, sketch)[0])
                 size += len(own)
                 if size >= 1 << 20:
                     yield flush()
-                    rows, classes, tokens, size = [], [], [], 0
-            if rows:
+                    classes, tokens, size = [], [], 0
+            if classes:
                 yield flush()
+        pa.default_memory_pool().release_unused()
 
     plain = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).withColumn("bit", bit)
-    sets = plain.mapInArrow(scan, "doc_id bigint, class bigint, n bigint, tokens array<bigint>")
-    return sets.join(wanted, (sets["class"] == wanted["class"]) & sets["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").drop("doc_id")
+    # other documents that the bitmap lets through do no harm: nothing is joined with their classes
+    return plain.mapInArrow(scan, "class bigint, n bigint, tokens array<bigint>")
 
 
 def _may_link(n, m, differ, percent: int):
@@ -263,6 +275,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, component_id, class) of every document, and the links (a, b) found between classes."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     classes, sketch = set_classes(docs, width)
     one = F.min(F.struct("doc_id", "n_shingles", "parity")).alias("one")
@@ -272,21 +285,22 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     # places where linked sets must meet: prefix shingles that two classes share
     spot = Window.partitionBy("token", "salt")
     met = _postings(docs, sketch, width, percent).repartition("token", "salt")
-    met = met.select("token", "salt", "class", "front", F.min("class").over(spot).alias("low"), F.max("class").over(spot).alias("high"))
-    shared = written(met.where("low <> high or salt >= 0").select("token", "salt", "class", "front").dropDuplicates(["token", "salt", "class"]), "shared")
+    met = met.select("token", "salt", "class", "front", F.min("class").over(spot).alias("low"), F.max("class").over(spot).alias("high"), F.count("*").over(spot).alias("members"))
+    met = met.where("low <> high or salt >= 0").groupBy("token", "salt", "class").agg(F.max("front").alias("front"), F.max("members").alias("members"))
+    shared = written(met, "shared")
     # a set goes unless it shares as many as the smallest set it could link to asks for
     smallest = F.ceil(F.lit(percent) * F.col("n") / 100)
-    enough = shared.groupBy("class").agg(F.count("*").alias("met")).join(light.select("class", "n"), "class").where(F.col("met") >= 1 + F.floor(smallest / MATCH_STEP))
-    places = written(shared.where("front").select("token", "salt", "class").join(enough.select("class"), "class"), "places")
+    counted = shared.groupBy("class").agg(F.count("*").alias("met"), F.sum(F.when(F.col("front"), F.col("members")).otherwise(0)).alias("weight"))
+    enough = counted.join(light.select("class", "n"), "class").where(F.col("met") >= 1 + F.floor(smallest / MATCH_STEP))
+    places = shared.where("front").join(enough.select("class", "weight"), "class").select("token", "salt", "class", "weight")
 
     # hubs: the members that meet most others
-    sizes = places.groupBy("token", "salt").agg(F.count("*").alias("members"))
-    weights = places.join(sizes, ["token", "salt"]).groupBy("class").agg(F.sum("members").alias("weight"))
-    weighed = written(places.join(weights, "class").select("token", "salt", "class", "weight"), "weighed")
-    hubs = weighed.groupBy("token", "salt").agg(F.max(F.struct("weight", "class")).alias("top"))
-    over = hubs.where("salt >= 0").groupBy("token").agg(F.max("top").alias("over"))
-    spokes = weighed.join(hubs, ["token", "salt"]).select(F.col("class").alias("a"), F.col("top.class").alias("b"))
-    spokes = spokes.unionAll(hubs.where("salt >= 0").join(over, "token").select(F.col("top.class").alias("a"), F.col("over.class").alias("b")))
+    hub = F.max(F.struct("weight", "class")).over(spot)["class"].alias("hub")
+    weighed = written(places.select("token", "salt", "class", "weight", hub), "places")
+    hubs = weighed.where("salt >= 0 and class = hub").select("token", "class", "weight")
+    over = hubs.groupBy("token").agg(F.max(F.struct("weight", "class")).alias("over"))
+    spokes = weighed.select(F.col("class").alias("a"), F.col("hub").alias("b"))
+    spokes = spokes.unionAll(hubs.join(over, "token").select(F.col("class").alias("a"), F.col("over.class").alias("b")))
     spokes = spokes.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def sets_of(pairs: DataFrame) -> DataFrame:
@@ -300,10 +314,11 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 
     # what is left: pairs of different components
     named = weighed.join(components, F.col("class") == F.col("id"), "left").select("token", "class", F.coalesce("component", "class").alias("component"), "weight")
-    mixed = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    several = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    mixed = named.join(several, "token")
     # bitmaps folded to 256 bits are enough to rule out most pairs where they meet
     folded = [reduce(Column.bitwiseXOR, (F.col("parity")[i] for i in range(k, PARITY_LONGS, FOLDED))).alias(f"bits{k}") for k in range(FOLDED)]
-    left = written(named.join(mixed, "token").join(light.select("class", "n", *folded), "class").distinct(), "left")
+    left = written(mixed.join(light.select("class", "n", *folded), "class"), "left")
     x, y = left.alias("x"), left.alias("y")
     bits = [[F.col(f"{side}.bits{k}") for k in range(FOLDED)] for side in "xy"]
     pairs = x.join(
