@@ -20,7 +20,7 @@ import numpy as np
 
 MAGIC = b"IDC1"
 #: block size that callers aim at, ids a lane at least, and most lanes
-BLOCK_IDS, LANE_IDS, LANES = 1 << 20, 384, 2048
+BLOCK_IDS, LANE_IDS, LANES = 1 << 22, 256, 8192
 _TOTAL_BITS = 24
 _TOTAL = 1 << _TOTAL_BITS
 _SLOTS_BITS = 18

@@ -112,5 +112,5 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
                     out["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(wide.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(out)
 
-    # a payload is about a megabyte: a few at a time, spread over the tasks
+    # a payload is a few megabytes, one row of a batch at a time
     return table.select("part", "block", "payload").join(starts, ["part", "block"]).select("block_start", "payload").mapInArrow(documents, kind)
