@@ -13,14 +13,14 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize("n,c,k", [(n, c, k) for n in range(0, 7) for c in range(0, n + 1) for k in range(0, 8)])
-def test_metrics_by_binomials(spark, n, c, k):
-    at, power = spark.range(1).select(metrics.pass_at_k(F.lit(n), F.lit(c), k), metrics.pass_pow_k(F.lit(n), F.lit(c), k)).first()
-    if n == 0 or k > n:
-        assert at is None and power is None
-    else:
-        assert at == pytest.approx(0.0 if c == 0 else 1 - math.comb(n - c, k) / math.comb(n, k))
-        assert power == pytest.approx(0.0 if c < k else math.comb(c, k) / math.comb(n, k))
+def test_metrics_by_binomials(spark):
+    rows = spark.createDataFrame([(n, c, k) for n in range(7) for c in range(n + 1) for k in range(8)], "n int, c int, k int")
+    for n, c, k, at, power in rows.select("n", "c", "k", metrics.pass_at_k("n", "c", "k"), metrics.pass_pow_k("n", "c", "k")).collect():
+        if n == 0 or k > n:
+            assert at is None and power is None
+        else:
+            assert at == pytest.approx(0.0 if c == 0 else 1 - math.comb(n - c, k) / math.comb(n, k))
+            assert power == pytest.approx(0.0 if c < k else math.comb(c, k) / math.comb(n, k))
 
 
 def test_rates(spark):
