@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet in the shared folder and
 gives the next stage the table as read back.
+
+Defined cases: documents without text or id pass or fail a stage as its operator says (an empty text is scored like any
+other, is no copy of anything and is never contaminated); repeated rows of a document stay once from the near-copy stage on;
+extra columns are kept up to the last stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
