@@ -13,8 +13,9 @@ has to share min(l, l') of these longer prefixes before its whole sets are compa
 
 Order of work. (1) In each bucket of a prefix shingle, members are compared with the bucket's hub, the member
 that meets most others; the links found give components. (2) Only pairs of different components that meet in a
-bucket can still change anything; they are filtered by size, by a parity bitmap (bits that differ are shingles that
-differ, so too many rule a link out), by the prefix test, and then compared. So a large group of near
+bucket can still change anything; they are filtered by size, by place (linked sets meet at the first shingle they
+share, and only shingles from there on can be shared), by a parity bitmap (bits that differ are shingles that differ,
+so too many rule a link out), by the prefix test, and then compared. So a large group of near
 copies costs a comparison for each member and bucket hub, not one for each pair, and no link that joins two
 components is missed. ``links`` holds the links found: each component is connected by them, but pairs inside a
 component are not all listed.
@@ -172,7 +173,7 @@ def _ordered(own: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _postings(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(token, salt, class, front) for every shingle of prefixes of _matches; salt is -1 but for frequent shingles, front is true in the prefix of one match. A class comes once a task."""
+    """(token, salt, class, place) for every shingle of prefixes of _matches; salt is -1 but for frequent shingles, place counts from 0 in the prefix of one match and is -1 beyond it. A class comes once a task."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     hot = max(HOT, HOT_MEANS * float(sketch.mean()))
 
@@ -180,7 +181,7 @@ def _postings(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) ->
         sketch = shared.value
         met: set[int] = set()
         for batch in batches:
-            tokens, salts, classes, front = [], [], [], []
+            tokens, salts, classes, places = [], [], [], []
             for _, own in _sets(batch.column("text"), width):
                 name = _class_of(own)
                 if name is None or name in met:
@@ -190,14 +191,14 @@ def _postings(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) ->
                 shorter = len(own) - _least(len(own), percent) + 1
                 p = min(len(own), shorter + _matches(len(own)) - 1)
                 tokens.append(own[:p])
-                front.append(np.arange(p) < shorter)
+                places.append(np.where(np.arange(p) < shorter, np.arange(p), -1).astype(np.int32))
                 salts.append(np.where(estimate[:p] >= hot, name % SALTS, -1).astype(np.int32))
                 classes.append(np.full(p, name, np.int64))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(front))], ["token", "salt", "class", "front"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(places))], ["token", "salt", "class", "place"])
         pa.default_memory_pool().release_unused()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(scan, "token bigint, salt int, class bigint, front boolean")
+    return docs.select(F.col("text").cast("string")).mapInArrow(scan, "token bigint, salt int, class bigint, place int")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, sketch: np.ndarray, width: int) -> DataFrame:
@@ -253,6 +254,11 @@ def _may_link(n, m, differ, percent: int):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ * (100 + percent) <= (100 - percent) * (n + m))
 
 
+def _may_start(left, right, both, percent: int):
+    """False if a shingle can't be the first that linked sets share: no more than the shingles from it on, left and right, can be shared."""
+    return (100 + percent) * F.least(left, right) >= percent * both
+
+
 def _differ(x: list, y: list):
     return sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(x, y)), F.lit(0))
 
@@ -285,18 +291,18 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     # places where linked sets must meet: prefix shingles that two classes share
     spot = Window.partitionBy("token", "salt")
     met = _postings(docs, sketch, width, percent).repartition("token", "salt")
-    met = met.select("token", "salt", "class", "front", F.min("class").over(spot).alias("low"), F.max("class").over(spot).alias("high"), F.count("*").over(spot).alias("members"))
-    met = met.where("low <> high or salt >= 0").groupBy("token", "salt", "class").agg(F.max("front").alias("front"), F.max("members").alias("members"))
+    met = met.select("token", "salt", "class", "place", F.min("class").over(spot).alias("low"), F.max("class").over(spot).alias("high"), F.count("*").over(spot).alias("members"))
+    met = met.where("low <> high or salt >= 0").groupBy("token", "salt", "class").agg(F.max("place").alias("place"), F.max("members").alias("members"))
     shared = written(met, "shared")
     # a set goes unless it shares as many as the smallest set it could link to asks for
     smallest = F.ceil(F.lit(percent) * F.col("n") / 100)
-    counted = shared.groupBy("class").agg(F.count("*").alias("met"), F.sum(F.when(F.col("front"), F.col("members")).otherwise(0)).alias("weight"))
+    counted = shared.groupBy("class").agg(F.count("*").alias("met"), F.sum(F.when(F.col("place") >= 0, F.col("members")).otherwise(0)).alias("weight"))
     enough = counted.join(light.select("class", "n"), "class").where(F.col("met") >= 1 + F.floor(smallest / MATCH_STEP))
-    places = shared.where("front").join(enough.select("class", "weight"), "class").select("token", "salt", "class", "weight")
+    places = shared.where("place >= 0").join(enough.select("class", "weight"), "class").select("token", "salt", "class", "place", "weight")
 
     # hubs: the members that meet most others
     hub = F.max(F.struct("weight", "class")).over(spot)["class"].alias("hub")
-    weighed = written(places.select("token", "salt", "class", "weight", hub), "places")
+    weighed = written(places.select("token", "salt", "class", "place", "weight", hub), "places")
     hubs = weighed.where("salt >= 0 and class = hub").select("token", "class", "weight")
     over = hubs.groupBy("token").agg(F.max(F.struct("weight", "class")).alias("over"))
     spokes = weighed.select(F.col("class").alias("a"), F.col("hub").alias("b"))
@@ -313,7 +319,7 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     components = connected_components(links)
 
     # what is left: pairs of different components
-    named = weighed.join(components, F.col("class") == F.col("id"), "left").select("token", "class", F.coalesce("component", "class").alias("component"), "weight")
+    named = weighed.join(components, F.col("class") == F.col("id"), "left").select("token", "class", "place", F.coalesce("component", "class").alias("component"), "weight")
     several = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     mixed = named.join(several, "token")
     # bitmaps folded to 256 bits are enough to rule out most pairs where they meet
@@ -326,6 +332,7 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.class") < F.col("y.class"))
         & (F.col("x.component") != F.col("y.component"))
+        & _may_start(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"), F.col("x.n") + F.col("y.n"), percent)
         & _may_link(F.col("x.n"), F.col("y.n"), _differ(*bits), percent),
     )
     pairs = pairs.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.max("x.weight").alias("cost_a"), F.max("y.weight").alias("cost_b"))
