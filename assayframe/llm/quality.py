@@ -37,7 +37,8 @@ FIT_ROWS, ROUNDS, PER_ROUND = 40_000, 3, 2_000
 SURE, NOT_AGAINST = 0.95, 0.35
 THRESHOLD = 0.5
 META_BUCKETS = 64
-_CHUNK = 1 << 20
+#: bytes of text handled at a time: temporaries are about 30 times that
+_CHUNK = 1 << 18
 TEXT_FEATURES = (
     "log_bytes", "log_words", "capitals", "digits", "symbols", "exclamation", "pipes", "non_ascii", "word_bytes", "long_words",
     "doubled_words", "distinct_words", "top_word", "short_lines", "distinct_lines", "log_lines", "ends_in_stop", "words_per_line",

@@ -42,7 +42,8 @@ LEAST_GAIN = 12.0
 STEPS, RATE, DECAY = 400, 0.3, 1e-4
 THRESHOLD = 0.7
 _PARTS = 256
-_CHUNK = 1 << 20
+#: bytes of text handled at a time: temporaries are about 30 times that
+_CHUNK = 1 << 18
 
 
 def _buckets(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
