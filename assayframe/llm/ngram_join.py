@@ -17,8 +17,11 @@ bucket can still change anything; they are filtered by size, by place (linked se
 share, and only shingles from there on can be shared), by a parity bitmap (bits that differ are shingles that differ,
 so too many rule a link out), by the prefix test, and then compared. So a large group of near
 copies costs a comparison for each member and bucket hub, not one for each pair, and no link that joins two
-components is missed. ``links`` holds the links found: each component is connected by them, but pairs inside a
-component are not all listed.
+components is missed. (3) Then all links are listed: they lie inside components, and linked classes meet at a place.
+The classes of a component are put in blocks by the place where most others are met. Blocks of a component that meet
+at a place are compared, all their pairs at once: first by the longer prefixes, then those left by whole sets.
+``links`` has every pair of linked classes, and ``n_links`` the other documents each document is linked with. Links of
+a group of near copies grow with the square of its size. Components alone (``keep_one_of_each``) need no third step.
 
 Buckets whose shingle is frequent are salted into ``SALTS`` parts with a hub each, compared in turn with the hubs' hub.
 
@@ -53,6 +56,10 @@ HOT, HOT_MEANS, SALTS = 20_000, 8, 64
 PARITY_LONGS, FOLDED = 16, 4
 #: shingles of a set for each prefix shingle that it has to share beyond the first
 MATCH_STEP = 16
+#: sets, and shingles, that a block of a component is meant to have
+BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 16
+#: shingles counted in one product of matrices
+_COLUMNS = 4096
 _CHUNK = 1 << 20
 
 
@@ -279,13 +286,106 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
 
 
-def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, component_id, class) of every document, and the links (a, b) found between classes."""
+def _shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of x shares with each set of y."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    flat = [np.concatenate(side) for side in (x, y)]
+    both = np.intersect1d(*flat)
+    if not len(both):
+        return out.astype(np.int64)
+    entries = []
+    for side, tokens in zip((x, y), flat):
+        at = np.searchsorted(both, tokens)
+        at[at == len(both)] = 0
+        held = both[at] == tokens
+        column, row = at[held], np.repeat(np.arange(len(side)), [len(t) for t in side])[held]
+        order = np.argsort(column, kind="stable")
+        entries.append((column[order], row[order]))
+    for i in range(0, len(both), _COLUMNS):
+        parts = []
+        for side, (column, row) in zip((x, y), entries):
+            a, b = np.searchsorted(column, [i, i + _COLUMNS])
+            part = np.zeros((len(side), min(_COLUMNS, len(both) - i)), np.float32)
+            part[row[a:b], column[a:b] - i] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def _links_between(x: list[tuple], y: list[tuple], percent: int) -> np.ndarray:
+    """Which sets of x link to which of y; rows are (class, copies, need, prefix, tokens)."""
+    need = np.minimum.outer([r[2] for r in x], [r[2] for r in y])
+    found = _shared_counts([r[4][: r[3]] for r in x], [r[4][: r[3]] for r in y]) >= need
+    a, b = np.flatnonzero(found.any(axis=1)), np.flatnonzero(found.any(axis=0))
+    if len(a):
+        shared = _shared_counts([x[i][4] for i in a], [y[i][4] for i in b])
+        total = np.add.outer([len(x[i][4]) for i in a], [len(y[i][4]) for i in b])
+        found[np.ix_(a, b)] &= 100 * shared >= percent * (total - shared)
+    return found
+
+
+def _compared(blocks: DataFrame, percent: int) -> DataFrame:
+    """(class, others, linked): linked classes greater than class, and the documents of all linked classes, for every pair of blocks (low, high) that a class is in."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, classes, others, linked, size = ["class", "others", "linked"], [], [], [], 0
+
+        def compare(key: tuple, sides: tuple[dict, dict]) -> int:
+            x = list(sides[0].values())
+            y = x if key[0] == key[1] else list(sides[1].values())
+            if not x or not y or (x is y and len(x) < 2):
+                return 0
+            found = _links_between(x, y, percent)
+            if x is y:
+                np.fill_diagonal(found, False)
+            n = 0
+            for left, right, links in ((x, y, found),) if x is y else ((x, y, found), (y, x, found.T)):
+                ids, copies = np.array([r[0] for r in right], np.int64), np.array([r[1] for r in right], np.int64)
+                for i in np.flatnonzero(links.any(axis=1)):
+                    own = ids[links[i]]
+                    classes.append(left[i][0])
+                    others.append(own[own > left[i][0]])
+                    linked.append(int(copies[links[i]].sum()))
+                    n += len(own)
+            return n
+
+        def flush() -> pa.RecordBatch:
+            offsets = np.concatenate([[0], np.cumsum([len(o) for o in others])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(others)))
+            return pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), lists, pa.array(linked, pa.int64())], names)
+
+        key, sides = None, ({}, {})
+        for batch in batches:
+            low, high, block, name, copies, need, prefix = (batch.column(c).to_numpy().tolist() for c in ("low", "high", "block", "class", "copies", "need", "prefix"))
+            lists = batch.column("tokens")
+            offsets, tokens = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for i in range(batch.num_rows):
+                if (low[i], high[i]) != key:
+                    if key:
+                        size += compare(key, sides)
+                        if size >= 1 << 18:
+                            yield flush()
+                            classes, others, linked, size = [], [], [], 0
+                    key, sides = (low[i], high[i]), ({}, {})
+                # a set may come from several tasks
+                sides[int(block[i] != low[i])][name[i]] = (name[i], copies[i], need[i], prefix[i], tokens[offsets[i] : offsets[i + 1]].copy())
+        if key:
+            compare(key, sides)
+        if classes:
+            yield flush()
+        pa.default_memory_pool().release_unused()
+
+    dealt = blocks.repartition("low", "high").sortWithinPartitions("low", "high")
+    return dealt.mapInArrow(scan, "class bigint, others array<bigint>, linked bigint")
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> tuple:
+    """Every document with its component, and what _all_links goes on from."""
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     classes, sketch = set_classes(docs, width)
     one = F.min(F.struct("doc_id", "n_shingles", "parity")).alias("one")
-    members = written(classes.where("class is not null").groupBy("class").agg(one).select("class", "one.doc_id", F.col("one.n_shingles").alias("n"), "one.parity"), "members")
+    members = written(classes.where("class is not null").groupBy("class").agg(one, F.count("*").alias("copies")).select("class", "one.doc_id", F.col("one.n_shingles").alias("n"), "one.parity", "copies"), "members")
     light = members.select("class", "n", "parity")
 
     # places where linked sets must meet: prefix shingles that two classes share
@@ -298,11 +398,11 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     smallest = F.ceil(F.lit(percent) * F.col("n") / 100)
     counted = shared.groupBy("class").agg(F.count("*").alias("met"), F.sum(F.when(F.col("place") >= 0, F.col("members")).otherwise(0)).alias("weight"))
     enough = counted.join(light.select("class", "n"), "class").where(F.col("met") >= 1 + F.floor(smallest / MATCH_STEP))
-    places = shared.where("place >= 0").join(enough.select("class", "weight"), "class").select("token", "salt", "class", "place", "weight")
+    places = shared.where("place >= 0").join(enough.select("class", "weight"), "class").select("token", "salt", "class", "place", "weight", "members")
 
     # hubs: the members that meet most others
     hub = F.max(F.struct("weight", "class")).over(spot)["class"].alias("hub")
-    weighed = written(places.select("token", "salt", "class", "place", "weight", hub), "places")
+    weighed = written(places.select("token", "salt", "class", "place", "weight", "members", hub), "places")
     hubs = weighed.where("salt >= 0 and class = hub").select("token", "class", "weight")
     over = hubs.groupBy("token").agg(F.max(F.struct("weight", "class")).alias("over"))
     spokes = weighed.select(F.col("class").alias("a"), F.col("hub").alias("b"))
@@ -348,7 +448,6 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 
     kept = pairs.select("a", "b").join(prefix("a"), "a").join(prefix("b"), "b").where(F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.least("need_a", "need_b")).select("a", "b")
     more = written(_linked(kept, sets, percent), "links")
-    links = links.unionAll(more)
     if more.limit(1).count():
         # only components that the new links join have to be followed
         of = components.withColumnRenamed("component", "of")
@@ -364,7 +463,42 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     smallest = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     final = joined.join(smallest, "component").select("class", "component_id")
     out = classes.join(final, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class")
-    return out, links
+    return out, members, weighed, components, sets_of
+
+
+def _all_links(members: DataFrame, weighed: DataFrame, components: DataFrame, sets_of, percent: int) -> DataFrame:
+    """(class, others, linked) of every pair of blocks, as _compared has them."""
+    spots = weighed.join(components, F.col("class") == F.col("id")).select("token", "class", F.col("component"), "weight", "members")
+    # a class belongs to the place where most others are met
+    anchors = spots.groupBy("class", "component").agg(F.max(F.struct("members", "token"))["token"].alias("anchor"), F.max("weight").alias("weight"))
+    anchors = written(anchors.join(members.select("class", "n", "copies"), "class"), "anchors")
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).alias("parts")
+    large = anchors.groupBy("component", "anchor").agg(parts).where("parts > 1")
+    part = F.pmod(F.xxhash64("class"), F.coalesce("parts", F.lit(1)))
+    least = F.ceil(F.lit(percent) * F.col("n") / 100)
+    need = F.least(least, F.lit(1) + F.floor(F.col("n") / MATCH_STEP) + F.floor(F.sqrt("weight")))
+    blocks = anchors.join(large, ["component", "anchor"], "left").select("class", F.xxhash64("component", "anchor", part).alias("block"), "copies", need.alias("need"), (F.col("n") - least + need).alias("prefix"))
+    blocks = written(blocks, "blocks")
+
+    at = written(spots.join(blocks.select("class", "block"), "class").select("token", "component", "block").distinct(), "at")
+    x, y = at.withColumnRenamed("block", "low"), at.withColumnRenamed("block", "high")
+    pairs = x.join(y, ["token", "component"]).where("low <= high").select("low", "high").distinct()
+    pairs = pairs.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
+    named = blocks.select(F.col("class").alias("a"), F.col("class").alias("b"))
+    return written(_compared(pairs.join(blocks, "block").join(sets_of(named).select("class", "tokens"), "class"), percent), "links")
+
+
+def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, component_id, class, n_links) of every document, and all links (a, b), a < b, between classes.
+
+    ``n_links`` counts the other documents that link to a document, those of its own class too.
+    """
+    found, members, *rest = _grouped(docs, width, percent)
+    listed = _all_links(members, *rest, percent)
+    others = listed.groupBy("class").agg(F.sum("linked").alias("linked"))
+    counts = members.select("class", "copies").join(others, "class", "left").select("class", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = found.join(counts, "class", "left").select("doc_id", "n_shingles", "component_id", "class", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    return out, listed.select(F.col("class").alias("a"), F.explode("others").alias("b"))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -372,7 +506,7 @@ def keep_one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
 
     Rows of one doc_id are one document, of which repeated rows with the same text stay once. Rows without a doc_id stay.
     """
-    found, _ = near_copies(docs, width, percent)
+    found = _grouped(docs, width, percent)[0]
     gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()

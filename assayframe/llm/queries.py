@@ -53,7 +53,7 @@ FROM formed GROUP BY conv_id"""
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = ngram_join.near_copies(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_shingles", "component_id")
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

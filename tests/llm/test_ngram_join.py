@@ -78,6 +78,22 @@ def test_a_chain_of_copies_is_one_component(spark):
     assert ours(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("block", [256, 3])
+def test_every_link_is_listed(spark, monkeypatch, block):
+    monkeypatch.setattr(m, "BLOCK_SETS", block)
+    words = [f"x{i}" for i in range(120)]
+    rows = corpus(5, 80) + [(100 + i, " ".join(words[: i * 4] + [f"new{i}"] + words[i * 4 + 1 :])) for i in range(25)] + [(200, " ".join(words)), (201, " ".join(words).upper())]
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} for d, t in rows if (w := t.translate(_LOW).split()) or True}
+    linked = {d: {e for e in sets if e != d and 100 * len(sets[d] & sets[e]) >= 75 * len(sets[d] | sets[e])} for d in sets}
+    found, links = m.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = found.collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == {d: len(e) for d, e in linked.items()}
+    named = {r["doc_id"]: r["class"] for r in got}
+    expected = {tuple(sorted((named[d], named[e]))) for d in linked for e in linked[d] if named[d] != named[e]}
+    listed = [(r["a"], r["b"]) for r in links.collect()]
+    assert len(listed) == len(set(listed)) and set(listed) == expected
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     assert ours(spark, rows) == brute(rows)
