@@ -385,7 +385,7 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> tuple:
     docs = docs.select("doc_id", "text")
     classes, sketch = set_classes(docs, width)
     one = F.min(F.struct("doc_id", "n_shingles", "parity")).alias("one")
-    members = written(classes.where("class is not null").groupBy("class").agg(one, F.count("*").alias("copies")).select("class", "one.doc_id", F.col("one.n_shingles").alias("n"), "one.parity", "copies"), "members")
+    members = written(classes.where("class is not null").groupBy("class").agg(one, F.min("doc_id").alias("name"), F.count("*").alias("copies")).select("class", "name", "one.doc_id", F.col("one.n_shingles").alias("n"), "one.parity", "copies"), "members")
     light = members.select("class", "n", "parity")
 
     # places where linked sets must meet: prefix shingles that two classes share
@@ -459,8 +459,8 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> tuple:
         components = written(grown.unionAll(merged.join(components.select("id"), "id", "left_anti").select("id", "component")), "components")
 
     # names of components: the smallest doc_id of all members
-    joined = members.join(components, F.col("class") == F.col("id"), "left").select("class", F.coalesce("component", "class").alias("component"), "doc_id")
-    smallest = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    joined = members.join(components, F.col("class") == F.col("id"), "left").select("class", F.coalesce("component", "class").alias("component"), "name")
+    smallest = joined.groupBy("component").agg(F.min("name").alias("component_id"))
     final = joined.join(smallest, "component").select("class", "component_id")
     out = classes.join(final, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class")
     return out, members, weighed, components, sets_of

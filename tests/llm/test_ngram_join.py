@@ -104,6 +104,14 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 9]
 
 
+def test_a_copy_without_an_id_names_nothing(spark):
+    words = [f"x{i}" for i in range(120)]
+    one, near = " ".join(words), " ".join(["new"] + words[1:])
+    docs = spark.createDataFrame([(None, one), (5, one), (7, one), (6, near)], "doc_id bigint, text string")
+    found = m.keep_one_of_each(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in found) == [(0, one), (5, one)]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(10, 60)] + [(3, 90), (90, 91), (5, 5)], "a bigint, b bigint")
     got = {r["id"]: r["component"] for r in connected_components(links).collect()}
