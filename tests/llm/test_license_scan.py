@@ -1,3 +1,5 @@
+import textwrap
+
 from assayframe.llm import license_scan as m
 
 
@@ -28,3 +30,24 @@ def test_own_licenses(spark):
     known = spark.createDataFrame([("own", "My words.")], "license_id string, text string")
     docs = spark.createDataFrame([(1, "my WORDS")], "doc_id bigint, text string")
     assert [tuple(r) for r in m.scan_licenses(docs, known).collect()] == [(1, "own", True, 1)]
+
+
+def test_every_text_matches_however_it_is_wrapped(spark):
+    rows, names = [], []
+    for license_id, text in m.LICENSES + m.WHOLE_TEXTS:
+        for width in (20, 33, 60, 72, 79, 400):
+            for sign in ("", " * ", "# ", "//  "):
+                lines = [line for part in text.split("\n") for line in textwrap.wrap(part, width, break_long_words=False) or [""]]
+                rows.append((len(rows), "Copyright 2020 Some One\n" + "\n".join(sign + line for line in lines), None, None))
+                names.append(license_id)
+    got = scan(spark, rows)
+    assert [(i, n) for i, n in enumerate(names) if not got.get((i, n), (False,))[0]] == []
+
+
+def test_blanks_and_notices(spark):
+    texts = ["Licensed under the Apache License, Version\n# 2.0.", "Licensed under the Apache License, Version  2.0."]
+    texts += [notice + "\nAll rights reserved." for notice in ("Copyright Foo Inc.", "Copyright (c) Foo", "(c) Foo", "copyright: 2020 X", "© X", "Copyright by X", "Copyright The Foo")]
+    got = scan(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    assert {i for (i, _), (whole, _) in got.items() if whole} == set(range(len(texts)))
+    got = scan(spark, [(1, "copyright notice\nAll rights reserved.", None, None), (2, "(c) You must\nAll rights reserved.", None, None)])
+    assert got == {(1, "reserved"): (False, 1), (2, "reserved"): (False, 1)}
