@@ -2,7 +2,8 @@
 
 Texts are handled as UTF-8 bytes: both word classes of this package are defined by ASCII ranges, and no
 byte of a multi-byte character falls in one, so words are runs of bytes and no per-word Python is needed.
-A word becomes a 64-bit hash (two different words collide with probability 2**-64).
+A word becomes a 64-bit hash, a polynomial over random values of its bytes, mixed; two different words of usual length
+collide with a probability of about 2**-60, and words made to collide (of a thousand bytes and more) are not guarded against.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-_MASK = np.iinfo(np.uint64).max
+_MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240607).integers(1, _MASK, 256, dtype=np.uint64)
@@ -25,22 +26,31 @@ NOT_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 ALNUM = np.ones(256, dtype=bool)
 ALNUM[:0x30] = ALNUM[0x3A:0x61] = ALNUM[0x7B:0x80] = False
 
-_pow: dict[int, np.ndarray] = {}
+#: bytes that are hashed at a time: longer spans are added up from pieces, so tables of powers stay this long
+_SPAN = 1 << 18
+_tables: dict[int, np.ndarray] = {}
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _pow.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        have = np.empty(size, dtype=np.uint64)
-        have[0] = 1
-        done = 1
-        while done < size:
-            k = min(done, size - done)
-            have[done : done + k] = have[:k] * np.uint64(pow(base, done, 1 << 64))
-            done += k
-        _pow[base] = have
-    return have[:n]
+def _powers(base: int) -> np.ndarray:
+    """base**0 to base**(_SPAN - 1), mod 2**64."""
+    have = _tables.get(base)
+    if have is None:
+        have = np.empty(_SPAN, dtype=np.uint64)
+        have[0], done = 1, 1
+        while done < _SPAN:
+            have[done : 2 * done] = have[:done] * np.uint64(pow(base, done, 1 << 64))
+            done *= 2
+        _tables[base] = have
+    return have
+
+
+def _sum_of_long(word: np.ndarray) -> int:
+    """The polynomial of one word of any length."""
+    total, powers = 0, _powers(_P)
+    for k in range(0, len(word), _SPAN):
+        part = _BYTE[word[k : k + _SPAN]]
+        total += int((part * powers[: len(part)]).sum(dtype=np.uint64)) * pow(_P, k, 1 << 64)
+    return total & _MASK
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,20 +85,32 @@ def slices(offsets: np.ndarray, most: int):
         i = j
 
 
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (n[0] of them), then first[1], ..."""
+    ends = np.cumsum(n)
+    return np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Words:
-    """The words of some texts, in order: ``start`` and ``end`` byte positions, and ``first[i]:first[i+1]`` of text i."""
+    """The words of some texts, in order: ``start`` and ``end`` byte positions, and ``first[i]:first[i+1]`` of text i.
+
+    ``kind`` says which bytes words are made of, by 0 and other numbers; a word is also cut between kinds a and b where ``cut[a, b]``.
+    """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray, keep_bytes: bool = True):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray, cut: np.ndarray | None = None):
         low = _LOWER[raw]
-        inside = kind[low]
+        inside = kind[low].astype(bool)
         n = len(low)
         if n:
-            begin = inside.copy()
-            begin[1:] &= ~inside[:-1]
+            turn = inside[1:] != inside[:-1]
+            if cut is not None:
+                own = kind[low]
+                turn |= cut.reshape(-1)[own[:-1] * np.uint8(len(cut)) + own[1:]]
+            begin, last = inside.copy(), inside.copy()
+            begin[1:] &= turn
+            last[:-1] &= turn
             cuts = offsets[:-1][offsets[:-1] < n]
             begin[cuts] = inside[cuts]
-            last = inside.copy()
-            last[:-1] &= ~inside[1:]
             stops = offsets[1:][offsets[1:] > 0] - 1
             last[stops] = inside[stops]
             self.start, self.end = np.flatnonzero(begin), np.flatnonzero(last) + 1
@@ -101,12 +123,23 @@ class Words:
         """One uint64 for each word, or for its first ``prefix`` bytes."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
-        n = len(self.low)
-        run = np.empty(n + 1, dtype=np.uint64)
-        run[0] = 0
-        np.cumsum(_BYTE[self.low] * _powers(_P, n), out=run[1:])
         end = self.end if prefix is None else np.minimum(self.end, self.start + prefix)
-        return mix((run[end] - run[self.start]) * _powers(_P_INV, n)[self.start] + (end - self.start).astype(np.uint64))
+        out = np.empty(len(end), np.uint64)
+        i = 0
+        while i < len(end):
+            first = int(self.start[i])
+            j = max(i + 1, int(np.searchsorted(self.end, first + _SPAN, side="right")))
+            if end[i] - first > _SPAN:  # one word longer than a span
+                out[i], j = _sum_of_long(self.low[first : end[i]]), i + 1
+            else:
+                n = int(end[j - 1]) - first
+                run = np.empty(n + 1, dtype=np.uint64)
+                run[0] = 0
+                np.cumsum(_BYTE[self.low[first : first + n]] * _powers(_P)[:n], out=run[1:])
+                at = self.start[i:j] - first
+                out[i:j] = (run[end[i:j] - first] - run[at]) * _powers(_P_INV)[at]
+            i = j
+        return mix(out + (end - self.start).astype(np.uint64))
 
 
 def rolling(h: np.ndarray, width: int) -> np.ndarray:

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assayframe.llm._components import connected_components
-from assayframe.llm._shared import bounded_batches, written
+from assayframe.llm._shared import bounded_batches, give_back, written
 from assayframe.llm._words import NOT_SPACE, Words, mix, rolling, slices, string_buffers
 
 WIDTH, PERCENT = 5, 75
@@ -60,7 +60,7 @@ MATCH_STEP = 16
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 16
 #: shingles counted in one product of matrices
 _COLUMNS = 4096
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -145,7 +145,7 @@ def set_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndar
                 counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), _even_lists(parity), *(pa.nulls(n, k) for k in kinds[4:])], names)
-        pa.default_memory_pool().release_unused()
+        give_back()
         part = TaskContext.get().partitionId()
         own = [(i, _packed(s)) for i, s in enumerate(counts.reshape(-1, 1 << SLICE_BITS)) if s.any()]
         n = len(own)
@@ -203,7 +203,7 @@ def _postings(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) ->
                 classes.append(np.full(p, name, np.int64))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(places))], ["token", "salt", "class", "place"])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.select(F.col("text").cast("string")).mapInArrow(scan, "token bigint, salt int, class bigint, place int")
 
@@ -249,7 +249,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, sketch: np.ndarray, width: i
                     classes, tokens, size = [], [], 0
             if classes:
                 yield flush()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     plain = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).withColumn("bit", bit)
     # other documents that the bitmap lets through do no harm: nothing is joined with their classes
@@ -373,7 +373,7 @@ def _compared(blocks: DataFrame, percent: int) -> DataFrame:
             compare(key, sides)
         if classes:
             yield flush()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     dealt = blocks.repartition("low", "high").sortWithinPartitions("low", "high")
     return dealt.mapInArrow(scan, "class bigint, others array<bigint>, linked bigint")

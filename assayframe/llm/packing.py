@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.llm import _tokens
-from assayframe.llm._shared import written
+from assayframe.llm._shared import bounded_batches, give_back, written
 
 CAPACITY, END_ID = 2048, 0
 FAN_IN, CARRY, RUN = 8, 4096, 200_000
@@ -39,17 +39,19 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tokens.encoder(tokenizer)
-        end = np.array([] if end_id is None else [end_id], "<u4")
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.concatenate([encoder.encode(text.as_py()).astype("<u4"), end])
-                for piece, at in enumerate(range(0, len(ids), capacity)):
-                    own = ids[at : at + capacity]
-                    rows.append((doc_id, piece, at, len(own), zlib.crc32(own)))
+            ids, sizes = encoder.encode_all(batch.column("text"))
+            ends, rows = np.concatenate([[0], np.cumsum(sizes)]), []
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                own = ids[a:b].astype("<u4") if end_id is None else np.append(ids[a:b].astype("<u4"), np.uint32(end_id))
+                for piece, at in enumerate(range(0, len(own), capacity)):
+                    part = own[at : at + capacity]
+                    rows.append((doc_id, piece, at, len(part), zlib.crc32(part)))
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ITEM)], [f.name for f in _ITEM])
+        give_back()
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assayframe.llm import _tokens, id_coder
+from assayframe.llm._shared import bounded_batches, give_back
 
 BLOCKS = "part int, block int, n_docs bigint, n_ids bigint, payload binary"
 END_ID = 1
@@ -69,8 +70,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = E
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "n_docs": [len(doc_ids)], "n_ids": [size], "payload": pa.array([payload], pa.binary())})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = encoder.encode(text.as_py())
+            found, counts = encoder.encode_all(batch.column("text"))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), np.split(found, np.cumsum(counts)[:-1])):
                 held += [ids, end]
                 doc_ids.append(doc_id)
                 lengths.append(len(ids) + len(end))
@@ -80,7 +81,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = E
                     held, doc_ids, lengths, size, block = [], [], [], 0, block + 1
         if doc_ids:
             yield row()
+        give_back()
 
+    bounded_batches(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.xxhash64("text").alias("tie"))
     ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(path)

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from assayframe.llm import decontaminate as m
@@ -86,3 +87,35 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.count() == 9
     assert m.remove_contaminated(odd_docs, items.limit(0)).count() == 11
     assert m.remove_contaminated(no_docs, items).count() == 0
+
+
+def test_repetitive_texts_cost_no_more():
+    """A text of one word against an item of that word: 19,000 places by 900 suffixes, in linear memory."""
+    import tracemalloc
+
+    bench = m.Benchmark([(1, "go " * 1000), (2, "go " * 40 + "stop")], 13)
+    raw, offsets = m.string_buffers(pa.array(["go " * 20_000, "stop go"]))
+    words = m.Words(raw, offsets, m.ALNUM)
+    tracemalloc.start()
+    found = m._findings(words.hashes(), np.diff(words.first), bench)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 << 20
+    assert found["spans"].to_pylist() == [[{"start": 0, "end": 20_000}], []]
+    assert found["item_ids"].to_pylist() == [[1, 2], []]
+    matches = found["matches"].to_pylist()[0]
+    assert matches[0] == {"item_id": 1, "item_word": 0, "doc_word": 0, "n_words": 1000} and len(matches) == 21
+
+
+def test_longest_of_several_items(spark):
+    a, b = " ".join(f"q{i}" for i in range(20)), " ".join(f"q{i}" for i in range(3, 40))
+    found = m.find_contamination(spark.createDataFrame([(1, "z " + b)], "doc_id bigint, text string"), spark.createDataFrame([(1, a), (2, b)], "item_id bigint, text string")).first()
+    assert [tuple(x) for x in found["matches"]] == [(2, 0, 1, 37)] and found["item_ids"] == ["1", "2"]
+
+
+def test_kept_columns_may_be_called_anything(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, "x", "y")], "doc_id bigint, text string, n_words int, _row string, _text string")
+    items = spark.createDataFrame([(1, "a b")], "item_id bigint, text string")
+    found = m.find_contamination(docs, items, keep=("n_words", "_row", "_text")).first()
+    assert (found["kept_n_words"], found["_row"], found["_text"], found["n_words"], found["contaminated"]) == (5, "x", "y", 2, True)
+    assert m.remove_contaminated(docs, items).columns == docs.columns
