@@ -42,15 +42,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from assayframe.llm import _counts
 from assayframe.llm._components import connected_components
 from assayframe.llm._shared import bounded_batches, give_back, written
 from assayframe.llm._words import NOT_SPACE, Words, mix, rolling, slices, string_buffers
 
 WIDTH, PERCENT = 5, 75
-#: counters of the sketch, in slices that tasks add up separately
-SKETCH_BITS, SLICE_BITS = 21, 14
-#: parts that sums of sketches are combined in
-_PARTS = 256
+#: counters of the sketch
+SKETCH_BITS = 21
 #: a shingle is frequent from this estimate on, or from this multiple of the sketch's mean load
 HOT, HOT_MEANS, SALTS = 20_000, 8, 64
 PARITY_LONGS, FOLDED = 16, 4
@@ -114,21 +113,10 @@ def _even_lists(rows: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.reshape(-1)))
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """Counters in the fewest bytes that hold them."""
-    return counts.astype(np.min_scalar_type(counts.max())).tobytes()
-
-
-def _unpacked(counts: bytes) -> np.ndarray:
-    return np.frombuffer(counts, f"u{len(counts) >> SLICE_BITS}").astype(np.uint64)
-
-
 def set_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n_shingles, class, parity) of every document, and the sketch of shingle counts over all documents."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         names = ["doc_id", "n_shingles", "class", "parity", "part", "slice", "counts"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
@@ -146,29 +134,13 @@ def set_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndar
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), _even_lists(parity), *(pa.nulls(n, k) for k in kinds[4:])], names)
         give_back()
-        part = TaskContext.get().partitionId()
-        own = [(i, _packed(s)) for i, s in enumerate(counts.reshape(-1, 1 << SLICE_BITS)) if s.any()]
-        n = len(own)
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(n, k) for k in kinds[:4]), pa.array([part] * n, pa.int32()), pa.array([i for i, _ in own], pa.int32()), pa.array([b for _, b in own], pa.binary())], names)
+        sums = _counts.columns(counts)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(sums[0]), k) for k in kinds[:4]), *sums], names)
 
     plain = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     scanned = written(plain.mapInArrow(scan, "doc_id bigint, n_shingles bigint, class bigint, parity array<bigint>, part int, slice int, counts binary"), "classes")
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(1 << SLICE_BITS, np.uint64)
-        for b in table.column("counts"):
-            total += _unpacked(b.as_py())
-        first = table.slice(0, 1)
-        return pa.table({"part": first.column("part"), "slice": first.column("slice"), "counts": pa.array([_packed(total)], pa.binary())})
-
-    sums = scanned.where("slice is not null").select("part", "slice", "counts")
-    parts = (sums.agg(F.max("part")).first()[0] or 0) + 1
-    while parts > 1:
-        parts = -(-parts // _PARTS)
-        sums = sums.withColumn("part", F.floor(F.col("part") / _PARTS).cast("int")).groupBy("slice", "part").applyInArrow(add, "part int, slice int, counts binary")
-    sketch = np.zeros(1 << SKETCH_BITS, np.float32)
-    for row in sums.collect():  # at most 2**SKETCH_BITS counters, whatever the input
-        sketch[row["slice"] << SLICE_BITS : (row["slice"] + 1) << SLICE_BITS] = _unpacked(row["counts"])
+    sketch = _counts.total(scanned.where("slice is not null").select("part", "slice", "counts"), 1 << SKETCH_BITS).astype(np.float32)
     return scanned.where("slice is null").select("doc_id", "n_shingles", "class", "parity"), sketch
 
 

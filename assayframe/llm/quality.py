@@ -1,25 +1,27 @@
 """Quality classifier by co-training of two views of a document.
 
-The text view is a fixed list of content features (shares of capitals, symbols, digits, blanks and doubled words, word
-lengths, repetition of words and lines, ...) of the whole text. The metadata view has what a page is known by apart
-from its text: language, source and length, hashed and bucketed. Each view has a logistic model of its own, fitted by
-numpy.
+The text view is what the whole text says: counted features (shares of capitals, symbols, digits, doubled words, word
+lengths, repetition of words and lines, ...) and its words, hashed into ``WORD_BUCKETS`` shares. The metadata view has
+what a page is known by apart from its text: language, source and length, hashed and bucketed. Each view has a logistic
+model of its own, fitted by numpy.
 
 (1) One pass over all documents computes both views; the small numeric table is written out. (2) Both models are fitted
-on labelled documents, at most ``FIT_ROWS``. (3) In each round both models score every unlabelled document, the ones
-each is surest of (``PER_ROUND`` for each class in proportion, a grouped top-n by score) become pseudo-labels for the
-other view, if the other does not contradict them, and both are fitted anew. (4) Each view is calibrated by a logistic
-curve on held-out labelled rows, and the combined score of all documents is the average of both views' calibrated
-log-odds, weighted by what each view explains beyond the base rate.
+on labelled documents, at most ``FIT_ROWS``. (3) In each round both models judge every distinct unlabelled text, and the
+share each is surest of (``SHARE`` of all in each round more, by class in proportion, found by a histogram of all) become
+pseudo-labels for the other view, if the other does not contradict them. Both are refitted by Newton steps, whose sums
+over all pseudo-labelled texts are added up in the partitions; no pseudo-labelled row comes to the driver. (4) Each view
+is calibrated by a logistic curve on held-out labelled rows, and the combined score of all documents is the average of
+both views' calibrated log-odds, weighted by what each view explains beyond the base rate.
 
 Defined cases: null and empty texts, which hold nothing to learn from, get the features of an empty text; null lang or
 source is a value of its own; a null n_chars is taken from the text; labels of null are none; of repeated label rows
-of a document the lowest counts; with labels of one class only, every score is that class's share; an empty table gives
-no row; extra columns are ignored.
+of a document the lowest counts; without any label every score is 0.5 and ``reject_poor`` keeps all; with labels of one
+class only, every score is that class's share; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections.abc import Iterator
 
@@ -29,14 +31,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm._shared import written
+from assayframe.llm import _counts
+from assayframe.llm._shared import bounded_batches, give_back, written
 from assayframe.llm._words import NOT_SPACE, Words, field, slices, string_buffers, whole_rows
 
-FIT_ROWS, ROUNDS, PER_ROUND = 40_000, 3, 2_000
+#: labelled rows fitted at most; rounds, and the share of unlabelled texts that each adds to the pseudo-labels
+FIT_ROWS, ROUNDS, SHARE = 20_000, 3, 0.1
+#: weight of all pseudo-labels against all labels, Newton steps a round, bins of the histogram of certainty
+PSEUDO, NEWTON, BINS = 0.5, 2, 2_000
 #: a pseudo-label needs this probability from its own view, and at least this from the other
 SURE, NOT_AGAINST = 0.95, 0.35
 THRESHOLD = 0.5
-META_BUCKETS = 64
+META_BUCKETS, META_STEPS, WORD_BUCKETS = 64, 14, 128
 #: bytes of text handled at a time: temporaries are about 30 times that
 _CHUNK = 1 << 18
 TEXT_FEATURES = (
@@ -55,9 +61,10 @@ _IS = {
 
 
 def text_features(column: pa.Array) -> np.ndarray:
-    """TEXT_FEATURES of every text of a column."""
+    """TEXT_FEATURES and roots of the shares of hashed words, of every text of a column."""
     raw, offsets = string_buffers(column)
-    out = np.zeros((len(offsets) - 1, len(TEXT_FEATURES)))
+    n_own = len(TEXT_FEATURES)
+    out = np.zeros((len(offsets) - 1, n_own + WORD_BUCKETS), np.float32)
     for i, j in slices(offsets, _CHUNK):
         own, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         n = np.maximum(np.diff(at), 1)
@@ -69,13 +76,14 @@ def text_features(column: pa.Array) -> np.ndarray:
         share = {k: (lambda c: (c[at[1:]] - c[at[:-1]]) / n)(np.concatenate([[0], np.cumsum(is_[own])])) for k, is_ in _IS.items()}
         doubled = np.bincount(doc[1:][(hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])], minlength=j - i) if len(doc) else np.zeros(j - i)
         # distinct words and the most frequent one, by sorting (document, word)
-        order = np.lexsort((hashes, doc))
-        h, d = hashes[order], doc[order]
-        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])) if len(h) else np.zeros(0, np.int64)
-        runs = np.diff(np.append(new, len(h)))
-        distinct = np.bincount(d[new], minlength=j - i) if len(h) else np.zeros(j - i)
+        keys = np.sort((doc << 48) | (hashes >> np.uint64(16)).astype(np.int64))
+        new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        runs, d = np.diff(np.append(new, len(keys))), keys[new] >> 48
+        distinct = np.bincount(d, minlength=j - i)
         top = np.zeros(j - i)
-        np.maximum.at(top, d[new], runs)
+        np.maximum.at(top, d, runs)
+        buckets = np.bincount(doc * WORD_BUCKETS + (hashes & np.uint64(WORD_BUCKETS - 1)).astype(np.int64), minlength=(j - i) * WORD_BUCKETS)
+        out[i:j, n_own:] = np.sqrt(buckets.reshape(-1, WORD_BUCKETS) / some[:, None])
         ends = np.concatenate([[0], np.cumsum(own == 10)])
         lines = ends[at[1:]] - ends[at[:-1]] + 1
         for row in range(i, j):
@@ -96,48 +104,65 @@ def text_features(column: pa.Array) -> np.ndarray:
 
 
 def meta_features(lang: list, source: list, n_chars: np.ndarray) -> np.ndarray:
-    """Hashed language, source and both together, and the length in steps."""
-    out = np.zeros((len(lang), META_BUCKETS + 14))
-    for i, (a, b) in enumerate(zip(lang, source)):
-        for key in (f"l{a}", f"s{b}", f"l{a} s{b}"):
-            out[i, zlib.crc32(key.encode()) % META_BUCKETS] += 1
-    steps = np.minimum(np.log2(1 + np.maximum(n_chars, 0)).astype(np.int64), 13)
-    out[np.arange(len(lang)), META_BUCKETS + steps] = 1
+    """The places of what is 1 in a row of the metadata view: language, source, both together, and the length in steps."""
+    known: dict[tuple, list[int]] = {}
+    out = np.zeros((len(lang), 4), np.int32)
+    for i, pair in enumerate(zip(lang, source)):
+        if pair not in known:
+            a, b = pair
+            known[pair] = [zlib.crc32(key.encode()) % META_BUCKETS for key in (f"l{a}", f"s{b}", f"l{a} s{b}")]
+        out[i, :3] = known[pair]
+    out[:, 3] = META_BUCKETS + np.minimum(np.log2(1 + np.maximum(n_chars, 0)).astype(np.int64), META_STEPS - 1)
     return out
 
 
+def _meta_rows(places: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(places), META_BUCKETS + META_STEPS), np.float32)
+    for column in places.T:
+        out[np.arange(len(places)), column] += 1
+    return out
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 class Logistic:
-    """A logistic model on standardised features, with their pairwise steps for the text view left to quantile bins."""
-
-    def __init__(self, bins: int):
-        self.bins = bins
-
-    def fit(self, x: np.ndarray, y: np.ndarray, sure: np.ndarray) -> Logistic:
-        self.edges = np.quantile(x, np.linspace(0, 1, self.bins + 1)[1:-1], axis=0) if self.bins else np.zeros((0, x.shape[1]))
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-        z = self._expand(x)
-        w = np.zeros(z.shape[1])
-        # classes weigh alike, rows by how sure their labels are
-        weight = sure * np.where(y == 1, 0.5 / max((sure * (y == 1)).sum(), 1e-9), 0.5 / max((sure * (y == 0)).sum(), 1e-9))
-        ridge = 1e-4 * np.eye(z.shape[1])
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            grad = z.T @ (weight * (p - y)) + ridge @ w
-            hess = (z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + ridge
-            move = np.linalg.solve(hess, grad)
-            w -= move * min(1.0, 5.0 / (np.abs(move).max() + 1e-12))
-            if np.abs(move).max() < 1e-6:
-                break
-        self.w = w
+    """A logistic model on standardised features; the first ``binned`` of them also by steps at their quantiles."""
+
+    def __init__(self, bins: int, binned: int):
+        self.bins, self.binned = bins, binned
+
+    def prepare(self, x: np.ndarray) -> Logistic:
+        self.edges = np.quantile(x[:, : self.binned], np.linspace(0, 1, self.bins + 1)[1:-1], axis=0) if self.bins else np.zeros((0, self.binned))
+        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+        self.w = np.zeros(1 + x.shape[1] + self.edges.size)
         return self
 
-    def _expand(self, x: np.ndarray) -> np.ndarray:
+    def expand(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
-        binned = [(x > edge).astype(np.float64) for edge in self.edges]
+        binned = [(x[:, : self.binned] > edge).astype(np.float64) for edge in self.edges]
         return np.concatenate([np.ones((len(x), 1)), z, *binned], axis=1)
 
+    def sums(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and second derivatives of the weighted loss."""
+        z = self.expand(x)
+        p = _sigmoid(z @ self.w)
+        return z.T @ (weight * (p - y)), (z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z
+
+    def step(self, grad: np.ndarray, hess: np.ndarray) -> float:
+        ridge = 1e-3 * np.eye(len(self.w))
+        move = np.linalg.solve(hess + ridge, grad + ridge @ self.w)
+        self.w = self.w - move * min(1.0, 5.0 / (np.abs(move).max() + 1e-12))
+        return float(np.abs(move).max())
+
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(self._expand(x) @ self.w, -30, 30)
+        return np.clip(self.expand(x) @ self.w, -30, 30)
+
+
+def _balanced(y: np.ndarray) -> np.ndarray:
+    """Row weights with which both classes weigh alike, 1 in all."""
+    return np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
 
 
 def _curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -178,7 +203,7 @@ class CoTrained:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-_VIEWS = "text_view array<double>, meta_view array<double>"
+_VIEWS = "text_view array<float>, meta_view array<int>"
 
 
 def _both_views(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> list[np.ndarray]:
@@ -195,100 +220,132 @@ def _given(docs: DataFrame) -> DataFrame:
 
 
 def views(docs: DataFrame) -> DataFrame:
-    """doc_id with both views of every document."""
+    """doc_id, a hash of the text and both views of every document."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = _both_views(*(batch.column(c) for c in ("text", "lang", "source", "n_chars")))
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.reshape(-1))) for v in both]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], ["doc_id", "text_view", "meta_view"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("same"), *lists], ["doc_id", "same", "text_view", "meta_view"])
+        give_back()
 
-    plain = _given(docs).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("bigint"))
-    return plain.mapInArrow(scan, f"doc_id bigint, {_VIEWS}")
+    bounded_batches(docs.sparkSession)
+    plain = _given(docs).select(F.col("doc_id").cast("bigint"), F.xxhash64(F.col("text").cast("string")).alias("same"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("bigint"))
+    return plain.mapInArrow(scan, f"doc_id bigint, same bigint, {_VIEWS}")
 
 
 def _arrays(batch) -> list[np.ndarray]:
-    return [np.array(batch.column(c).flatten()).reshape(batch.num_rows, -1) for c in ("text_view", "meta_view")]
+    text, meta = (np.array(batch.column(c).flatten()).reshape(batch.num_rows, -1) for c in ("text_view", "meta_view"))
+    return [text, _meta_rows(meta)]
 
 
-def _rows(df: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """Both views and the label of a bounded table."""
-    got = df.select("text_view", "meta_view", "label").toPandas()
-    if not len(got):
-        return [np.zeros((0, len(TEXT_FEATURES))), np.zeros((0, META_BUCKETS + 14))], np.zeros(0)
-    return [np.stack(got["text_view"].to_numpy()), np.stack(got["meta_view"].to_numpy())], got["label"].to_numpy(np.float64)
+def _labelled(table: DataFrame, known: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    """Both views and the label of FIT_ROWS labelled documents at most, those with the smallest hashes of their ids."""
+    order = F.xxhash64("doc_id", F.lit("fit"))
+    few = known.orderBy(order, "doc_id").limit(FIT_ROWS)
+    got = table.join(F.broadcast(few), "doc_id").orderBy(order, "same").limit(FIT_ROWS).select("text_view", "meta_view", "label").toArrow()
+    if not got.num_rows:
+        return [], np.zeros(0)
+    return _arrays(got.combine_chunks().to_batches()[0]), got.column("label").to_numpy().astype(np.float64)
 
 
 def train(table: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = ROUNDS) -> CoTrained | float:
-    """A co-trained model from views (doc_id, text_view, meta_view), or the share of good documents if labels have one class."""
-    spark = table.sparkSession
+    """A co-trained model from views (doc_id, same, text_view, meta_view); the share of good documents if labels have one class, 0.5 without labels."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min(F.col(label).cast("int")).alias("label"))
-    order = F.xxhash64("doc_id", F.lit("fit"))
-    few = known.orderBy(order).limit(FIT_ROWS)
-    x, y = _rows(table.join(F.broadcast(few), "doc_id").orderBy(order).limit(FIT_ROWS))
+    x, y = _labelled(table, known)
     if not len(y) or y.min() == y.max():
-        return float(y.mean()) if len(y) else 0.0
+        return float(y.mean()) if len(y) else 0.5
     keep_out = np.arange(len(y)) % 4 == 0  # for calibration
     if len(np.unique(y[~keep_out])) < 2 or len(np.unique(y[keep_out])) < 2:
         keep_out[:] = False
+    held = keep_out if keep_out.any() else ~keep_out
     fit_x, fit_y = [v[~keep_out] for v in x], y[~keep_out]
-    extra = [(np.zeros((0, v.shape[1])), np.zeros(0)) for v in x]
-
-    def both() -> CoTrained:
-        made = []
-        for k, bins in enumerate((8, 0)):
-            own, own_y = np.concatenate([fit_x[k], extra[k][0]]), np.concatenate([fit_y, extra[k][1]])
-            sure = np.concatenate([np.ones(len(fit_y)), np.full(len(extra[k][1]), 0.5)])
-            made.append(Logistic(bins).fit(own, own_y, sure))
-        out = CoTrained(*made)
-        held = keep_out if keep_out.any() else ~keep_out
-        out.calibrate([v[held] for v in x], y[held])
-        return out
-
-    model = both()
-    unlabelled = table.join(known.select("doc_id"), "doc_id", "left_anti")
-    for _ in range(rounds):
-        sure = _sure(unlabelled, model, spark)
-        for k in (0, 1):  # what view k is sure of teaches the other
-            got = sure.where(F.col("view") == k)
-            new_x, new_y = _rows(got)
-            extra[1 - k] = (new_x[1 - k], new_y)
-        model = both()
+    weight = _balanced(fit_y)
+    views_ = [Logistic(8, len(TEXT_FEATURES)).prepare(fit_x[0]), Logistic(0, 0).prepare(fit_x[1])]
+    for view, own in zip(views_, fit_x):
+        for _ in range(25):
+            if view.step(*view.sums(own, fit_y, weight)) < 1e-4:
+                break
+    model = CoTrained(*views_)
+    model.calibrate([v[held] for v in x], y[held])
+    distinct = table.join(known.select("doc_id"), "doc_id", "left_anti").groupBy("same").agg(F.first("text_view").alias("text_view"), F.first("meta_view").alias("meta_view"))
+    distinct = written(distinct.drop("same"), "distinct")
+    for number in range(1, rounds + 1):
+        cuts, taken = _surest(distinct, model, min(1.0, number * SHARE))
+        if not taken.any():
+            break
+        teacher = copy.deepcopy(model)
+        for _ in range(NEWTON):
+            for k, (grad, hess) in enumerate(_pseudo_sums(distinct, teacher, model, cuts, taken)):
+                own_grad, own_hess = model.views[k].sums(fit_x[k], fit_y, weight)
+                model.views[k].step(own_grad + grad, own_hess + hess)
+        model.calibrate([v[held] for v in x], y[held])
     return model
 
 
-def _sure(unlabelled: DataFrame, model: CoTrained, spark) -> DataFrame:
-    """Rows that one view is sure of and the other does not contradict: the surest PER_ROUND for each view and class."""
-    shared = spark.sparkContext.broadcast(model)
-    good = 1 / (1 + np.exp(-model.base))
+def _certain(model: CoTrained, x: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(view, label, rows, bins of certainty from SURE to 1) of what a view is sure of and the other does not contradict."""
+    good = float(_sigmoid(np.array(model.base)))
+    p = [_sigmoid(a * m.logits(v) + b) for (a, b), m, v in zip(model.curves, model.views, x)]
+    for k in (0, 1):
+        for label in (0, 1):
+            mine, other = (p[k], p[1 - k]) if label else (1 - p[k], 1 - p[1 - k])
+            rows = np.flatnonzero((mine >= SURE) & (other >= NOT_AGAINST * (good if label else 1 - good)))
+            # by log-odds, which tell the surest apart
+            odds = np.log(mine[rows] / np.maximum(1 - mine[rows], 1e-14))
+            yield k, label, rows, np.clip((odds / 32 * BINS).astype(np.int64), 0, BINS - 1)
+
+
+def _surest(distinct: DataFrame, model: CoTrained, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each view and label the least bin of certainty that is taken, and how many texts that gives: the surest, up to ``share`` of all by class."""
+    shared = distinct.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        counts = np.zeros((2, 2, BINS))
+        n = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            p = [1 / (1 + np.exp(-np.clip(a * m.logits(v) + b, -30, 30))) for (a, b), m, v in zip(own.curves, own.views, _arrays(batch))]
-            for k in (0, 1):
-                for label in (0, 1):
-                    mine, other = (p[k], p[1 - k]) if label else (1 - p[k], 1 - p[1 - k])
-                    rows = np.flatnonzero((mine >= SURE) & (other >= NOT_AGAINST * (good if label else 1 - good)))
-                    most = max(1, int(PER_ROUND * (good if label else 1 - good)))
-                    rows = rows[np.argsort(-mine[rows], kind="stable")[:most]]
-                    part = batch.select(["text_view", "meta_view"]).take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(rows), k, np.int32)), pa.array(np.full(len(rows), label, np.int32)), pa.array(mine[rows]), part.column(0), part.column(1)],
-                        ["view", "label", "sure", "text_view", "meta_view"],
-                    )
-
-    found = unlabelled.mapInArrow(scan, f"view int, label int, sure double, {_VIEWS}")
-    found = written(found, "sure")
-    out = None
+            n += batch.num_rows
+            if batch.num_rows:
+                for k, label, _, bins in _certain(shared.value, _arrays(batch)):
+                    counts[k, label] += np.bincount(bins, minlength=BINS)
+        yield _counts.floats([counts, np.array([n])])
+
+    counts, n = _counts.total_floats(distinct.mapInArrow(scan, _counts.SCHEMA), [(2, 2, BINS), (1,)])
+    good = float(_sigmoid(np.array(model.base)))
+    above = np.cumsum(counts[:, :, ::-1], axis=2)[:, :, ::-1]
+    cuts, taken = np.full((2, 2), BINS), np.zeros((2, 2))
     for k in (0, 1):
         for label in (0, 1):
-            most = max(1, int(PER_ROUND * (good if label else 1 - good)))
-            best = found.where((F.col("view") == k) & (F.col("label") == label)).orderBy(F.desc("sure"), F.xxhash64("text_view")).limit(most)
-            out = best if out is None else out.unionAll(best)
-    return out
+            most = max(1.0, share * float(n[0]) * (good if label else 1 - good))
+            # at least the surest bin that has any
+            some = np.flatnonzero(counts[k, label])
+            if len(some):
+                cuts[k, label] = min(int(some[-1]), int((above[k, label] > most).sum()))
+                taken[k, label] = above[k, label, cuts[k, label]]
+    return cuts, taken
+
+
+def _pseudo_sums(distinct: DataFrame, teacher: CoTrained, model: CoTrained, cuts: np.ndarray, taken: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Gradient and second derivatives of each view over the texts that the other is surest of."""
+    shared = distinct.sparkSession.sparkContext.broadcast((teacher, model))
+    shapes = [s for view in model.views for s in ((len(view.w),), (len(view.w),) * 2)]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        teacher, model = shared.value
+        out = [np.zeros(s) for s in shapes]
+        for batch in batches:
+            x = _arrays(batch) if batch.num_rows else None
+            for k, label, rows, bins in _certain(teacher, x) if x else ():
+                rows = rows[bins >= cuts[k, label]]
+                if len(rows):
+                    weight = np.full(len(rows), PSEUDO / 2 / max(taken[k, label], 1))
+                    grad, hess = model.views[1 - k].sums(x[1 - k][rows], np.full(len(rows), float(label)), weight)
+                    out[2 * (1 - k)] += grad
+                    out[2 * (1 - k) + 1] += hess
+        yield _counts.floats(out)
+
+    found = _counts.total_floats(distinct.mapInArrow(scan, _counts.SCHEMA), shapes)
+    return [(found[0], found[1]), (found[2], found[3])]
 
 
 def score(table: DataFrame, model: CoTrained | float) -> DataFrame:
@@ -324,7 +381,8 @@ def reject_poor(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
         own = shared.value
         for batch in batches:
             if batch.num_rows:
-                scores = own.score(_both_views(*(field(batch, c) for c in ("text", "lang", "source", "n_chars"))))
-                yield batch.filter(pa.array(scores >= threshold))
+                text, meta = _both_views(*(field(batch, c) for c in ("text", "lang", "source", "n_chars")))
+                yield batch.filter(pa.array(own.score([text, _meta_rows(meta)]) >= threshold))
+        give_back()
 
     return rows.mapInArrow(scan, rows.schema).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
