@@ -2,14 +2,17 @@
 
 A document's set are its distinct shingles of ``width`` words (lower-cased A-Z, words between blanks), as 64-bit
 hashes. Two sets link if 100 * intersection >= percent * union. Documents with equal sets form a class, named by a
-64-bit hash of the set, and only classes are joined.
+64-bit hash of the set (among 10**10 different sets some 3 pairs are expected to share one, and would count as copies),
+and only classes are joined.
 
 Prefixes. All sets are ordered by an estimate of how many documents hold a shingle (a count sketch of fixed size over
 all documents), then by hash. With a = ceil(percent * n / 100), sets that link share at least l of the first
-n - a + l shingles of each, for any l up to a. With l = 1 that gives the places where linked sets must meet. From the
-start l is 1 + n // MATCH_STEP: sets that meet others in fewer places than any partner could ask for go at once. For
-pairs that are left, l grows with the candidates a set is estimated to meet, by floor(sqrt(cost)), to a at most. A pair
-has to share min(l, l') of these longer prefixes before its whole sets are compared.
+n - a + l shingles of each, for any l up to a; with different l for both, at least the smaller. In the first pass a set
+takes l = 1 + n // MATCH_STEP + log2(1 + cost), the cost being the mean estimate over its prefix of one match: the more
+candidates a set is estimated to meet, the longer its prefix and the more of it partners have to share. Sets that
+share fewer shingles than they ask for, or than the least demanding set that they meet asks for, go at once. For pairs
+that are left, l grows with the candidates that a set was really found to meet, by floor(sqrt(cost)), to a at most. A
+pair, of a hub or not, has to share min(l, l') of these longer prefixes before its whole sets are compared.
 
 Order of work. (1) In each bucket of a prefix shingle, members are compared with the bucket's hub, the member
 that meets most others; the links found give components. (2) Only pairs of different components that meet in a
@@ -43,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assayframe.llm import _counts
-from assayframe.llm._components import connected_components
+from assayframe.llm._components import connected_components, looked_up
 from assayframe.llm._shared import bounded_batches, give_back, written
 from assayframe.llm._words import NOT_SPACE, Words, mix, rolling, slices, string_buffers
 
@@ -51,7 +54,7 @@ WIDTH, PERCENT = 5, 75
 #: counters of the sketch
 SKETCH_BITS = 21
 #: a shingle is frequent from this estimate on, or from this multiple of the sketch's mean load
-HOT, HOT_MEANS, SALTS = 20_000, 8, 64
+HOT, HOT_MEANS, SALTS, PARTS = 20_000, 8, 64, 16
 PARITY_LONGS, FOLDED = 16, 4
 #: shingles of a set for each prefix shingle that it has to share beyond the first
 MATCH_STEP = 16
@@ -100,9 +103,9 @@ def _least(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _matches(n: int) -> int:
-    """Prefix shingles that are asked for from the start; longer prefixes follow where candidates are many."""
-    return 1 + n // MATCH_STEP
+def _matches(n: int, cost: float, percent: int) -> int:
+    """Prefix shingles that a set asks its partners for: more for a larger set, and for one that is estimated to meet many."""
+    return min(_least(n, percent), 1 + n // MATCH_STEP + int(np.log2(1 + cost)))
 
 
 def _bucket(own: np.ndarray) -> np.ndarray:
@@ -113,13 +116,17 @@ def _even_lists(rows: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.reshape(-1)))
 
 
+def _text_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["text"].cast("string"))
+
+
 def set_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, class, parity) of every document, and the sketch of shingle counts over all documents."""
+    """(doc_id, a hash of its text, n_shingles, class, parity) of every document, and the sketch of shingle counts over all documents."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["doc_id", "n_shingles", "class", "parity", "part", "slice", "counts"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
+        names = ["doc_id", "same", "n_shingles", "class", "parity", "part", "slice", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             sizes, classes, held = [0] * batch.num_rows, [None] * batch.num_rows, []
             parity = np.zeros((batch.num_rows, PARITY_LONGS), np.int64)
@@ -132,16 +139,16 @@ def set_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndar
             if held:
                 counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), _even_lists(parity), *(pa.nulls(n, k) for k in kinds[4:])], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("same"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), _even_lists(parity), *(pa.nulls(n, k) for k in kinds[5:])], names)
         give_back()
         sums = _counts.columns(counts)
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(sums[0]), k) for k in kinds[:4]), *sums], names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(sums[0]), k) for k in kinds[:5]), *sums], names)
 
-    plain = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    scanned = written(plain.mapInArrow(scan, "doc_id bigint, n_shingles bigint, class bigint, parity array<bigint>, part int, slice int, counts binary"), "classes")
+    plain = docs.select(F.col("doc_id").cast("bigint"), _text_hash(docs).alias("same"), F.col("text").cast("string"))
+    scanned = written(plain.mapInArrow(scan, "doc_id bigint, same bigint, n_shingles bigint, class bigint, parity array<bigint>, part int, slice int, counts binary"), "classes")
 
     sketch = _counts.total(scanned.where("slice is not null").select("part", "slice", "counts"), 1 << SKETCH_BITS).astype(np.float32)
-    return scanned.where("slice is null").select("doc_id", "n_shingles", "class", "parity"), sketch
+    return scanned.where("slice is null").select("doc_id", "same", "n_shingles", "class", "parity"), sketch
 
 
 def _ordered(own: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +159,7 @@ def _ordered(own: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _postings(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(token, salt, class, place) for every shingle of prefixes of _matches; salt is -1 but for frequent shingles, place counts from 0 in the prefix of one match and is -1 beyond it. A class comes once a task."""
+    """(token, salt, class, place, need) for every shingle of prefixes of _matches, which is need; salt is -1 but for frequent shingles, place counts from 0 in the prefix of one match and is -1 beyond it. A class comes once a task."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     hot = max(HOT, HOT_MEANS * float(sketch.mean()))
 
@@ -160,7 +167,7 @@ def _postings(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) ->
         sketch = shared.value
         met: set[int] = set()
         for batch in batches:
-            tokens, salts, classes, places = [], [], [], []
+            tokens, salts, classes, places, needs = [], [], [], [], []
             for _, own in _sets(batch.column("text"), width):
                 name = _class_of(own)
                 if name is None or name in met:
@@ -168,28 +175,32 @@ def _postings(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) ->
                 met.add(name)
                 own, estimate = _ordered(own, sketch)
                 shorter = len(own) - _least(len(own), percent) + 1
-                p = min(len(own), shorter + _matches(len(own)) - 1)
+                need = _matches(len(own), float(estimate[:shorter].mean()), percent)
+                p = shorter + need - 1
+                needs.append(np.full(p, need, np.int32))
                 tokens.append(own[:p])
                 places.append(np.where(np.arange(p) < shorter, np.arange(p), -1).astype(np.int32))
                 salts.append(np.where(estimate[:p] >= hot, name % SALTS, -1).astype(np.int32))
                 classes.append(np.full(p, name, np.int64))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(places))], ["token", "salt", "class", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(places)), pa.array(np.concatenate(needs))], ["token", "salt", "class", "place", "need"])
         give_back()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(scan, "token bigint, salt int, class bigint, place int")
+    return docs.select(F.col("text").cast("string")).mapInArrow(scan, "token bigint, salt int, class bigint, place int, need int")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, sketch: np.ndarray, width: int) -> DataFrame:
     """(class, n, tokens in global order) of the classes in wanted (class, doc_id of one member).
 
-    A bitmap of 2**24 bits over hashed doc_ids lets other documents be skipped where they are read.
+    A bitmap over hashed doc_ids, of 16 bits for each wanted one and 2**28 (32 MB) at most, lets other documents be skipped
+    where they are read.
     """
     spark = docs.sparkSession
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24))  # the bitmap functions count from 1
+    bits = min(28, max(20, (16 * wanted.count()).bit_length()))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))  # the bitmap functions count from 1
     rows = wanted.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    bitmap = np.zeros(1 << 21, np.uint8)
-    for row in rows:  # 512 rows of 4 kB at most
+    bitmap = np.zeros(1 << bits - 3, np.uint8)
+    for row in rows:  # rows of 4 kB, as many as the bitmap has
         at = (row["n"] - 1) * 4096
         own = np.frombuffer(row["bits"], np.uint8)
         bitmap[at : at + len(own)] = own
@@ -244,18 +255,28 @@ def _differ(x: list, y: list):
 
 def _near(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of classes that their sizes and whole bitmaps (class, n, parity) do not rule out."""
-    x, y = light.alias("x"), light.alias("y")
     bits = [[F.col(f"{side}.parity")[i] for i in range(PARITY_LONGS)] for side in "xy"]
-    joined = pairs.join(x, F.col("a") == F.col("x.class")).join(y, F.col("b") == F.col("y.class"))
+    joined = pairs.join(light.select(F.col("class").alias("a"), F.struct("n", "parity").alias("x")), "a").join(light.select(F.col("class").alias("b"), F.struct("n", "parity").alias("y")), "b")
     return joined.where(_may_link(F.col("x.n"), F.col("y.n"), _differ(*bits), percent)).select(*pairs.columns)
 
 
+def _need(percent: int, cost: str):
+    """Shingles that a set of n asks for once the candidates it meets are counted."""
+    least = F.ceil(F.lit(percent) * F.col("n") / 100)
+    return F.least(least, F.lit(1) + F.floor(F.col("n") / MATCH_STEP) + F.floor(F.sqrt(cost))), least
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) of classes whose whole sets link."""
-    whole = sets.select("class", "tokens")
-    x, y = whole.select(F.col("class").alias("a"), F.col("tokens").alias("x")), whole.select(F.col("class").alias("b"), F.col("tokens").alias("y"))
+    """Those pairs (a, b, cost_a, cost_b) of classes that pass the prefix test, with prefixes lengthened by cost, and whose whole sets link."""
+    sides = []
+    for side, tokens in (("a", "x"), ("b", "y")):
+        need, least = _need(percent, f"cost_{side}")
+        own = (sides[0] if sides else pairs).join(sets.select(F.col("class").alias(side), "n", "tokens"), side)
+        prefix = F.slice("tokens", F.lit(1), (F.col("n") - least + need).cast("int"))
+        sides.insert(0, own.select(*[c for c in own.columns if c not in ("n", "tokens")], need.alias(f"need_{side}"), prefix.alias(f"prefix_{side}"), F.col("tokens").alias(tokens)))
+    passed = sides[0].where(F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.least("need_a", "need_b"))
     shared = F.size(F.array_intersect("x", "y"))
-    return pairs.join(x, "a").join(y, "b").where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
+    return passed.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
 
 
 def _shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -363,23 +384,25 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> tuple:
     # places where linked sets must meet: prefix shingles that two classes share
     spot = Window.partitionBy("token", "salt")
     met = _postings(docs, sketch, width, percent).repartition("token", "salt")
-    met = met.select("token", "salt", "class", "place", F.min("class").over(spot).alias("low"), F.max("class").over(spot).alias("high"), F.count("*").over(spot).alias("members"))
-    met = met.where("low <> high or salt >= 0").groupBy("token", "salt", "class").agg(F.max("place").alias("place"), F.max("members").alias("members"))
+    met = met.select("token", "salt", "class", "place", "need", F.min("need").over(spot).alias("least"), F.min("class").over(spot).alias("low"), F.max("class").over(spot).alias("high"), F.count("*").over(spot).alias("members"))
+    met = met.where("low <> high or salt >= 0").groupBy("token", "salt", "class").agg(F.max("place").alias("place"), F.max("members").alias("members"), F.max("need").alias("need"), F.min("least").alias("least"))
     shared = written(met, "shared")
-    # a set goes unless it shares as many as the smallest set it could link to asks for
+    # a set goes unless it shares as many as it asks for itself, or as the least demanding set that it meets, or the smallest it could link to, asks for
     smallest = F.ceil(F.lit(percent) * F.col("n") / 100)
-    counted = shared.groupBy("class").agg(F.count("*").alias("met"), F.sum(F.when(F.col("place") >= 0, F.col("members")).otherwise(0)).alias("weight"))
-    enough = counted.join(light.select("class", "n"), "class").where(F.col("met") >= 1 + F.floor(smallest / MATCH_STEP))
+    counted = shared.groupBy("class").agg(F.count("*").alias("met"), F.sum(F.when(F.col("place") >= 0, F.col("members")).otherwise(0)).alias("weight"), F.least(F.max("need"), F.min("least")).alias("asked"))
+    enough = counted.join(light.select("class", "n"), "class").where(F.col("met") >= F.greatest("asked", F.lit(1) + F.floor(smallest / MATCH_STEP)))
     places = shared.where("place >= 0").join(enough.select("class", "weight"), "class").select("token", "salt", "class", "place", "weight", "members")
 
     # hubs: the members that meet most others
-    hub = F.max(F.struct("weight", "class")).over(spot)["class"].alias("hub")
-    weighed = written(places.select("token", "salt", "class", "place", "weight", "members", hub), "places")
+    hub = F.max(F.struct("weight", "class")).over(spot)
+    weighed = written(places.select("token", "salt", "class", "place", "weight", "members", hub["class"].alias("hub"), hub["weight"].alias("hub_weight")), "places")
     hubs = weighed.where("salt >= 0 and class = hub").select("token", "class", "weight")
     over = hubs.groupBy("token").agg(F.max(F.struct("weight", "class")).alias("over"))
-    spokes = weighed.select(F.col("class").alias("a"), F.col("hub").alias("b"))
-    spokes = spokes.unionAll(hubs.join(over, "token").select(F.col("class").alias("a"), F.col("over.class").alias("b")))
-    spokes = spokes.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    spokes = weighed.select(F.col("class").alias("a"), F.col("hub").alias("b"), F.col("weight").alias("cost_a"), F.col("hub_weight").alias("cost_b"))
+    spokes = spokes.unionAll(hubs.join(over, "token").select(F.col("class").alias("a"), F.col("over.class").alias("b"), F.col("weight").alias("cost_a"), F.col("over.weight").alias("cost_b")))
+    turned = F.col("a") > F.col("b")
+    spokes = spokes.where("a <> b").select(*[F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("cost_a", "cost_b"), ("cost_b", "cost_a"))])
+    spokes = spokes.groupBy("a", "b").agg(F.max("cost_a").alias("cost_a"), F.max("cost_b").alias("cost_b"))
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         named = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
@@ -391,17 +414,21 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> tuple:
     components = connected_components(links)
 
     # what is left: pairs of different components
-    named = weighed.join(components, F.col("class") == F.col("id"), "left").select("token", "class", "place", F.coalesce("component", "class").alias("component"), "weight")
+    named = weighed.join(components, F.col("class") == F.col("id"), "left").select("token", "salt", "class", "place", F.coalesce("component", "class").alias("component"), "weight")
     several = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     mixed = named.join(several, "token")
     # bitmaps folded to 256 bits are enough to rule out most pairs where they meet
     folded = [reduce(Column.bitwiseXOR, (F.col("parity")[i] for i in range(k, PARITY_LONGS, FOLDED))).alias(f"bits{k}") for k in range(FOLDED)]
     left = written(mixed.join(light.select("class", "n", *folded), "class"), "left")
-    x, y = left.alias("x"), left.alias("y")
+    # the members of a frequent shingle are dealt to PARTS tasks, in each of which they meet all members
+    part = F.when(F.col("salt") >= 0, F.pmod(F.xxhash64("class"), F.lit(PARTS))).otherwise(0)
+    every = F.when(F.col("salt") >= 0, F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    x, y = left.withColumn("meet", part).alias("x"), left.withColumn("meet", F.explode(every)).alias("y")
     bits = [[F.col(f"{side}.bits{k}") for k in range(FOLDED)] for side in "xy"]
     pairs = x.join(
         y,
         (F.col("x.token") == F.col("y.token"))
+        & (F.col("x.meet") == F.col("y.meet"))
         & (F.col("x.class") < F.col("y.class"))
         & (F.col("x.component") != F.col("y.component"))
         & _may_start(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"), F.col("x.n") + F.col("y.n"), percent)
@@ -409,17 +436,7 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> tuple:
     )
     pairs = pairs.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.max("x.weight").alias("cost_a"), F.max("y.weight").alias("cost_b"))
     pairs = written(_near(pairs, light, percent), "pairs")
-    sets = sets_of(pairs)
-
-    def prefix(side: str) -> DataFrame:
-        """Prefixes lengthened by the candidates that a set is estimated to meet."""
-        own = pairs.select(F.col(side).alias("class"), F.col(f"cost_{side}").alias("cost")).distinct().join(sets.select("class", "n", "tokens"), "class")
-        least = F.ceil(F.lit(percent) * F.col("n") / 100)
-        need = F.least(least, F.lit(1) + F.floor(F.col("n") / MATCH_STEP) + F.floor(F.sqrt("cost")))
-        return own.select(F.col("class").alias(side), need.alias(f"need_{side}"), F.slice("tokens", F.lit(1), (F.col("n") - least + need).cast("int")).alias(f"prefix_{side}"))
-
-    kept = pairs.select("a", "b").join(prefix("a"), "a").join(prefix("b"), "b").where(F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.least("need_a", "need_b")).select("a", "b")
-    more = written(_linked(kept, sets, percent), "links")
+    more = written(_linked(pairs, sets_of(pairs), percent), "links")
     if more.limit(1).count():
         # only components that the new links join have to be followed
         of = components.withColumnRenamed("component", "of")
@@ -433,8 +450,8 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> tuple:
     # names of components: the smallest doc_id of all members
     joined = members.join(components, F.col("class") == F.col("id"), "left").select("class", F.coalesce("component", "class").alias("component"), "name")
     smallest = joined.groupBy("component").agg(F.min("name").alias("component_id"))
-    final = joined.join(smallest, "component").select("class", "component_id")
-    out = classes.join(final, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class")
+    final = looked_up(joined, smallest, "component", "class").select("class", "component_id")
+    out = looked_up(classes, final, "class", "doc_id", "left").select("doc_id", "same", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class")
     return out, members, weighed, components, sets_of
 
 
@@ -447,8 +464,7 @@ def _all_links(members: DataFrame, weighed: DataFrame, components: DataFrame, se
     parts = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).alias("parts")
     large = anchors.groupBy("component", "anchor").agg(parts).where("parts > 1")
     part = F.pmod(F.xxhash64("class"), F.coalesce("parts", F.lit(1)))
-    least = F.ceil(F.lit(percent) * F.col("n") / 100)
-    need = F.least(least, F.lit(1) + F.floor(F.col("n") / MATCH_STEP) + F.floor(F.sqrt("weight")))
+    need, least = _need(percent, "weight")
     blocks = anchors.join(large, ["component", "anchor"], "left").select("class", F.xxhash64("component", "anchor", part).alias("block"), "copies", need.alias("need"), (F.col("n") - least + need).alias("prefix"))
     blocks = written(blocks, "blocks")
 
@@ -469,17 +485,17 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     listed = _all_links(members, *rest, percent)
     others = listed.groupBy("class").agg(F.sum("linked").alias("linked"))
     counts = members.select("class", "copies").join(others, "class", "left").select("class", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = found.join(counts, "class", "left").select("doc_id", "n_shingles", "component_id", "class", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    out = looked_up(found, counts, "class", "doc_id", "left").select("doc_id", "n_shingles", "component_id", "class", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
     return out, listed.select(F.col("class").alias("a"), F.explode("others").alias("b"))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """docs without the documents of a component that has a smaller doc_id; all columns as they were.
 
-    Rows of one doc_id are one document, of which repeated rows with the same text stay once. Rows without a doc_id stay.
+    Rows of one doc_id are judged by their texts; repeated rows with the same text stay once. Rows without a doc_id stay.
     """
     found = _grouped(docs, width, percent)[0]
-    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")
+    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone"), F.col("same").alias("_same")).distinct()
+    kept = docs.join(gone, (docs["doc_id"].cast("bigint") == gone["_gone"]) & (_text_hash(docs) == gone["_same"]), "left_anti")
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null")) if repeated else kept

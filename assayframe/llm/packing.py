@@ -3,10 +3,13 @@
 Documents become ids (plus an end id) in one pass; only those longer than a sequence are cut, into whole sequences
 and a rest. Packing then handles pieces as (length, reference) rows: every partition packs its pieces by best fit,
 longest first, and emits the bins that are nearly full. The underfull bins become items of the next round, where the
-bins of ``FAN_IN`` neighbouring groups are packed by best fit again, up a tree to one group. A group hands on at most
-``CARRY`` bins, the emptiest ones (two bins over half full never fit together, and of the others at most one is left
-in a group); any further ones are emitted as they are. So no task ever holds more than FAN_IN * CARRY bins, or
-RUN pieces at a time in the first round.
+bins of ``FAN_IN`` neighbouring groups are packed by best fit again, up a tree to one group.
+
+What a group hands on is small, and nothing more could be of use. After best fit at most one bin is half full or less,
+as two would have been one. Bins that are fuller never fit together, so all that can still happen to them is to take in
+bins half full or less of other groups. Each round brings at most ``FAN_IN`` of those to a group, and there are
+fewer than ``ROUNDS`` rounds; so of its fuller bins a group hands on the ``FAN_IN * ROUNDS`` with most room, and emits
+the others as they are. A first-round task packs ``RUN`` pieces at a time, each run being a group of its own.
 
 Defined cases: a null or empty text is the end id alone; repeated rows and equal doc_ids are pieces of their own; an
 empty table gives no row; extra columns are ignored.
@@ -26,12 +29,13 @@ from assayframe.llm import _tokens
 from assayframe.llm._shared import bounded_batches, give_back, written
 
 CAPACITY, END_ID = 2048, 0
-FAN_IN, CARRY, RUN = 8, 4096, 200_000
+#: groups that meet in a round, rounds at most (8**21 groups), and pieces a task packs at a time
+FAN_IN, ROUNDS, RUN = 8, 21, 200_000
 #: a bin is nearly full if no more than capacity // SLACK ids are free
 SLACK = 256
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-_BINS = "part int, number bigint, done boolean, used bigint, items array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
+_BINS = "part bigint, number bigint, done boolean, used bigint, items array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = END_ID) -> DataFrame:
@@ -78,7 +82,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return where, offset
 
 
-def _bins(part: int, first: int, sizes: np.ndarray, ends: np.ndarray, items: pa.StructArray, capacity: int, last: bool) -> pa.RecordBatch:
+def _bins(part: int, sizes: np.ndarray, ends: np.ndarray, items: pa.StructArray, capacity: int, last: bool) -> pa.RecordBatch:
     """Bins of the given things (pieces or bins), each of which stands for items[ends[i]:ends[i+1]]."""
     where, _ = best_fit(sizes, capacity)
     order = np.argsort(where, kind="stable")
@@ -89,11 +93,10 @@ def _bins(part: int, first: int, sizes: np.ndarray, ends: np.ndarray, items: pa.
     taken = items.take(pa.array(begin + np.arange(len(begin))))
     held = np.concatenate([[0], np.cumsum(np.bincount(where, weights=counts, minlength=n).astype(np.int64))])
     done = (capacity - used <= capacity // SLACK) | last
-    under = np.flatnonzero(~done)
-    if len(under) > CARRY:
-        done[under[np.argsort(used[under], kind="stable")[CARRY:]]] = True
+    fuller = np.flatnonzero(~done & (2 * used > capacity))
+    done[fuller[np.argsort(used[fuller], kind="stable")[FAN_IN * ROUNDS :]]] = True
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, part, np.int32)), pa.array(first + np.arange(n)), pa.array(done), pa.array(used), pa.ListArray.from_arrays(pa.array(held.astype(np.int32)), taken)],
+        [pa.array(np.full(n, part, np.int64)), pa.array(np.arange(n)), pa.array(done), pa.array(used), pa.ListArray.from_arrays(pa.array(held.astype(np.int32)), taken)],
         ["part", "number", "done", "used", "items"],
     )
 
@@ -105,7 +108,7 @@ def _merge(capacity: int, last: bool):
         table = table.combine_chunks()
         items = table.column("items").chunk(0)
         ends = items.offsets.to_numpy().astype(np.int64)
-        return pa.Table.from_batches([_bins(int(table.column("part")[0].as_py()), 0, table.column("used").to_numpy(), ends - ends[0], items.flatten(), capacity, last)])
+        return pa.Table.from_batches([_bins(int(table.column("part")[0].as_py()), table.column("used").to_numpy(), ends - ends[0], items.flatten(), capacity, last)])
 
     return merge
 
@@ -116,36 +119,38 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, first, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, run, held, size = TaskContext.get().partitionId(), 0, [], 0
 
-        def run() -> pa.RecordBatch:
+        def pack_run() -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks()
             items = pa.StructArray.from_arrays([table.column(f.name).combine_chunks() if table.column(f.name).num_chunks != 1 else table.column(f.name).chunk(0) for f in _ITEM], fields=list(_ITEM))
-            return _bins(part, first, table.column("length").to_numpy(), np.arange(len(table) + 1), items, capacity, False)
+            return _bins((part << 20) + run, table.column("length").to_numpy(), np.arange(len(table) + 1), items, capacity, False)
 
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
                 size += batch.num_rows
             if size >= RUN:
-                out = run()
-                yield out
-                first, held, size = first + out.num_rows, [], 0
+                yield pack_run()
+                run, held, size = run + 1, [], 0
         if size:
-            yield run()
+            yield pack_run()
+        give_back()
 
     rounds = [written(pieces.mapInArrow(local, _BINS), "bins")]
-    groups = (rounds[0].agg(F.max("part")).first()[0] or 0) + 1
+    parts, runs = rounds[0].agg(F.max(F.shiftright("part", 20)), F.max(F.col("part").bitwiseAND((1 << 20) - 1))).first()
+    groups = ((parts or 0) + 1) * ((runs or 0) + 1)
+    # groups are numbered without gaps between the runs of a task
+    rounds[0] = rounds[0].withColumn("part", F.shiftright("part", 20) * ((runs or 0) + 1) + F.col("part").bitwiseAND((1 << 20) - 1))
     while groups > 1:
         groups = -(-groups // FAN_IN)
-
-        under = rounds[-1].where("not done").withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
+        under = rounds[-1].where("not done").withColumn("part", F.floor(F.col("part") / FAN_IN))
         rounds.append(written(under.groupBy("part").applyInArrow(_merge(capacity, groups == 1), _BINS), "bins"))
     out = None
     for level, bins in enumerate(rounds):
         kept = bins if level == len(rounds) - 1 else bins.where("done")
         # unique: the round, the group in it, the bin in that
-        numbered = kept.select((F.lit(level).cast("bigint") * (1 << 58) + F.col("part").cast("bigint") * (1 << 32) + F.col("number")).alias("sequence_id"), "items")
+        numbered = kept.select((F.lit(level).cast("bigint") * (1 << 58) + F.col("part") * (1 << 26) + F.col("number")).alias("sequence_id"), "items")
         out = numbered if out is None else out.unionAll(numbered)
     before = F.transform("items", lambda x, i: F.struct(x.alias("piece"), F.aggregate(F.slice("items", 1, i), F.lit(0).cast("bigint"), lambda s, y: s + y["length"]).alias("offset")))
     return out.select("sequence_id", F.inline(before)).select("piece.*", "sequence_id", "offset")

@@ -117,7 +117,24 @@ def test_packing_of_odd_rows(spark, odd_docs, no_docs, tokenizer, plain):
     assert packing.pack_documents(no_docs, tokenizer).count() == 0
 
 
-def test_best_fit_and_carry(monkeypatch):
+def test_best_fit():
     where, offset = packing.best_fit(np.array([5, 5, 3, 7, 10, 2]), 10)
     assert len(set(where)) == 4 and where[3] == where[2] and offset[2] == 7
-    monkeypatch.setattr(packing, "CARRY", 2)
+
+
+def test_what_is_not_handed_on_changes_nothing(spark, monkeypatch):
+    """Many bins over half full and a few small pieces: as few sequences as if every group handed on all its bins."""
+    rows = [(i, 0, 0, 600 + i % 90, 0) for i in range(900)] + [(1000 + i, 0, 0, 100 + i, 0) for i in range(40)]
+    pieces = spark.createDataFrame(rows, packing.PIECES).repartition(12)
+    used = {}
+    for keep in (packing.ROUNDS, 10**6):
+        monkeypatch.setattr(packing, "ROUNDS", keep)
+        monkeypatch.setattr(packing, "RUN", 30)
+        got = packing.pack(pieces, 1000).collect()
+        assert sorted((r["doc_id"], r["length"]) for r in got) == sorted((r[0], r[3]) for r in rows)
+        ends = {}
+        for r in got:
+            ends.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        assert all(sum(n for _, n in own) <= 1000 and all(o == sum(n for p, n in own if p < o) for o, _ in own) for own in ends.values())
+        used[keep] = len(ends)
+    assert used[packing.ROUNDS] == used[21] == 900
