@@ -412,9 +412,9 @@ def truncate_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", text.truncate_response(F.col("text")).alias("preview"), text.snippet(F.col("text"), 200).alias("snippet"))
 
 
-@_query("SELECT doc_id, coalesce(nullif(trim(regexp_replace(regexp_replace(left(text, 40), '[^\\p{L}\\p{N}\\p{M}_-]', '-', 'g'), '-+', '-', 'g'), '-'), ''), 'candidate-' || (doc_id + 1)) AS name FROM documents")
+@_query("SELECT doc_id, coalesce(nullif(trim(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N}\\p{M}_-]', '-', 'g'), '-+', '-', 'g'), '-'), ''), 'candidate-' || (doc_id + 1)) AS name FROM documents")
 def name_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", text.name_part(F.left("text", F.lit(40)), F.col("doc_id")).alias("name"))
+    return _table(spark, sf_dir, "documents").select("doc_id", text.name_part(F.col("text"), F.col("doc_id")).alias("name"))
 
 
 @_query(f"WITH {RUNS}, g AS (SELECT case_source, 100.0 * count(*) FILTER (passed) / count(*) AS r FROM runs GROUP BY 1) SELECT case_source, CASE WHEN r >= 80 THEN 'green' WHEN r >= 50 THEN 'yellow' ELSE 'red' END AS colour FROM g")
@@ -500,7 +500,7 @@ def tool_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT doc_id, CASE WHEN lang IN ('en') THEN 'functional' WHEN lang = 'de' THEN 'triggering' END AS domain FROM documents")
 def domain_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.when(F.col("lang") == "en", " Functional ").when(F.col("lang") == "de", "TRIGGERING").otherwise("other")
+    said = F.when(F.col("lang") == "en", "\t\u00a0Functional\n").when(F.col("lang") == "de", "TRIGGERING").otherwise("other")
     return _table(spark, sf_dir, "documents").select("doc_id", text.parse_domain(said).alias("domain"))
 
 
@@ -510,9 +510,47 @@ def last_user_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.where(F.exists("m", lambda m: m["role"] == "user")).select("conv_id", text.last_user_prompt(F.col("m"), F.lit("")).alias("prompt"))
 
 
-@_query()
+@_query("SELECT 10::BIGINT AS n_rows, 10::BIGINT AS n_items, 10::BIGINT AS n_known, 0 AS first_idx, 9 AS last_idx, count(*) AS n_all FROM benchmark")
 def sample_evals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples.sample_cases(_table(spark, sf_dir, "benchmark").select("item_id"), 10, seed=7)
+    """A sample of 10 cases is 10 different known cases, numbered anew; a sample of 10**6 is all of them."""
+    cases = _table(spark, sf_dir, "benchmark").select("item_id")
+    few = samples.sample_cases(cases, 10, seed=7).join(cases.withColumn("known", F.lit(1)), "item_id", "left")
+    counted = few.agg(F.count("*").alias("n_rows"), F.countDistinct("item_id").alias("n_items"), F.count("known").alias("n_known"), F.min("case_idx").alias("first_idx"), F.max("case_idx").alias("last_idx"))
+    return counted.crossJoin(samples.sample_cases(cases, 10**6).agg(F.count("*").alias("n_all")))
+
+
+_MIDDLE = """WITH d AS (SELECT doc_id, lower(text) AS t, doc_id % 2 = 1 AS bash FROM documents),
+told AS (SELECT doc_id, [CASE WHEN NOT contains(t, 'the') THEN 'contains: expected response to contain ' || chr(39) || 'the' || chr(39) END,
+    CASE WHEN NOT regexp_matches(t, 'w[aeiou]+t') THEN 'regex: pattern ' || chr(39) || '(?i)w[aeiou]+t' || chr(39) || ' did not match' END,
+    CASE WHEN NOT bash THEN 'tool_called: expected tool ' || chr(39) || 'Bash' || chr(39) || ' to be called' END] AS m FROM d)
+SELECT doc_id, array_to_string(list_filter(m, lambda x: x IS NOT NULL), '; ') AS told FROM told"""
+
+
+@_query(_MIDDLE)
+def assert_all_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assertions of which a regular expression is in the middle: failures are told in their order."""
+    asked = F.array(*[F.struct(F.lit(k).alias("type"), F.lit(v).alias("value")) for k, v in (("contains", "the"), ("regex", "(?i)w[aeiou]+t"), ("tool_called", "Bash"))])
+    rows = answers(spark, sf_dir).withColumn("tools", F.array_compact(F.array(F.when(F.col("doc_id") % 2 == 1, "Bash")))).withColumn("assertions", asked)
+    return grading.grade(rows).select("doc_id", F.when(F.col("judgment.pass"), "").otherwise(F.col("judgment.reasoning")).alias("told"))
+
+
+@_query(f"WITH {RUNS} SELECT count(DISTINCT case_source) AS n_cases, count(DISTINCT case_source) FILTER (NOT passed) AS n_failing, sum(CASE WHEN cached THEN 0 ELSE 1 END)::BIGINT AS n_calls, avg(passed::INT) AS score FROM runs")
+def case_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different cases, those with a failure, calls that were really made, and the score from 0 to 1."""
+    rows = plain_runs(spark, sf_dir).groupBy("case_source").agg(F.count("*").alias("n"), F.count_if("passed").alias("c"), F.count_if(~F.col("cached")).alias("calls"))
+    return rows.agg(F.count("*").alias("n_cases"), F.count_if(F.col("c") < F.col("n")).alias("n_failing"), F.sum("calls").alias("n_calls"), (F.sum("c") / F.sum("n")).alias("score"))
+
+
+@_query("SELECT doc_id, array_to_string((string_split(text, chr(10)))[1:10], '|') AS head, greatest(len(string_split(text, chr(10))) - 10, 0)::BIGINT AS n_more FROM documents")
+def script_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head, more = text.first_lines(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(head, "|").alias("head"), more.cast("bigint").alias("n_more"))
+
+
+@_query("SELECT page_id, list_last(string_split(rtrim(url, '/'), '/')) AS name, array_to_string(list_transform(string_split(replace(url, '/', ' , '), ','), lambda x: trim(x)), '|') AS parts FROM pages")
+def path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return pages.select("page_id", text.last_part(F.col("url")).alias("name"), F.array_join(text.comma_list(F.replace("url", F.lit("/"), F.lit(" , "))), "|").alias("parts"))
 
 
 def queries() -> dict:

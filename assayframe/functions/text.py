@@ -12,6 +12,18 @@ PREVIEW_CHARS = 500
 KEBAB = r"^[a-z0-9]+(-[a-z0-9]+)*$"
 
 
+#: white space and line ends as Python knows them, as classes of regular expressions
+SPACE = "\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACES = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+_END = "(?>\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029])"
+_IN_LINE = "[\t\x1f \xa0\u1680\u2000-\u200a\u202f\u205f\u3000]*"
+
+
+def strip(text: Column) -> Column:
+    """A text without white space of any kind at both ends."""
+    return F.btrim(text, F.lit(_SPACES))
+
+
 def hash_content(text: Column) -> Column:
     """The first 12 hex digits of a text's sha256."""
     return F.substring(F.sha2(text, 256), 1, 12)
@@ -44,31 +56,34 @@ def name_part(name: Column, position: Column) -> Column:
 
 
 def parse_domain(value: Column) -> Column:
-    low = F.lower(F.trim(value))
+    low = F.lower(strip(value))
     return F.when(low.isin(*DOMAINS), low)
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0))).cast("bigint")
+    """Runs of anything but white space: one pass that turns white space to blanks, one that splits there."""
+    plain = F.btrim(F.translate(text, _SPACES, " " * len(_SPACES)))
+    return F.when(plain == "", F.lit(0).cast("bigint")).otherwise(F.size(F.filter(F.split(plain, " "), lambda w: w != "")).cast("bigint"))
 
 
 def kebab(value: Column) -> Column:
     return value.rlike(KEBAB)
 
 
-def _lines(text: Column) -> Column:
-    return F.split(text, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]")
+def opens_frontmatter(content: Column) -> Column:
+    """Whether the first line is ``---`` when stripped."""
+    return content.rlike(rf"\A{_IN_LINE}---{_IN_LINE}(?:{_END}|\z)")
 
 
-def stripped_lines(text: Column) -> Column:
-    return F.transform(_lines(text), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+def closes_frontmatter(content: Column) -> Column:
+    """Whether a later line is ``---`` when stripped."""
+    return content.rlike(rf"{_END}{_IN_LINE}---{_IN_LINE}(?:{_END}|\z)")
 
 
 def raw_frontmatter(content: Column) -> Column:
     """The lines between the first line and the next that is ``---``, both when stripped; null if there are not two."""
-    lines = stripped_lines(content)
-    close = F.array_position(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "---").cast("int")
-    return F.when((lines[0] == "---") & (close > 0), F.array_join(F.slice(_lines(content), F.lit(2), close - 1), "\n"))
+    lines = F.regexp_extract(content, rf"\A{_IN_LINE}---{_IN_LINE}{_END}(?:((?s:.*?)){_END})??{_IN_LINE}---{_IN_LINE}(?:{_END}|\z)", 1)
+    return F.when(opens_frontmatter(content) & closes_frontmatter(content), F.regexp_replace(lines, _END, "\n"))
 
 
 def split_frontmatter(content: Column) -> tuple[Column, Column]:
@@ -88,7 +103,7 @@ def simple_fields(front: Column) -> Column:
     lines = F.filter(F.split(front, "\n"), lambda x: x.rlike(r"^[A-Za-z0-9_-]+\s*:(\s|$)"))
     pairs = F.transform(
         lines,
-        lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.regexp_replace(F.trim(x.substr(F.locate(":", x) + 1, F.length(x))), r"""^(["'])(.*)\1$""", "$2").alias("value")),
+        lambda x: F.struct(strip(F.substring_index(x, ":", 1)).alias("key"), F.regexp_replace(strip(x.substr(F.locate(":", x) + 1, F.length(x))), r"""^(["'])(.*)\1$""", "$2").alias("value")),
     )
     first = F.filter(pairs, lambda p, i: F.array_position(F.transform(pairs, lambda q: q["key"]), p["key"]) == i + 1)
     return F.map_from_entries(first)
@@ -96,10 +111,13 @@ def simple_fields(front: Column) -> Column:
 
 def section_items(body: Column, section: str) -> Column:
     """Items of the markdown section of that name (a regular expression): the numbered ones, or else the bulleted."""
-    after = F.regexp_extract(body, rf"(?dmi)^##\s+{section}\s*$([\s\S]*)", 1)
-    content = F.regexp_extract(after, r"(?dm)\A([\s\S]*?)(?:^##\s|\z)", 1)
-    numbered = F.regexp_extract_all(content, F.lit(r"(?dm)^\d+\.\s+(.+)$"), F.lit(1))
-    return F.when(F.size(numbered) > 0, numbered).otherwise(F.regexp_extract_all(content, F.lit(r"(?dm)^[-*]\s+(.+)$"), F.lit(1)))
+    own = F.filter(F.split(body, r"(?dm)^(?=##\s)"), lambda x: x.rlike(rf"(?dmi)\A##\s+{section}\s*$"))
+    content = F.when(F.contains(body, F.lit("##")), F.get(own, F.lit(0)))
+    items = F.transform(
+        F.array(F.coalesce(content, F.lit(""))),
+        lambda x: F.struct(F.regexp_extract_all(x, F.lit(r"(?dm)^\d+\.\s+(.+)$"), F.lit(1)).alias("numbered"), F.regexp_extract_all(x, F.lit(r"(?dm)^[-*]\s+(.+)$"), F.lit(1)).alias("bulleted")),
+    )
+    return F.transform(items, lambda x: F.when(F.size(x["numbered"]) > 0, x["numbered"]).otherwise(x["bulleted"]))[0]
 
 
 def code_examples(body: Column) -> Column:
@@ -111,7 +129,7 @@ def json_in_prose(text: Column) -> Column:
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
     first, last = F.locate("{", text), F.length(text) - F.locate("}", F.reverse(text)) + 1
     braces = F.when((first > 0) & F.contains(text, F.lit("}")) & (last > first), text.substr(first, last - first + 1))
-    return F.when(text.rlike(r"(?s)```(?:json)?\s*.*?```"), F.trim(fenced)).otherwise(F.coalesce(braces, F.trim(text)))
+    return F.when(text.rlike(r"(?s)```(?:json)?\s*.*?```"), strip(fenced)).otherwise(F.coalesce(braces, strip(text)))
 
 
 def template(text: str, **columns: Column) -> Column:
@@ -140,3 +158,24 @@ def last_user_prompt(messages: Column, prompt: Column) -> Column:
     users = F.filter(messages, lambda m: m["role"] == "user")
     every = F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
     return F.when(F.size(users) > 0, F.element_at(users, -1)["content"]).when(F.size(messages) > 0, every).otherwise(prompt)
+
+
+def last_part(path: Column) -> Column:
+    """The last component of a path."""
+    return F.element_at(F.split(F.rtrim(path, F.lit("/")), "/"), -1)
+
+
+def comma_list(text: Column) -> Column:
+    """The parts of a comma-separated text, stripped."""
+    return F.transform(F.split(text, ","), strip)
+
+
+def first_lines(script: Column, most: int = 10) -> tuple[Column, Column]:
+    """The first lines of a script, and how many more it has."""
+    lines = F.split(script, "\n")
+    return F.slice(lines, 1, most), F.greatest(F.size(lines) - most, F.lit(0))
+
+
+def with_schema(prompt: Column, schema: str) -> Column:
+    """A prompt that asks for JSON of a schema and nothing else."""
+    return F.concat(prompt, F.lit(f"\n\nAnswer with one JSON object that this JSON schema accepts, and nothing else:\n{schema}"))

@@ -40,17 +40,15 @@ TYPES = (*CHECKS, "regex")
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _regex_messages(responses: pd.Series, patterns: pd.Series) -> pd.Series:
-    def one(response, own) -> list[str]:
-        out = []
-        for pattern in own if own is not None else ():
-            try:
-                if not re.search(pattern, response or ""):
-                    out.append(f"regex: pattern '{pattern}' did not match")
-            except re.error as e:
-                out.append(f"regex: invalid pattern '{pattern}': {e}")
-        return out
+    """For each pattern what is wrong, or null; patterns that are null have nothing wrong."""
 
-    return pd.Series([one(r, p) for r, p in zip(responses, patterns)])
+    def one(response: str, pattern: str | None) -> str | None:
+        try:
+            return None if pattern is None or re.search(pattern, response) else f"regex: pattern '{pattern}' did not match"
+        except re.error as e:
+            return f"regex: invalid pattern '{pattern}': {e}"
+
+    return pd.Series([[one(r or "", p) for p in own] if own is not None else [] for r, own in zip(responses, patterns)])
 
 
 def check(kind: str, response: Column, tools: Column, value: Column) -> Column:
@@ -58,12 +56,12 @@ def check(kind: str, response: Column, tools: Column, value: Column) -> Column:
     return F.coalesce(CHECKS[kind](response, tools, value)[0], F.lit(False))
 
 
-def messages(response: Column, tools: Column, assertions: Column) -> Column:
-    """What failed, in the assertions' order, for the types in CHECKS."""
+def _told(response: Column, tools: Column, assertions: Column, by_regex: Column | None = None) -> Column:
+    """What failed, in the assertions' order; ``by_regex`` has a message or null in the place of each assertion."""
     response, tools = F.coalesce(response, F.lit("")), F.coalesce(tools, F.array().cast("array<string>"))
 
-    def one(a: Column) -> Column:
-        out = F.when(a["type"] == "regex", F.lit(None).cast("string"))
+    def one(a: Column, i: Column) -> Column:
+        out = F.when(a["type"] == "regex", F.get(by_regex, i) if by_regex is not None else F.lit(None).cast("string"))
         for kind, build in CHECKS.items():
             holds, text = build(response, tools, a["value"])
             out = out.when(a["type"] == kind, F.when(~F.coalesce(holds, F.lit(False)), text))
@@ -72,17 +70,21 @@ def messages(response: Column, tools: Column, assertions: Column) -> Column:
     return F.filter(F.transform(assertions, one), lambda m: m.isNotNull())
 
 
+def messages(response: Column, tools: Column, assertions: Column) -> Column:
+    """What failed, in the assertions' order, for the types in CHECKS."""
+    return _told(response, tools, assertions)
+
+
 def grade(rows: DataFrame, python_regex: bool = True) -> DataFrame:
     """Adds judgment (struct<pass,reasoning>) to rows with response, tools (array of names) and assertions."""
-    failed = messages(F.col("response"), F.col("tools"), F.col("assertions"))
+    patterns = F.transform("assertions", lambda a: F.when(a["type"] == "regex", F.coalesce(a["value"], F.lit(""))))
     if python_regex:
-        patterns = F.transform(F.filter("assertions", lambda a: a["type"] == "regex"), lambda a: a["value"])
-        by_regex = F.when(F.size(patterns) > 0, _regex_messages(F.col("response"), patterns)).otherwise(F.array().cast("array<string>"))
-        failed = F.concat(failed, by_regex)
+        rows = rows.withColumn("_regex", F.when(F.exists("assertions", lambda a: a["type"] == "regex"), _regex_messages(F.col("response"), patterns)))
+    failed = _told(F.col("response"), F.col("tools"), F.col("assertions"), F.col("_regex") if python_regex else None)
     return rows.withColumn("_failed", failed).withColumn(
         "judgment",
         F.struct((F.size("_failed") == 0).alias("pass"), F.when(F.size("_failed") == 0, F.lit("All assertions passed")).otherwise(F.array_join("_failed", "; ")).alias("reasoning")),
-    ).drop("_failed")
+    ).drop("_failed", "_regex")
 
 
 def validation_errors(assertions: Column) -> Column:

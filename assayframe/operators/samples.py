@@ -14,10 +14,10 @@ REQUIRED = ("expected", "name", "prompt", "timestamp")
 
 
 def sample_cases(cases: DataFrame, most: int | None, seed: int = 0) -> DataFrame:
-    """A uniform sample of at most ``most`` cases (None or 0: all), with case_idx anew in sampled order."""
+    """A uniform sample of ``most`` cases, with case_idx anew in sampled order; None, 0, or as many as there are: all, as they are."""
     if most is not None and most < 0:
         raise CaseValidationError(f"cannot sample {most} cases")
-    if not most:
+    if not most or cases.limit(most + 1).count() <= most:
         return cases
     few = cases.withColumn("_r", F.rand(seed)).orderBy("_r").limit(most)
     return few.withColumn("case_idx", F.row_number().over(Window.orderBy("_r")) - 1).drop("_r")

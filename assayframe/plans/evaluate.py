@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.errors import CaseValidationError
-from assayframe.functions.text import case_cache_key
+from assayframe.errors import CaseValidationError, JudgeError
+from assayframe.functions.text import case_cache_key, template
 from assayframe.operators import grading, samples
 from assayframe.plans.runners import KEYS, Runner, first_valid, judge_prompt
 from assayframe.sources.results import kept
@@ -80,3 +80,26 @@ def failure_summaries(evaluation: Evaluation, cases: DataFrame) -> DataFrame:
 
     failed = samples.failures(evaluation.results).join(cases.select("source", "prompt", "expected"), "source")
     return failed.select("source", "iteration", "prompt", "expected", truncate_response(F.col("response")).alias("response_preview"), F.coalesce("judgment.reasoning", F.lit("")).alias("reasoning"))
+
+
+def wants_summary(evaluation: Evaluation, no_summary: bool = False) -> bool:
+    """Whether failures are to be summarised: there are some, something was really run, and nobody declined."""
+    found = evaluation.summary.first()
+    return not no_summary and found["fresh_count"] > 0 and found["total_runs"] > found["total_pass"]
+
+
+SUMMARY_PROMPT = "These runs did not meet their expectations. Say in a few sentences what they have in common.\n\n$failures"
+
+
+def summary_prompt(failures: DataFrame) -> DataFrame:
+    """One row with the prompt for a summary of failure_summaries; the failures told are those of one evaluation, each a preview."""
+    one = template("Case: $source\nExpected: $expected\nResponse: $response_preview\nReason: $reasoning", **{c: F.col(c) for c in ("source", "expected", "response_preview", "reasoning")})
+    told = failures.select("source", "iteration", one.alias("told")).agg(F.array_sort(F.collect_list(F.struct("source", "iteration", "told"))).alias("f"))
+    return told.select(template(SUMMARY_PROMPT, failures=F.array_join(F.transform("f", lambda x: x["told"]), "\n\n")).alias("prompt"))
+
+
+def require_verdicts(evaluation: Evaluation) -> Evaluation:
+    """The evaluation, or JudgeError if a run that was answered has no valid verdict."""
+    if bad := evaluation.results.where("infra_failure and response is not null").select("case_source").first():
+        raise JudgeError(f"no valid verdict for {bad['case_source']}")
+    return evaluation

@@ -6,9 +6,18 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from assayframe.plans.evaluate import Evaluation, evaluate
 from assayframe.plans.runners import Runner
+from assayframe.sources.results import write_text
+
+
+def eval_results(results: DataFrame) -> DataFrame:
+    """Results of an evaluation as a round keeps them, with the score of each: 1 or 0."""
+    return results.select(
+        F.col("case_source").alias("source"), "passed", F.coalesce("judgment.reasoning", F.lit("")).alias("reasoning"), F.coalesce("response", F.lit("")).alias("response"), "tool_calls", F.col("passed").cast("double").alias("score")
+    )
 
 
 @dataclass
@@ -54,3 +63,11 @@ def tune(
             skill = propose(skill, got)
     rounds = spark.createDataFrame(history, "run string, round int, pass_rate double, skill string")
     return TuneRun(rounds, best[2], best[1], best[0], best[0] >= target)
+
+
+def write_back(run: TuneRun, path: str, spark) -> bool:
+    """Put the best skill in the place of the original, once the run is over; False if the original was the best."""
+    if run.best_skill == run.rounds.orderBy("round").first()["skill"]:
+        return False
+    write_text(spark, path, run.best_skill, overwrite=True)
+    return True

@@ -67,8 +67,10 @@ def _cases(contents: pd.Series) -> pd.DataFrame:
 def parse_cases(files: DataFrame) -> DataFrame:
     """(source, content) to cases; case_idx counts from 0 in order of the sources' path components."""
     parsed = files.withColumn("c", _cases("content")).select("source", "content", "c.*")
+    # only sources are numbered in one order; contents stay where they are
     place = Window.orderBy(F.split("source", "/"))
-    return parsed.withColumn("case_idx", F.row_number().over(place) - 1).withColumn("timestamp", F.try_to_timestamp("timestamp_raw"))
+    numbers = files.select("source").distinct().withColumn("case_idx", F.row_number().over(place) - 1)
+    return parsed.join(numbers, "source").withColumn("timestamp", F.try_to_timestamp("timestamp_raw"))
 
 
 def invalid_cases(cases: DataFrame) -> DataFrame:

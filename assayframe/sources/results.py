@@ -8,6 +8,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayframe.errors import SkillError
 from assayframe.functions.text import name_part
 from assayframe.operators.samples import CACHE_KEYS, cacheable, latest
 
@@ -18,6 +19,8 @@ def kept(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared checkpoint folder, so that what a runner did is never done twice."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="assayframe-"))
     return df.checkpoint()
 
@@ -56,21 +59,63 @@ def candidate_files(candidates: DataFrame, existing: DataFrame, stamp: str) -> D
     return both.withColumn("file", F.when(free, plain).otherwise(numbered)).drop("name_part", "first_ord", "_file")
 
 
+#: what a reviewer is told at the head of a candidate's file
+REVIEW_NOTE = "A generated test case, not yet checked: edit it as needed, and drop these comments once it is accepted."
+
+
 def candidate_yaml(row: dict, timestamp: str, skill_name: str | None = None) -> str:
-    """A candidate's file: comments for the reviewer, the case, and how it came about as comments."""
+    """A candidate's file: the case as YAML, under comments with what the generator said of it."""
     import yaml
 
-    notes = ["Generated eval candidate", f"Category: {row['category']}"]
-    if row.get("domain"):
-        notes.append(f"Domain: {row['domain']}")
-    notes += [f"Source: {row['source']}", f"Confidence: {row['confidence']:.0%}", f"Rationale: {row['rationale']}", "", "Review and edit before using in evaluations.", "Remove _meta section after review."]
-    meta = {k: row[k] for k in ("category", "source", "confidence", "rationale")} | {"generated": True}
-    meta |= {k: v for k, v in (("domain", row.get("domain")), ("skill_name", skill_name)) if v}
-    case = {"timestamp": timestamp} | {k: row[k] for k in ("prompt", "expected", "name")}
-    dump = lambda d, **k: yaml.dump(d, default_flow_style=False, allow_unicode=True, **k)
-    about = dump({"_meta": meta}).strip().split("\n")
-    comments = "\n".join(f"# {n}".rstrip() for n in notes)
-    return f"{comments}\n\n{dump(case, sort_keys=False)}\n\n# Metadata (remove after review):\n" + "\n".join(f"# {x}" for x in about)
+    def dumped(fields: dict) -> str:
+        return yaml.dump(fields, default_flow_style=False, allow_unicode=True, sort_keys=False)
+
+    said = {"generated": True, "skill_name": skill_name} | {k: row.get(k) for k in ("category", "domain", "source", "confidence", "rationale")}
+    about = dumped({"_meta": {k: v for k, v in said.items() if v not in (None, "")}})
+    head = "".join(f"# {line}\n" for line in (REVIEW_NOTE, *about.splitlines()))
+    return head + dumped({"timestamp": timestamp, "name": row["name"], "prompt": row["prompt"], "expected": row["expected"]})
+
+
+def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
+    """One small file in whatever store a path is in; an existing one is an error unless it may be overwritten."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, overwrite)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_candidates(candidates: DataFrame, folder: str, stamp: str, timestamp: str, skill_name: str | None = None) -> list[str]:
+    """Write each candidate to a file of its own in a folder, beside what is there, and give the names; rows come to the driver one at a time."""
+    spark = candidates.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = [f.getPath().getName() for f in store.listStatus(where)] if store.exists(where) else []
+    named = candidate_files(candidates, spark.createDataFrame([(n,) for n in there], "file string"), stamp)
+    names = []
+    for row in named.orderBy("ord").toLocalIterator():
+        write_text(spark, f"{folder.rstrip('/')}/{row['file']}", candidate_yaml(row.asDict(), timestamp, skill_name))
+        names.append(row["file"])
+    return names
+
+
+def create_skill(spark: SparkSession, folder: str, document: str, overwrite: bool = False) -> str:
+    """Write a skill's document in a folder of its own and give its path; a folder that is there is replaced only on request."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(where):
+        if not overwrite:
+            raise SkillError(f"{folder} exists")
+        store.delete(where, True)
+    path = f"{folder.rstrip('/')}/SKILL.md"
+    write_text(spark, path, document)
+    return path
+
+
+def tune_path(name: str, stamp: str, root: str = "") -> str:
+    """Where an improvement run of a set of cases is kept unless told otherwise."""
+    return "/".join(filter(None, [root.rstrip("/"), "tunes", name.rstrip("/").rsplit("/", 1)[-1], f"{stamp}.json"]))
 
 
 def run_json(row) -> str:

@@ -52,10 +52,10 @@ def test_assertions(spark, kind, value, response, holds):
 
 
 def test_all_assertions_are_told(spark):
-    asked = [("contains", "zz"), ("tool_called", "Write"), ("tool_not_called", "Bash"), ("regex", "q")]
+    asked = [("contains", "zz"), ("regex", "q"), ("tool_called", "Write"), ("regex", "b"), ("regex", "("), ("tool_not_called", "Bash")]
     rows = spark.createDataFrame([("abc", ["Bash"], asked)], "response string, tools array<string>, assertions array<struct<type:string,value:string>>")
     reason = grading.grade(rows).first()["judgment"]["reasoning"]
-    assert [r.split(":")[0] for r in reason.split("; ")] == ["contains", "tool_called", "tool_not_called", "regex"]
+    assert [r.split(":")[0] for r in reason.split("; ")] == ["contains", "regex", "tool_called", "regex", "tool_not_called"]
 
 
 def test_assertion_validation(spark):
@@ -82,6 +82,11 @@ def test_verdicts(spark, answer, passed, reasoning):
 
 
 def test_text_functions(spark):
+    assert one(spark, text.parse_domain(F.lit("\t\u2003Functional\n"))) == "functional"
+    assert one(spark, text.word_count(F.lit("\u00a0a\u3000\x1fb "))) == 2 and one(spark, text.word_count(F.lit(" \n"))) == 0
+    assert one(spark, text.raw_frontmatter(F.lit(" ---\r\na: 1\r\nb\n--- \nrest"))) == "a: 1\nb" and one(spark, text.raw_frontmatter(F.lit("---\n---"))) == ""
+    assert one(spark, text.raw_frontmatter(F.lit("---\na"))) is None and one(spark, text.raw_frontmatter(F.lit("x\n---\n---"))) is None
+    assert one(spark, text.first_lines(F.lit("a\nb\nc"), 2)[0]) == ["a", "b"] and one(spark, text.first_lines(F.lit("a\nb\nc"), 2)[1]) == 1
     assert one(spark, text.word_count(F.lit("  a b\tc\n"))) == 3
     assert one(spark, text.word_count(F.lit(""))) == 0
     assert one(spark, text.name_part(F.lit("  Über cool!! "), F.lit(4))) == "Über-cool"
@@ -114,6 +119,7 @@ def test_expand_and_cache(spark):
     with pytest.raises(CaseValidationError):
         samples.sample_cases(cases, -1)
     assert samples.sample_cases(cases, 1).count() == 1 and samples.sample_cases(cases, 0).count() == 2
+    assert samples.sample_cases(cases, 2).columns == cases.columns and [r["case_idx"] for r in samples.sample_cases(cases, 5).collect()] == [0, 1]
 
 
 def test_best_rounds_take_the_latest_of_equals(spark):

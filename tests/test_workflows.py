@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from assayframe.errors import CaseValidationError, EmptyFolderError
+from assayframe.errors import CaseValidationError, EmptyFolderError, SkillError
 from assayframe.operators import lint
 from assayframe.plans import generate
 from assayframe.plans.evaluate import evaluate, failure_summaries
@@ -126,7 +126,23 @@ def test_candidates(spark, tmp_path):
     files = results.candidate_files(every.where("path = 'k'"), spark.createDataFrame([("b.yaml",)], "file string"), "20250101-000000")
     assert {r["ord"]: r["file"] for r in files.collect()} == {0: "a.yaml", 1: "a-20250101-000000-2.yaml", 2: "b-20250101-000000-3.yaml", 3: "c.yaml"}
     text = results.candidate_yaml(own[0] | {"domain": "functional"}, "2025-01-01", "sk")
-    assert "# Confidence: 50%" in text and "#   skill_name: sk" in text and text.count("\nprompt: p\n") == 1
+    assert "#   confidence: 0.5" in text and "#   skill_name: sk" in text and text.count("\nprompt: p\n") == 1
+    folder = str(tmp_path / "out")
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "b.yaml").write_text("x")
+    names = results.write_candidates(every.where("path = 'k'"), folder, "s", "2025-01-01")
+    assert names == ["a.yaml", "a-s-2.yaml", "b-s-3.yaml", "c.yaml"] and (tmp_path / "out" / "b.yaml").read_text() == "x"
+    cases = documents.load_cases(spark, folder + "/a.yaml").first()
+    assert (cases["name"], cases["prompt"], cases["expected"]) == ("a", ["p"], "e")
+
+
+def test_skill_folders(spark, tmp_path):
+    path = results.create_skill(spark, str(tmp_path / "own"), "---\nname: own\n---\n")
+    assert open(path).read().startswith("---")
+    with pytest.raises(SkillError):
+        results.create_skill(spark, str(tmp_path / "own"), "x")
+    assert open(results.create_skill(spark, str(tmp_path / "own"), "x", overwrite=True)).read() == "x"
+    assert results.tune_path("a/b/", "s", "/r") == "/r/tunes/b/s.json"
 
 
 def test_stream_of_states(spark, tmp_path):
