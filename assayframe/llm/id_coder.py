@@ -3,11 +3,12 @@
 A block is a self-contained byte string: model and coder start anew in each, and it ends in checksums. The ids of a
 block are cut into equally long lanes that one shared model codes side by side, one id of every lane a step, so each
 step is a few numpy operations over all lanes. Three predictions drive the arithmetic coding of an id: the id last
-seen after the same two ids (order 2), the id last seen after the same one id (order 1), and the frequencies of all
-ids so far (order 0). They are mixed into one distribution whose weights adapt to how often each was right lately at
-that degree of confidence. The encoder updates the model just as the decoder does, with ids that both have.
+seen after the same two ids (order 2), the frequencies of all ids seen so far after the same one id (order 1), and the
+frequencies of all ids so far (order 0). They are mixed into one distribution whose weights adapt to how often each was
+right lately at that degree of confidence. Frequencies are counted anew after a growing number of steps. The encoder
+updates the model just as the decoder does, with ids that both have.
 
-Layout, little-endian: ``IDC1``, n, lanes, steps, n_ids, crc32 of the ids (as uint32), then the words in each lane
+Layout, little-endian: ``IDC2``, n, lanes, steps, n_ids, crc32 of the ids (as uint32), then the words in each lane
 (uint32 each), all lanes' 16-bit words, and the crc32 of everything before.
 """
 
@@ -18,7 +19,7 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"IDC1"
+MAGIC = b"IDC2"
 #: block size that callers aim at, ids a lane at least, and most lanes
 BLOCK_IDS, LANE_IDS, LANES = 1 << 22, 256, 8192
 _TOTAL_BITS = 24
@@ -29,20 +30,31 @@ _LEVELS = 8
 _ORDER0_MOST = 1 << 19
 _SHARE_BITS = 22
 _ORDER0_LEAST = 1 << 22
-#: steps after which the shares are counted anew, at most, and what one id adds to its frequency
-_REFRESH, _STEP = 12, 8
+#: shares of order 1, and the least weight of it where a context has been seen
+_CONTEXT_BITS = 16
+_ORDER1_LEAST = 1 << 18
+#: what one id adds to its frequency; frequencies are counted anew after 1 / _GROWTH of all steps so far
+_STEP, _GROWTH = 8, 4
+
+
+def _searched(table: np.ndarray, wanted: np.ndarray, side: str = "left") -> np.ndarray:
+    """np.searchsorted, which is faster for sorted values."""
+    order = np.argsort(wanted)
+    out = np.empty(len(wanted), np.int64)
+    out[order] = np.searchsorted(table, wanted[order], side=side)
+    return out
 
 
 class _Model:
-    """Entries of the order-2 and order-1 tables are ``id * _LEVELS + confidence``."""
+    """Entries of the order-2 table are ``id * _LEVELS + confidence``; pairs of order 1 are ``context * n_ids + id``, sorted."""
 
     def __init__(self, lanes: int, n_ids: int):
         self.n_ids = n_ids
-        self.one = np.zeros(n_ids, np.int64)
         self.two = np.zeros(1 << _SLOTS_BITS, np.int64)
         self.c1 = np.zeros(lanes, np.int64)
         self.mixed = np.zeros(lanes, np.int64)
         self.seen = np.ones(n_ids, np.int64)
+        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.late: list[np.ndarray] = []
         self.came: list[np.ndarray] = []
         self.age, self.next = 0, 1
@@ -51,45 +63,83 @@ class _Model:
         self._refresh()
 
     def _refresh(self) -> None:
-        if self.seen.sum() > _ORDER0_MOST:
+        if self.late:
+            late = np.concatenate(self.late)
+            self.seen += _STEP * np.bincount(late % self.n_ids, minlength=self.n_ids)
+            late.sort()
+            first = np.flatnonzero(np.append(True, late[1:] != late[:-1]))
+            new, times = late[first], np.diff(np.append(first, len(late)))
+            at = np.searchsorted(self.pairs, new)
+            known = np.flatnonzero(at < len(self.pairs))
+            known = known[self.pairs[at[known]] == new[known]]
+            self.times[at[known]] += times[known]
+            fresh = np.ones(len(new), bool)
+            fresh[known] = False
+            self.pairs, self.times = np.insert(self.pairs, at[fresh], new[fresh]), np.insert(self.times, at[fresh], times[fresh])
+        while self.seen.sum() > _ORDER0_MOST:
             self.seen = (self.seen >> 1) | 1
         below = np.zeros(self.n_ids + 1, np.int64)
         np.cumsum(self.seen, out=below[1:])
         #: cumulative shares of 1 << _SHARE_BITS, at least one for each id
         self.below = (below << _SHARE_BITS) // below[-1]
+        # cumulative shares of 1 << _CONTEXT_BITS in each context, at least one for each id seen there
+        context = self.pairs // self.n_ids
+        start = np.flatnonzero(np.append(True, context[1:] != context[:-1])[: len(context)])
+        size = np.diff(np.append(start, len(context)))
+        total = np.concatenate([[0], np.cumsum(self.times)])
+        all_ = total[start + size] - total[start]
+        place = np.arange(len(context)) - np.repeat(start, size)
+        free = (1 << _CONTEXT_BITS) - np.repeat(size, size)
+        low = (total[:-1] - np.repeat(total[start], size)) * free // np.repeat(all_, size) + place
+        self.low = (context << _CONTEXT_BITS) + low
+        self.high = np.append(self.low[1:], 0)
+        self.high[start + size - 1] = (context[start] + 1) << _CONTEXT_BITS
+        #: how well a context is known: 0 if not at all
+        self.known = np.zeros(self.n_ids, np.int64)
+        # frequent contexts with few ids after them are the sure ones
+        self.known[context[start]] = 1 + np.minimum((2 * np.log2(1 + all_ / size)).astype(np.int64), _LEVELS - 2)
         if self.right.max() > 60_000:
             self.right = self.right * 0.5 + 0.05
-        weights = (self.right[:, :2] / self.right.sum(axis=1, keepdims=True) * (_TOTAL - _ORDER0_LEAST - 2)).astype(np.int64) + 1
-        self.w2, self.w1 = np.ascontiguousarray(weights[:, 0]), np.ascontiguousarray(weights[:, 1])
+        share = self.right[:, :2] / self.right.sum(axis=1, keepdims=True)
+        weights = (share * (_TOTAL - _ORDER0_LEAST - _ORDER1_LEAST - 2)).astype(np.int64) + 1
+        self.w2 = np.ascontiguousarray(weights[:, 0])
+        self.w1 = np.where(np.arange(_LEVELS * _LEVELS) % _LEVELS > 0, weights[:, 1] + _ORDER1_LEAST, 0)
 
     def predict(self):
-        """Predictions of orders 2 and 1, the weight of order 2, and that of both, of _TOTAL."""
+        """The prediction of order 2, its weight, and that of orders 2 and 1, of _TOTAL."""
         slot = (self.c1 * 40503 + self.mixed) & ((1 << _SLOTS_BITS) - 1)
-        two, one = self.two[slot], self.one[self.c1]
-        s2, s1 = two & (_LEVELS - 1), one & (_LEVELS - 1)
-        context = s2 * _LEVELS + s1
-        p2, p1 = two >> 3, one >> 3
+        two = self.two[slot]
+        s2 = two & (_LEVELS - 1)
+        context = s2 * _LEVELS + self.known[self.c1]
         w2 = self.w2[context]
-        self.at = slot, s2, s1, context
-        return p2, p1, w2, w2 + self.w1[context]
+        self.at = slot, s2, context
+        return two >> 3, w2, w2 + self.w1[context]
+
+    def within(self, lanes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether ids were seen after the contexts of these lanes, and their shares there."""
+        c1 = self.c1[lanes]
+        pairs = c1 * self.n_ids + ids
+        if not len(self.pairs):
+            return np.zeros(len(ids), bool), pairs, pairs
+        at = _searched(self.pairs, pairs)
+        at[at == len(self.pairs)] = 0
+        base = c1 << _CONTEXT_BITS
+        return self.pairs[at] == pairs, self.low[at] - base, self.high[at] - base
 
     def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """hit1: order 1 was right; order 2 may have been as well."""
-        slot, s2, s1, context = self.at
+        """hit2: order 2 was right; hit1: else, order 1 has the id."""
+        slot, s2, context = self.at
         self.came.append(context * 3 + np.where(hit2, 0, 2 - hit1))
-        entry = ids << 3
-        self.two[slot] = entry + np.minimum(s2 + 1, _LEVELS - 1) * hit2
-        self.one[self.c1] = entry + np.minimum(s1 + 1, _LEVELS - 1) * hit1
+        self.two[slot] = (ids << 3) + np.minimum(s2 + 1, _LEVELS - 1) * hit2
+        self.late.append(self.c1 * self.n_ids + ids)
         self.mixed = self.c1 * 2654435761 >> 7
         self.c1 = ids
-        self.late.append(ids)
         self.age += 1
         if self.age >= self.next:
-            self.next = self.age + min(_REFRESH, self.age)
-            self.seen += _STEP * np.bincount(np.concatenate(self.late), minlength=self.n_ids)
+            self.next = self.age + 1 + self.age // _GROWTH
             self.right += np.bincount(np.concatenate(self.came), minlength=_LEVELS * _LEVELS * 3).reshape(-1, 3)
-            self.late, self.came = [], []
             self._refresh()
+            self.late, self.came = [], []
 
 
 _WINDOW, _LEAST = np.uint64((1 << 48) - 1), np.uint64(1 << 32)
@@ -117,16 +167,18 @@ def encode(ids: np.ndarray, n_ids: int) -> bytes:
         low[rows] = (low[rows] << np.uint64(16)) & _WINDOW
 
     for column in columns:
-        p2, p1, w2, both = model.predict()
-        hit2, hit1 = column == p2, column == p1
-        rest = _TOTAL - both
-        begin = rest * model.below[column] >> _SHARE_BITS
-        end = (rest * model.below[column + 1] >> _SHARE_BITS) + both
-        begin += both
-        np.copyto(begin, w2, where=hit1)
-        np.copyto(end, both, where=hit1)
-        begin[hit2] = 0
-        np.copyto(end, w2, where=hit2)
+        p2, w2, both = model.predict()
+        hit2 = column == p2
+        begin, end, hit1 = np.zeros(lanes, np.int64), w2.copy(), np.zeros(lanes, bool)
+        one = np.flatnonzero(~hit2)
+        found, low1, high1 = model.within(one, column[one])
+        hit1[one] = found
+        other, one, low1, high1 = one[~found], one[found], low1[found], high1[found]
+        base, in1 = w2[one], both[one] - w2[one]
+        begin[one], end[one] = base + (low1 * in1 >> _CONTEXT_BITS), base + (high1 * in1 >> _CONTEXT_BITS)
+        base, rest = both[other], _TOTAL - both[other]
+        begin[other] = (rest * model.below[column[other]] >> _SHARE_BITS) + base
+        end[other] = (rest * model.below[column[other] + 1] >> _SHARE_BITS) + base
         size, begin = (end - begin).view(np.uint64), begin.view(np.uint64)
         unit = width >> np.uint64(_TOTAL_BITS)
         low += unit * begin
@@ -167,19 +219,23 @@ def decode(block: bytes) -> np.ndarray:
     width = np.full(lanes, (1 << 48) - 1, np.uint64)
     out = np.empty((steps, lanes), np.int64)
     for step in range(steps):
-        p2, p1, w2, both = model.predict()
+        p2, w2, both = model.predict()
         unit = width >> np.uint64(_TOTAL_BITS)
         target = np.minimum((code // unit).view(np.int64), _TOTAL - 1)
-        first = target < w2
-        ids = np.where(first, p2, p1)
-        begin = np.where(first, 0, w2)
-        end = np.where(first, w2, both)
+        ids, begin, end = p2.copy(), np.zeros(lanes, np.int64), w2.copy()
+        one = np.flatnonzero((target >= w2) & (target < both))
+        if len(one):
+            base, in1, key = w2[one], (both - w2)[one], model.c1[one] << _CONTEXT_BITS
+            share = (((target[one] - base + 1) << _CONTEXT_BITS) - 1) // in1
+            found = _searched(model.low, key + share, "right") - 1
+            begin1, end1 = base + ((model.low[found] - key) * in1 >> _CONTEXT_BITS), base + ((model.high[found] - key) * in1 >> _CONTEXT_BITS)
+            ids[one], begin[one], end[one] = model.pairs[found] % n_ids, begin1, end1
         zero = np.flatnonzero(target >= both)
         if len(zero):
             base = both[zero]
             left = _TOTAL - base
             share = ((((target[zero] - base + 1) << _SHARE_BITS) - 1).astype(np.float64) / left).astype(np.int64)
-            found = np.searchsorted(model.below, share, side="right") - 1
+            found = _searched(model.below, share, "right") - 1
             # the quotient may be off by its rounding: step to the id whose interval holds the target
             begin0, end0 = (left * model.below[found] >> _SHARE_BITS) + base, (left * model.below[found + 1] >> _SHARE_BITS) + base
             while True:
@@ -198,7 +254,9 @@ def decode(block: bytes) -> np.ndarray:
             at[short] += 1
             width[short] <<= np.uint64(16)
             short = short[width[short] < _LEAST]
-        model.update(ids, ids == p2, ids == p1)
+        hit1 = np.zeros(lanes, bool)
+        hit1[one] = True
+        model.update(ids, ids == p2, hit1)
         out[step] = ids
     ids = out.T.reshape(-1)[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
