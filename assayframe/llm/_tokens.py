@@ -24,7 +24,7 @@ import regex
 from assayframe.llm._words import Words, slices, spread, string_buffers
 
 #: pieces a worker keeps, and parts of them; beyond that it starts anew
-CACHE_PIECES, CACHE_PARTS = 1_000_000, 100_000
+CACHE_PIECES, CACHE_PARTS = 2_000_000, 100_000
 _CHUNK = 1 << 18
 #: kinds of bytes that pieces are cut between: letters, signs and digits of ASCII; the rest (4) stays with what is beside it
 _PIECE = np.full(256, 4, np.uint8)
