@@ -1,5 +1,8 @@
 """License scan: canonical digests of whole texts and of their lines, hash-joined to known license digests.
 
+The known texts are those below, and the files of the folder ``licenses`` beside this module: full texts of long public
+licenses, each named by its id. Any table of (license_id, text) can take their place.
+
 Canonical form, in this order: A-Z lower-cased; lines that are copyright notices emptied (``copyright``, ``(c)`` or the
 copyright sign before a year, a sign or a holder; words that go on a sentence, as in ``copyright notice``, are none);
 blanks and comment signs at both ends of lines dropped; lines joined by one space, but right after a hyphen inside a word
@@ -20,6 +23,8 @@ an empty table gives none; extra columns are ignored.
 
 from __future__ import annotations
 
+import importlib.resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,6 +127,20 @@ WHOLE_TEXTS = (
 )
 
 
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """(id, text) of the full texts in the folder ``licenses``; texts with parts after their end are known with and without these."""
+    folder = importlib.resources.files("assayframe.llm").joinpath("licenses")
+    out = []
+    for path in sorted(folder.iterdir(), key=lambda p: p.name):
+        name, text = path.name.removesuffix(".txt"), path.read_text(encoding="utf-8")
+        out.append((name, text))
+        for end in ("END OF TERMS AND CONDITIONS",):
+            if end in text:
+                out.append((name, text[: text.index(end) + len(end)]))
+                out.append((name, text[: text.index(end)]))
+    return tuple(out)
+
+
 #: those of SPELLINGS that can begin in one line and end in the next
 ACROSS = tuple((pattern, put) for pattern, put in SPELLINGS if " " in pattern or "-?" in pattern or pattern.startswith(r"\bv("))
 NOISE = r"[^a-z0-9\n\x{80}-\x{10FFFF}]+"
@@ -149,9 +168,9 @@ def canonical_whole(spelt: Column) -> Column:
     return F.trim(F.regexp_replace(out, NOISE, " "))
 
 
-def license_digests(spark: SparkSession, licenses=LICENSES + WHOLE_TEXTS) -> DataFrame:
-    """license_id and digest of known licenses; texts with equal digests must have the same id."""
-    texts = licenses
+def license_digests(spark: SparkSession, licenses=None) -> DataFrame:
+    """license_id and digest of known licenses, the built-in ones unless others are given; texts with equal digests must have the same id."""
+    texts = licenses = LICENSES + WHOLE_TEXTS + full_texts() if licenses is None else licenses
     if not isinstance(licenses, DataFrame):
         rows = F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in licenses])
         texts = spark.range(1).select(F.inline(rows))
@@ -159,7 +178,7 @@ def license_digests(spark: SparkSession, licenses=LICENSES + WHOLE_TEXTS) -> Dat
     return texts.select("license_id", whole.alias("form")).where("form <> ''").groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
-def scan_licenses(docs: DataFrame, licenses: DataFrame | tuple = LICENSES + WHOLE_TEXTS) -> DataFrame:
+def scan_licenses(docs: DataFrame, licenses: DataFrame | tuple | None = None) -> DataFrame:
     """doc_id, license_id, whole (the entire text is that license) and n_lines (lines that are that license by themselves)."""
     known = license_digests(docs.sparkSession, licenses)
     if not isinstance(licenses, DataFrame) or licenses.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:

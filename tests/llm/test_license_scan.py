@@ -51,3 +51,14 @@ def test_blanks_and_notices(spark):
     assert {i for (i, _), (whole, _) in got.items() if whole} == set(range(len(texts)))
     got = scan(spark, [(1, "copyright notice\nAll rights reserved.", None, None), (2, "(c) You must\nAll rights reserved.", None, None)])
     assert got == {(1, "reserved"): (False, 1), (2, "reserved"): (False, 1)}
+
+
+def test_full_texts_are_found_as_wholes(spark):
+    """Long licenses in another case, spelling, indent and year, with comment signs."""
+    rows, names = [], []
+    for license_id, text in m.full_texts():
+        for sign, change in (("", str.upper), (" * ", str.lower), ("//   ", lambda t: t.replace("license", "licence").replace("License", "Licence"))):
+            rows.append((len(rows), "Copyright (C) 2031 Some Body\n" + "\n".join(sign + change(line.strip()) for line in text.split("\n")), None, None))
+            names.append(license_id)
+    got = scan(spark, rows)
+    assert len(rows) >= 27 and [(i, n) for i, n in enumerate(names) if not got.get((i, n), (False,))[0]] == []
