@@ -1,3 +1,4 @@
+import re
 import textwrap
 
 from assayframe.llm import license_scan as m
@@ -57,7 +58,7 @@ def test_full_texts_are_found_as_wholes(spark):
     """Long licenses in another case, spelling, indent and year, with comment signs."""
     rows, names = [], []
     for license_id, text in m.full_texts():
-        for sign, change in (("", str.upper), (" * ", str.lower), ("//   ", lambda t: t.replace("license", "licence").replace("License", "Licence"))):
+        for sign, change in (("", str.upper), (" * ", str.lower), ("//   ", lambda t: re.sub(r"\b([Ll])icense", r"\1icence", t))):
             rows.append((len(rows), "Copyright (C) 2031 Some Body\n" + "\n".join(sign + change(line.strip()) for line in text.split("\n")), None, None))
             names.append(license_id)
     got = scan(spark, rows)
