@@ -1,8 +1,8 @@
 """Exact top-k by inner product, with a pivot table that bounds and eliminates candidates.
 
 Vectors are extended by one component that gives all the same norm, so a larger inner product is a smaller distance.
-A table of distances to ``N_PIVOTS`` pivots is computed once for every candidate; by the triangle inequality the
-largest difference between a query's and a candidate's pivot distances is a lower bound of their distance. A query
+A table of distances to ``N_PIVOTS`` pivots is computed once for every candidate and written beside it; by the triangle
+inequality the largest difference between a query's and a candidate's pivot distances is a lower bound of their distance. A query
 evaluates candidates in order of that bound and stops once the bound exceeds its k-th best distance, so the result is
 exact. Scores are integer inner products; bounds are rounded down by more than their rounding error.
 
@@ -12,12 +12,14 @@ rows, and each query block meets each candidate block in a task of its own, so n
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, on either side; shorter
 vectors are filled up with zeros; a query's own row is any row with its id; ties go to the smaller id; rows repeated
-with one id count once, the largest score winning; fewer candidates than k give all; no query or an empty table gives
+with one id count once, the largest score winning, and as a query the least of their vectors; fewer candidates than k give all; no query or an empty table gives
 no row; other columns are ignored. Components must keep every sum of products below 2**62.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -64,37 +66,46 @@ def _distances(x: np.ndarray, norm2: np.ndarray, lift: np.ndarray, pivots: np.nd
     return np.sqrt(np.maximum(d2, 0.0))
 
 
-def eliminate(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, pivots: np.ndarray, most: float, k: int, chunk: int = 512):
-    """The k best (query id, id, score) of each query among x; ``most``: the largest squared norm of any candidate."""
-    xf = x.astype(np.float64)
-    norm2 = (xf**2).sum(axis=1)
-    lift = np.sqrt(np.maximum(most - norm2, 0.0))
-    table = _distances(x, norm2, lift, pivots)
+def pivot_table(x: np.ndarray, pivots: np.ndarray, most: float) -> np.ndarray:
+    """Distances of candidates, extended to the squared norm ``most``, to all pivots."""
+    norm2 = (x.astype(np.float64) ** 2).sum(axis=1)
+    return _distances(x, norm2, np.sqrt(np.maximum(most - norm2, 0.0)), pivots)
+
+
+def eliminate(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, table: np.ndarray, pivots: np.ndarray, most: float, k: int, chunk: int = 512, seen: list | None = None):
+    """The k best (query id, id, score) of each query among x, whose distances to pivots are ``table``; ``most``: the largest squared norm of any candidate.
+
+    Candidates are taken in order of their bounds, ``chunk`` at a time, found by partial sorts; ``seen`` gets how many each query was compared with.
+    """
     q_norm2 = (q.astype(np.float64) ** 2).sum(axis=1)
     q_table = _distances(q, q_norm2, np.zeros(len(q)), pivots)
     slack = 1e-6 * (np.sqrt(most) + np.sqrt(q_norm2.max(initial=0.0)) + 1.0)
+    # products of floats are exact while all sums stay under 2**53
+    if most * q_norm2.max(initial=0.0) < 2.0**104:
+        x, q = x.astype(np.float64), q.astype(np.float64)
     out = []
     for i in range(len(q)):
         bound = np.abs(table - q_table[i]).max(axis=1) if len(pivots) else np.zeros(len(x))
-        bound[x_ids == q_ids[i]] = np.inf
-        order = np.argsort(bound, kind="stable")
-        bound = bound[order]
-        n = int(np.searchsorted(bound, np.inf))
-        ids, scores, worst = np.zeros(0, np.int64), np.zeros(0, np.int64), np.inf
-        at = 0
-        while at < n:
-            stop = min(n, at + chunk, int(np.searchsorted(bound, worst, side="right")))
-            if stop <= at:
-                break  # every further bound exceeds the k-th best distance
-            rows = order[at:stop]
-            ids, scores = np.concatenate([ids, x_ids[rows]]), np.concatenate([scores, x[rows] @ q[i]])
+        left = np.flatnonzero(x_ids != q_ids[i])
+        ids, scores, worst, met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.inf, 0
+        while len(left):
+            if len(left) > chunk:
+                part = np.argpartition(bound[left], chunk)
+                rows, left = left[part[:chunk]], left[part[chunk:]]
+            else:
+                rows, left = left, left[:0]
+            rows = rows[bound[rows] <= worst]
+            met += len(rows)
+            ids, scores = np.concatenate([ids, x_ids[rows]]), np.concatenate([scores, (x[rows] @ q[i]).astype(np.int64)])
             best = np.lexsort((ids, -scores))
             _, first = np.unique(ids[best], return_index=True)
             best = best[np.sort(first)][:k]
             ids, scores = ids[best], scores[best]
             if len(ids) == k:
                 worst = np.sqrt(max(most + q_norm2[i] - 2.0 * scores[-1], 0.0)) + slack
-            at = stop
+                left = left[bound[left] <= worst]  # every other bound exceeds the k-th best distance
+        if seen is not None:
+            seen.append(met)
         out.append((np.full(len(ids), q_ids[i]), ids, scores))
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
@@ -102,7 +113,7 @@ def eliminate(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, n_pivots: int = N_PIVOTS) -> DataFrame:
     """vec_id and v (bigint arrays) of candidates and of queries to query_id, rank, vec_id, score."""
     candidates = written(vectors.select("vec_id", "v"), "vectors")
-    asked = written(queries.select("vec_id", "v").dropDuplicates(["vec_id"]), "queries")
+    asked = written(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     seen = candidates.agg(
         F.count("*").alias("n"),
         F.max(F.size("v")).alias("dims"),
@@ -113,17 +124,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, n_pivots: int = N_
     # a bounded pool with the smallest hashes of ids; any pivots give right results
     pool = candidates.orderBy(F.xxhash64("vec_id")).limit(PIVOT_POOL).toPandas()
     pivots = choose_pivots(_matrix(pool["v"], dims), n_pivots)
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(pivots=list(pivot_table(_matrix(batch["v"], dims), pivots, most)))
+
+    candidates = written(candidates.mapInPandas(measure, "vec_id bigint, v array<bigint>, pivots array<double>"), "pivots")
     blocks, q_blocks = -(-seen["n"] // BLOCK) or 1, -(-n_queries // QUERY_BLOCK) or 1
     spread = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int")
     q_spread = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(q_blocks)).cast("int")
     grid = [F.col("q").cast("int"), F.col("b").cast("int")]
-    left = candidates.select("vec_id", "v", spread.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q"))
+    left = candidates.select("vec_id", "v", "pivots", spread.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q"))
     right = asked.select("vec_id", "v", q_spread.alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
 
     def meet(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(q):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        a, b, s = eliminate(_matrix(q["v"], dims), q["vec_id"].to_numpy(), _matrix(x["v"], dims), x["vec_id"].to_numpy(), pivots, most, k)
+        a, b, s = eliminate(_matrix(q["v"], dims), q["vec_id"].to_numpy(), _matrix(x["v"], dims), x["vec_id"].to_numpy(), np.stack(x["pivots"].to_numpy()), pivots, most, k)
         return pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
 
     pairs = left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInPandas(meet, _PAIR)

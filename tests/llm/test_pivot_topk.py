@@ -48,8 +48,18 @@ def test_elimination_leaves_candidates_out():
     ids = np.arange(4000)
     most = float((x.astype(float) ** 2).sum(axis=1).max())
     pivots = m.choose_pivots(x[:500], 16)
-    q_ids, found, scores = m.eliminate(x[:5], ids[:5], x, ids, pivots, most, 5)
+    seen = []
+    q_ids, found, scores = m.eliminate(x[:5], ids[:5], x, ids, m.pivot_table(x, pivots, most), pivots, most, 5, chunk=64, seen=seen)
+    assert len(seen) == 5 and max(seen) < 0.5 * len(x)  # clustered vectors: most candidates are never compared
     for i in range(5):
         s = x @ x[i]
         want = sorted((j for j in ids if j != i), key=lambda j: (-s[j], j))[:5]
         assert found[q_ids == i].tolist() == want
+
+
+def test_queries_repeated_with_other_vectors(spark):
+    vectors = spark.createDataFrame([(1, [1, 0]), (2, [0, 9]), (3, [9, 0])], "vec_id bigint, v array<bigint>")
+    for order in ([(7, [5, 0]), (7, [0, 5])], [(7, [0, 5]), (7, [5, 0])]):
+        asked = spark.createDataFrame(order, "vec_id bigint, v array<bigint>").coalesce(1)
+        got = m.top_k(vectors, asked, 1).collect()
+        assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(7, 2, 45)]
