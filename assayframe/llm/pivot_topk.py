@@ -75,7 +75,7 @@ def pivot_table(x: np.ndarray, pivots: np.ndarray, most: float) -> np.ndarray:
 def eliminate(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, table: np.ndarray, pivots: np.ndarray, most: float, k: int, chunk: int = 512, seen: list | None = None):
     """The k best (query id, id, score) of each query among x, whose distances to pivots are ``table``; ``most``: the largest squared norm of any candidate.
 
-    Candidates are taken in order of their bounds, ``chunk`` at a time, found by partial sorts; ``seen`` gets how many each query was compared with.
+    Candidates are taken in order of their bounds, ``chunk`` at first and then four times as many, found by partial sorts; ``seen`` gets how many each query was compared with.
     """
     q_norm2 = (q.astype(np.float64) ** 2).sum(axis=1)
     q_table = _distances(q, q_norm2, np.zeros(len(q)), pivots)
@@ -87,11 +87,12 @@ def eliminate(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray
     for i in range(len(q)):
         bound = np.abs(table - q_table[i]).max(axis=1) if len(pivots) else np.zeros(len(x))
         left = np.flatnonzero(x_ids != q_ids[i])
-        ids, scores, worst, met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.inf, 0
+        ids, scores, worst, met, most_rows = np.zeros(0, np.int64), np.zeros(0, np.int64), np.inf, 0, chunk
         while len(left):
-            if len(left) > chunk:
-                part = np.argpartition(bound[left], chunk)
-                rows, left = left[part[:chunk]], left[part[chunk:]]
+            if len(left) > most_rows:
+                part = np.argpartition(bound[left], most_rows)
+                rows, left = left[part[:most_rows]], left[part[most_rows:]]
+                most_rows *= 4
             else:
                 rows, left = left, left[:0]
             rows = rows[bound[rows] <= worst]
