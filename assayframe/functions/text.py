@@ -61,9 +61,7 @@ def parse_domain(value: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Runs of anything but white space: one pass that turns white space to blanks, one that splits there."""
-    plain = F.btrim(F.translate(text, _SPACES, " " * len(_SPACES)))
-    return F.when(plain == "", F.lit(0).cast("bigint")).otherwise(F.size(F.filter(F.split(plain, " "), lambda w: w != "")).cast("bigint"))
+    return F.size(F.regexp_extract_all(text, F.lit(r"(?U)[^\s\x1c-\x1f]+"), F.lit(0))).cast("bigint")
 
 
 def kebab(value: Column) -> Column:
