@@ -95,10 +95,11 @@ class Words:
     """The words of some texts, in order: ``start`` and ``end`` byte positions, and ``first[i]:first[i+1]`` of text i.
 
     ``kind`` says which bytes words are made of, by 0 and other numbers; a word is also cut between kinds a and b where ``cut[a, b]``.
+    Without ``fold`` A-Z stay as they are.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray, cut: np.ndarray | None = None):
-        low = _LOWER[raw]
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray, cut: np.ndarray | None = None, fold: bool = True):
+        low = _LOWER[raw] if fold else raw
         inside = kind[low].astype(bool)
         n = len(low)
         if n:

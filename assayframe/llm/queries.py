@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.llm import _tokens, chat_format, decontaminate, html_extract, license_scan, ngram_join, packing, pivot_topk, quality, token_file, toxicity
+from assayframe.llm import _tokens, chat_format, decontaminate, filter_audit, html_extract, license_scan, ngram_join, packing, periodic_runs, pivot_topk, quality, token_file, toxicity, url_filter
 from assayframe.llm._shared import shared_path
 
 
@@ -116,6 +116,47 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(table(spark, sf_dir, "pages"))
 
 
+def repeated(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with repeats written into a tenth of the texts, as the query's contract has them."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(h % 10 == 0, F.lit(False)).alias("written"), g.alias("g"))
+    words = F.when(F.col("written"), F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
+    texts = texts.withColumn("w", words).withColumn("n", F.size("w").cast("bigint"))
+    a = F.when(F.col("n") > 0, F.col("g") % F.col("n"))
+    texts = texts.withColumn("a", a).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    again = F.array_join(F.transform("w", lambda w, i: F.get("w", place(i).cast("int"))), " ")
+    return texts.select("doc_id", F.when(F.col("written") & (F.col("n") > 0), again).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(repeated(table(spark, sf_dir, "documents")))
+    longer = lambda x, y: y["length"] * x["period"] - x["length"] * y["period"]
+    order = F.array_sort("runs", lambda x, y: F.when(longer(x, y) != 0, F.signum(longer(x, y)).cast("int")).when(x["start"] != y["start"], F.signum(x["start"] - y["start"]).cast("int")).otherwise(F.signum(x["period"] - y["period"]).cast("int")))
+    best = F.get(order, 0)
+    line = lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))
+    lines = F.array_join(F.transform("runs", line), "")
+    return found.select("row.doc_id", "runs", "collapsed", best.alias("best")).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failure_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
@@ -128,8 +169,11 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_token_file": op9_token_file,
         "op10_html_extract": op10_html_extract,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_url_filter": op12_url_filter,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_license_scan": license_scan.oracle(), "op4_pivot_topk": OP4_SQL, "op5_chat_format": OP5_SQL, "op6_decontamination": OP6_SQL}
+    return {"op1_license_scan": license_scan.oracle(), "op4_pivot_topk": OP4_SQL, "op5_chat_format": OP5_SQL, "op6_decontamination": OP6_SQL, "op12_url_filter": url_filter.SQL, "op13_filter_audit": filter_audit.SQL}
