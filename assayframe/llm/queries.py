@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayframe.llm import _tokens, chat_format, decontaminate, filter_audit, html_extract, license_scan, ngram_join, packing, periodic_runs, pivot_topk, quality, token_file, toxicity, url_filter
 from assayframe.llm._shared import shared_path
@@ -116,18 +120,31 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(table(spark, sf_dir, "pages"))
 
 
+_NO_SPACE = re.compile("[^ \t-\r]+")
+
+
+@F.arrow_udf(T.StringType())
+def _with_repeats(texts: pa.Array, g: pa.Array) -> pa.Array:
+    """Texts whose words from a on are the first p of these over and over; g says what a and p are."""
+
+    def one(text: str, g: int) -> str:
+        words = _NO_SPACE.findall(text)
+        if not words:
+            return text
+        n = len(words)
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        return " ".join(words[:a] + (words[a : a + p] * -(-(n - a) // p))[: n - a])
+
+    return pa.array([one(t.as_py(), x.as_py()) for t, x in zip(texts, g)], pa.string())
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with repeats written into a tenth of the texts, as the query's contract has them."""
-    h = F.crc32(F.col("doc_id").cast("string"))
-    g = F.floor(h / 10)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(h % 10 == 0, F.lit(False)).alias("written"), g.alias("g"))
-    words = F.when(F.col("written"), F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
-    texts = texts.withColumn("w", words).withColumn("n", F.size("w").cast("bigint"))
-    a = F.when(F.col("n") > 0, F.col("g") % F.col("n"))
-    texts = texts.withColumn("a", a).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
-    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
-    again = F.array_join(F.transform("w", lambda w, i: F.get("w", place(i).cast("int"))), " ")
-    return texts.select("doc_id", F.when(F.col("written") & (F.col("n") > 0), again).otherwise(F.col("text")).alias("text"))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    return texts.where(~chosen).unionByName(texts.where(chosen).select("doc_id", _with_repeats("text", F.floor(h / 10)).alias("text")))
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
