@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from assayframe.errors import CaseValidationError
@@ -102,11 +107,40 @@ def allowed_tools(tools: Column, has_skill: Column, default: list[str], skill_to
     return F.when(has_skill, with_skill).otherwise(F.coalesce(tools, F.array().cast("array<string>")))
 
 
+HASH_DIGITS = 12
+
+
 def directory_hash(files: DataFrame, folder: str = "folder") -> DataFrame:
-    """The first 12 hex digits of the sha256 over a folder's sorted ``path:content`` lines; a folder's files must fit a row."""
-    listed = files.groupBy(folder).agg(F.array_sort(F.collect_list(F.struct("rel", "content"))).alias("f"))
-    text = F.array_join(F.transform("f", lambda x: F.concat(x["rel"], F.lit(":"), x["content"])), "\n")
-    return listed.select(folder, F.substring(F.sha2(text, 256), 1, 12).alias("dir_hash"))
+    """The first 12 hex digits of the sha256 over a folder's ``rel:content`` lines, in order of the parts of ``rel``: (folder, dir_hash).
+
+    A digest is a chain over a folder's files, so one task reads a folder: sorted by Spark, which spills, and digested as it streams by. A task holds
+    one batch of rows and one digest state, whatever the folder's size. Null names and contents are empty.
+    """
+    rows = files.select(F.col(folder).alias("folder"), F.coalesce(F.col("rel"), F.lit("")).alias("rel"), F.coalesce(F.col("content"), F.lit("")).alias("content"))
+    ordered = rows.repartition("folder").sortWithinPartitions("folder", F.split("rel", "/"), "content")
+    kind = rows.schema["folder"].dataType
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, of = None, None
+
+        def told(schema: pa.DataType) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([of], schema), pa.array([state.hexdigest()[:HASH_DIGITS]])], ["folder", "dir_hash"])
+
+        for batch in batches:
+            own = batch.schema.field("folder").type
+            for name, rel, content in zip(*(batch.column(c).to_pylist() for c in ("folder", "rel", "content"))):
+                if state is None or name != of:
+                    if state is not None:
+                        yield told(own)
+                    state, of = hashlib.sha256(), name
+                else:
+                    state.update(b"\n")
+                state.update(rel.encode() + b":")
+                state.update(content.encode())
+        if state is not None:
+            yield told(own)
+
+    return ordered.mapInArrow(digest, T.StructType([T.StructField("folder", kind), T.StructField("dir_hash", T.StringType())])).withColumnRenamed("folder", folder)
 
 
 def compare_runs(base: DataFrame, other: DataFrame) -> DataFrame:

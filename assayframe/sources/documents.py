@@ -11,11 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from assayframe.errors import CaseValidationError, EmptyFolderError, SkillError
 from assayframe.functions import text as texts
 from assayframe.operators import grading, samples
+from assayframe.operators.numbering import numbered
 
 _ASSERTIONS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("value", T.StringType())]))
 CASE_FIELDS = T.StructType(
@@ -67,9 +67,8 @@ def _cases(contents: pd.Series) -> pd.DataFrame:
 def parse_cases(files: DataFrame) -> DataFrame:
     """(source, content) to cases; case_idx counts from 0 in order of the sources' path components."""
     parsed = files.withColumn("c", _cases("content")).select("source", "content", "c.*")
-    # only sources are numbered in one order; contents stay where they are
-    place = Window.orderBy(F.split("source", "/"))
-    numbers = files.select("source").distinct().withColumn("case_idx", F.row_number().over(place) - 1)
+    # only sources are dealt by their order; contents stay where they are
+    numbers = numbered(files.select("source").distinct(), F.split("source", "/"), name="case_idx").withColumn("case_idx", F.col("case_idx").cast("int"))
     return parsed.join(numbers, "source").withColumn("timestamp", F.try_to_timestamp("timestamp_raw"))
 
 
