@@ -6,12 +6,17 @@ benchmark items are cases, and skill documents, transcripts and verdicts are bui
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assayframe.functions import metrics, text, verdicts
-from assayframe.operators import grading, lint, rounds, samples, status, transcripts
+from assayframe.functions import metrics, schema, text, verdicts
+from assayframe.operators import grading, lint, numbering, rounds, samples, status, transcripts
+from assayframe.plans import runners
+from assayframe.shared import shared_dir
+from assayframe.sources.store import ResultStore
 
 K = 3
 
@@ -553,6 +558,119 @@ def path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", text.last_part(F.col("url")).alias("name"), F.array_join(text.comma_list(F.replace("url", F.lit("/"), F.lit(" , "))), "|").alias("parts"))
 
 
+_JUDGED = "CASE WHEN event_id % 5 = 0 THEN '(no tools used)' ELSE '- ' || event_type || ': ' || CASE WHEN event_id % 5 = 1 THEN '{}' ELSE '{' || chr(10) || '  \"k\": ' || json_extract_string(props, '$.k') || chr(10) || '}' END END"
+
+
+@_query(
+    f"""SELECT event_id, 'Decide whether the response meets the expectation.' || chr(10) || chr(10) || 'Prompt:' || chr(10) || CASE WHEN event_id % 2 = 0 THEN 'Turn 1: a' || chr(10) || 'Turn 2: b' ELSE 'a' END || chr(10) || chr(10)
+    || 'Response:' || chr(10) || 'r' || event_id || chr(10) || chr(10) || 'Tools used:' || chr(10) || {_JUDGED} || chr(10) || chr(10) || 'Expected:' || chr(10) || event_type || chr(10) || chr(10)
+    || 'Answer with a JSON object {{"pass": true or false, "reasoning": text}}.' AS judge_prompt FROM events"""
+)
+def judge_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    call = F.struct(F.col("event_type").alias("name"), F.when(e % 5 != 1, F.col("props")).alias("input"))
+    rows = _table(spark, sf_dir, "events").select(
+        "event_id",
+        F.array(F.lit("a"), F.lit("b")).alias("prompt"),
+        (e % 2 == 0).alias("prompt_is_list"),
+        F.concat(F.lit("r"), e).alias("response"),
+        F.when(e % 5 == 0, F.array().cast("array<struct<name:string,input:string>>")).otherwise(F.array(call)).alias("tool_calls"),
+        F.col("event_type").alias("expected"),
+    )
+    return runners.judge_prompt(rows).select("event_id", "judge_prompt")
+
+
+@_query("SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) - 1 AS number FROM events")
+def global_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbering.numbered(_table(spark, sf_dir, "events").select("event_id", "value"), F.desc("value"), "event_id").select("event_id", "number")
+
+
+@_query(f"WITH {RUNS} SELECT case_source, row_number() OVER (ORDER BY min(event_id)) - 1 AS case_order, count(*) AS n, count(*) FILTER (passed) AS c FROM runs GROUP BY 1")
+def per_case_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples.per_case_in_order(plain_runs(spark, sf_dir), K, "event_id").select("case_source", "case_order", "n", "c")
+
+
+@_query("SELECT doc_id, quality = 1 AS passed, CASE WHEN quality IS NOT NULL THEN 'q' || quality END AS response, quality IS NOT NULL AS cached FROM documents LEFT JOIN labels USING (doc_id)")
+def stored_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels recorded in a store, all documents looked up in it."""
+    store = ResultStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", buckets=8)
+    judged = F.struct((F.col("quality") == 1).alias("pass"), F.lit("").alias("reasoning"))
+    calls = F.array().cast("array<struct<name:string,input:string>>").alias("tool_calls")
+    names = [F.lit("s").alias("set_name"), F.lit("a").alias("agent"), F.lit("b").alias("skill_key")]
+    key = F.col("doc_id").cast("string").alias("case_key")
+    store.record(_table(spark, sf_dir, "labels").select(*names, key, F.lit(1).alias("iteration"), F.concat(F.lit("q"), "quality").alias("response"), calls, judged.alias("judgment"), F.lit(False).alias("infra_failure")))
+    tasks = _table(spark, sf_dir, "documents").select("doc_id", key, F.lit(1).alias("iteration"))
+    return store.look_up(tasks, "s", "a", "b").select("doc_id", F.col("judgment.pass").alias("passed"), "response", "cached")
+
+
+_SCHEMA = {
+    "type": "object",
+    "required": ["kind", "who", "tags"],
+    "properties": {
+        "kind": {"enum": ["click", "view", "purchase"]},
+        "who": {"type": "object", "required": ["id"], "properties": {"id": {"type": "integer", "minimum": 10}}},
+        "tags": {"type": "array", "maxItems": 2, "items": {"type": "string", "maxLength": 6}},
+    },
+}
+
+
+@_query(
+    """WITH bad AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN ['$ is not JSON'] ELSE
+    list_concat(CASE WHEN event_id % 3 = 0 THEN ['$ has no who'] ELSE [] END, CASE WHEN event_type NOT IN ('click', 'view', 'purchase') THEN ['$.kind is not one of "click", "view", "purchase"'] ELSE [] END,
+    CASE WHEN event_id % 3 = 1 AND user_id < 10 THEN ['$.who.id is less than 10'] WHEN event_id % 3 = 2 THEN ['$.who has no id'] ELSE [] END,
+    CASE WHEN length(event_type) > 6 THEN ['$.tags[1] is longer than 6'] ELSE [] END) END AS p FROM events)
+    SELECT event_id, array_to_string(p, '; ') AS problems, len(p) = 0 AS valid FROM bad"""
+)
+def schema_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers as JSON in prose, checked by a schema with nested required fields, an enum and bounds."""
+    e = F.col("event_id")
+    who = F.when(e % 3 == 1, F.concat(F.lit(',"who":{"id":'), "user_id", F.lit("}"))).when(e % 3 == 2, F.lit(',"who":{}')).otherwise("")
+    answer = F.concat(F.lit('Here: {"kind":"'), "event_type", F.lit('"'), who, F.lit(',"tags":["a","'), "event_type", F.lit('"]} - done'))
+    rows = _table(spark, sf_dir, "events").select("event_id", F.when(e % 7 == 0, F.lit("none")).otherwise(answer).alias("answer"))
+    wrong = schema.problems(text.json_in_prose(F.col("answer")), _SCHEMA)
+    return rows.select("event_id", wrong.alias("p")).select("event_id", F.array_join("p", "; ").alias("problems"), (F.size("p") == 0).alias("valid"))
+
+
+@_query(
+    """WITH placed AS (SELECT event_type AS parameters, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS place FROM events)
+    SELECT parameters, CAST(place // 100 AS BIGINT) AS chunk, count(*) AS n, sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)) AS trials, arg_min(value, event_id) AS first_score, arg_max(value, event_id) AS last_score
+    FROM placed GROUP BY ALL"""
+)
+def score_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trials = _table(spark, sf_dir, "events").select(F.col("event_type").alias("parameters"), F.col("event_id").alias("trial"), F.col("value").alias("score"))
+    lists = rounds.score_lists(trials, 100)
+    told = F.sha2(F.array_join(F.col("trials").cast("array<string>"), ","), 256)
+    return lists.select("parameters", "chunk", F.size("trials").cast("bigint").alias("n"), told.alias("trials"), F.col("scores")[0].alias("first_score"), F.element_at("scores", -1).alias("last_score"))
+
+
+@_query(f"WITH found AS ({_lint_sql()}) SELECT path, count(*) AS n_findings, count(*) FILTER (severity = 'error') AS n_errors, count(*) FILTER (severity = 'warning') AS n_warnings FROM found GROUP BY 1")
+def finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lint.finding_counts(lint.lint(skills(spark, sf_dir)), "path")
+
+
+@_query("SELECT * FROM (SELECT 'setup' AS kind, count(*) AS n_scripts, count(DISTINCT doc_id) AS n_cases FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'teardown', count(*), count(DISTINCT doc_id) FROM documents WHERE doc_id % 3 = 0)")
+def script_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    cases = _table(spark, sf_dir, "documents").select(d.cast("string").alias("source"), F.when(d % 2 == 0, "x").otherwise("").alias("setup"), F.when(d % 3 == 0, "y").alias("teardown"))
+    return samples.script_counts(cases)
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source || '-' || doc_id ELSE 'sets/' || lang || '/' || source || '-' || doc_id END AS cache_name FROM documents")
+def cache_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    name = F.concat(F.lit("sets/"), "lang", F.lit("/"), "source", F.lit("-"), "doc_id", F.when(F.col("doc_id") % 4 == 0, "/").otherwise(""))
+    return docs.select("doc_id", text.cache_name(name, F.col("doc_id") % 2 == 0).alias("cache_name"))
+
+
+@_query(
+    f"""WITH {_STATES}, marked AS (SELECT *, CASE WHEN state = 'done' THEN CASE WHEN passed THEN '✓' ELSE '✗' END WHEN state = 'cached' THEN '●' WHEN state = 'running' THEN '◐' WHEN state = 'pending' THEN '○' ELSE '?' END AS s FROM latest)
+    SELECT CAST(row_number() OVER (ORDER BY case_idx) AS BIGINT) AS line, case_idx, string_agg(s, ' ' ORDER BY iteration) AS symbols,
+    CASE WHEN count(*) FILTER (state IN ('done', 'cached')) = count(*) THEN round(count(*) FILTER (state IN ('done', 'cached') AND passed) * 100.0 / count(*), 9) END AS percent FROM marked GROUP BY case_idx"""
+)
+def status_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return status.report(status.latest_state(_states(spark, sf_dir))).withColumn("percent", _round("percent"))
+
+
 def queries() -> dict:
     out = dict(_QUERIES)
     for rule in dict.fromkeys(name.strip() for name in _LINT):

@@ -177,3 +177,8 @@ def first_lines(script: Column, most: int = 10) -> tuple[Column, Column]:
 def with_schema(prompt: Column, schema: str) -> Column:
     """A prompt that asks for JSON of a schema and nothing else."""
     return F.concat(prompt, F.lit(f"\n\nAnswer with one JSON object that this JSON schema accepts, and nothing else:\n{schema}"))
+
+
+def cache_name(name: Column, is_path: Column) -> Column:
+    """The name results are kept under: the last part of a name that is a path which is there, else the name as it is."""
+    return F.when(is_path, last_part(name)).otherwise(name)

@@ -91,3 +91,9 @@ def lint(skills: DataFrame, rules: list[str] | None = None) -> DataFrame:
     """(path, rule, message, severity, line, ord), one row a finding."""
     chosen = F.concat(*[RULES[name]() for name in rules or RULES])
     return skills.select("path", F.posexplode(chosen).alias("ord", "f")).select("path", "f.*", "ord")
+
+
+def finding_counts(findings: DataFrame, *keys: str) -> DataFrame:
+    """Findings, and errors and warnings among them, of each key; without keys one row over all."""
+    kind = F.col("severity")
+    return findings.groupBy(*keys).agg(F.count("*").alias("n_findings"), F.count_if(kind == "error").alias("n_errors"), F.count_if(kind == "warning").alias("n_warnings"))

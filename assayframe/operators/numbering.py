@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.sources.results import kept
+from assayframe.shared import kept
 
 #: Spark's row ids have a part's number above this bit and the row's place in it below
 _PLACE_BITS = 33

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from assayframe.operators.numbering import numbered
+
 
 def best_round(rounds: DataFrame) -> DataFrame:
     """The round with the highest rate of each run, the latest of equals."""
@@ -40,6 +42,22 @@ def mean_by_parameters(trials: DataFrame) -> DataFrame:
     return trials.groupBy("parameters").agg(F.avg("score").alias("mean_score"), F.count("*").alias("n"))
 
 
+#: scores in one row of a list: half a megabyte
+CHUNK = 1 << 16
+
+
+def score_lists(trials: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """All scores of each combination of parameters in order of their trials, in rows of at most ``chunk``: (parameters, chunk, trials, scores).
+
+    Trials are dealt by ranges of (parameters, trial), so a combination with very many of them is spread over tasks, and no row grows with it.
+    """
+    placed = numbered(trials.select("parameters", "trial", "score"), "parameters", "trial", name="_at")
+    first = placed.groupBy(F.col("parameters").alias("_of")).agg(F.min("_at").alias("_first"))
+    at = placed.join(first, F.col("parameters").eqNullSafe(F.col("_of"))).select("parameters", "trial", "score", F.floor((F.col("_at") - F.col("_first")) / chunk).alias("chunk"))
+    lists = at.groupBy("parameters", "chunk").agg(F.array_sort(F.collect_list(F.struct("trial", "score"))).alias("l"))
+    return lists.select("parameters", "chunk", F.col("l.trial").alias("trials"), F.col("l.score").alias("scores"))
+
+
 def last_rounds(rounds: DataFrame, n: int) -> DataFrame:
     """The last n rounds of each run."""
     place = Window.partitionBy("run").orderBy(F.desc("round"))

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from assayframe.errors import CaseValidationError
 from assayframe.functions.metrics import pass_at_k, pass_pow_k, pass_rate
+from assayframe.operators.numbering import in_first_seen_order
 
 CACHE_KEYS = ("set_name", "case_key", "agent", "skill_key", "iteration")
 REQUIRED = ("expected", "name", "prompt", "timestamp")
@@ -76,6 +77,16 @@ def per_case(results: DataFrame, k: int | Column) -> DataFrame:
     return counted.select("case_source", k.cast("int").alias("k"), "n", "c", pass_at_k("n", "c", k).alias("pass_at_k"), pass_pow_k("n", "c", k).alias("pass_pow_k"))
 
 
+def per_case_in_order(results: DataFrame, k: int | Column, order: str) -> DataFrame:
+    """``per_case`` with ``case_order``: cases numbered from 0 by where each is first met."""
+    return in_first_seen_order(per_case(results, k), results, "case_source", order, "case_order")
+
+
+def script_counts(cases: DataFrame) -> DataFrame:
+    """Scripts of each kind, as told before they are trusted."""
+    return scripts(cases).groupBy("kind").agg(F.count("*").alias("n_scripts"), F.countDistinct("source").alias("n_cases"))
+
+
 def failures(results: DataFrame) -> DataFrame:
     return results.where(~F.col("passed"))
 

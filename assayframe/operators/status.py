@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayframe.operators.numbering import numbered
+
 #: fixed values: state symbols
 SYMBOLS = {"pending": "○", "cached": "●", "running": "◐", "pass": "✓", "fail": "✗"}
 
@@ -50,3 +52,11 @@ def compact_percent(states: DataFrame) -> DataFrame:
     counts = state_counts(states)
     over = F.col("n_pass") + F.col("n_fail")
     return counts.select(F.when(over > 0, F.col("n_pass") / over * 100.0).alias("percent"))
+
+
+def report(states: DataFrame) -> DataFrame:
+    """The lines of a report in order of the cases: (line, case_idx, symbols of the iterations, percent); line counts from 1."""
+    kinds = states.withColumn("s", symbol(bucket(F.col("state"), F.col("passed"))))
+    lines = kinds.groupBy("case_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("iteration", "s"))), lambda x: x["s"]), " ").alias("symbols"))
+    both = lines.join(case_percent(states, False).select("case_idx", "percent"), "case_idx")
+    return numbered(both, "case_idx", name="line", first=1)

@@ -11,7 +11,7 @@ from assayframe.errors import CaseValidationError, JudgeError
 from assayframe.functions.text import case_cache_key, template
 from assayframe.operators import grading, samples
 from assayframe.plans.runners import ERRORS, KEYS, Runner, first_valid, judge_prompt
-from assayframe.sources.results import kept
+from assayframe.shared import kept
 from assayframe.sources.store import ResultStore
 
 NO_TEXT = "(no text response)"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,16 +14,6 @@ from assayframe.operators.samples import CACHE_KEYS, cacheable, latest
 PARTITIONS = ("set_name", "agent", "skill_key")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared checkpoint folder, so that what a runner did is never done twice."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="assayframe-"))
-    return df.checkpoint()
-
-
 def write_cache(results: DataFrame, path: str) -> None:
     """Append what may be cached, partitioned so that a lookup reads only its own set, agent and skill."""
     cacheable(results).drop("infra_failure", "cached").withColumn("stored_at", F.current_timestamp()).write.partitionBy(*PARTITIONS).mode("append").parquet(path)
@@ -71,6 +60,8 @@ def candidate_yaml(row: dict, timestamp: str, skill_name: str | None = None) ->
         return yaml.dump(fields, default_flow_style=False, allow_unicode=True, sort_keys=False)
 
     said = {"generated": True, "skill_name": skill_name} | {k: row.get(k) for k in ("category", "domain", "source", "confidence", "rationale")}
+    if row.get("confidence") is not None:
+        said["sure"] = f"{row['confidence']:.0%}"
     about = dumped({"_meta": {k: v for k, v in said.items() if v not in (None, "")}})
     head = "".join(f"# {line}\n" for line in (REVIEW_NOTE, *about.splitlines()))
     return head + dumped({"timestamp": timestamp, "name": row["name"], "prompt": row["prompt"], "expected": row["expected"]})
@@ -86,6 +77,29 @@ def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = Fals
         out.close()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """One small file in whatever store a path is in."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    source = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode()
+    finally:
+        source.close()
+
+
+def cache_name(spark: SparkSession, name: str) -> str:
+    """The name that results of a set are kept under: the last part of its full path if the set is a path that is there, else the name as it is."""
+    if not name or not exists(spark, name):
+        return name
+    where = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).resolvePath(where).getName()
+
+
 def write_candidates(candidates: DataFrame, folder: str, stamp: str, timestamp: str, skill_name: str | None = None) -> list[str]:
     """Write each candidate to a file of its own in a folder, beside what is there, and give the names; rows come to the driver one at a time."""
     spark = candidates.sparkSession
