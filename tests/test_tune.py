@@ -157,13 +157,9 @@ def test_generate_evals_from_answers_to_files(spark, tmp_path):
     assert documents.load_cases(spark, str(tmp_path / "out")).count() == 2
 
 
-def the_runner():
-    return runner("+++", 1)
-
-
 def test_command_line(spark, folder, monkeypatch):
-    said = []
-    monkeypatch.setattr(cli, "named", lambda what: {"run": runner("++", 1), "tune": runner, "skill": lambda prompt: "---\nname: set\n---\n" + "+" * (prompt.count("- Score") + 1), "cases": lambda prompt: json.dumps({"candidates": [candidate("x")]})}[what])
+    said, answer = [], json.dumps({"candidates": [candidate("x")]})
+    monkeypatch.setattr(cli, "named", lambda what: {"run": runner("++", 1), "tune": runner, "skill": lambda prompt: "---\nname: set\n---\n" + "+" * (prompt.count("- Score") + 1), "cases": lambda prompt: answer}[what])
     go = lambda *args: cli.main(args, spark, said.append)
     root = str(folder)
     assert go("eval", "set", "--agent", "x", "--runner", "run", "-s", "1", "--root", root) == 1 and said[-1].startswith("These runs did not meet") and any(s.startswith("pass rate 67% (2 of 3, 0 cached)") for s in said)
