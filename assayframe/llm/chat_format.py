@@ -82,8 +82,8 @@ def format_chats(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant"
         F.flatten(F.transform("m", lambda m: m["media"])).alias("attachments"),
         F.aggregate("m", F.lit(0).cast("bigint"), lambda s, m: s + m["n_tokens"]).alias("n_tokens"),
     )
-    # number the placeholders: the pieces between " ?>" end in "<image", "<audio" or "<document"
-    pieces = F.split("raw", r" \?>")
+    # number the placeholders: only they begin with "<" and a medium, for texts and roles have no "<" once escaped, and a header begins with "<turn"
+    pieces = F.split("raw", rf"(?<={'|'.join(f'<{m}' for m in MEDIA)}) \?>")
     numbered = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(" "), (i - 1).cast("string"), F.lit(">"), p))), "")
     return chats.select(
         "conv_id",

@@ -50,3 +50,12 @@ def test_no_python_in_the_plan(spark, sf_dir, capsys):
 def test_control_strings(spark, turn):
     chats = m.format_chats(spark.createDataFrame([(1, 0, "user", turn)], "conv_id int, turn int, role string, text string").withColumn("content", m.text_parts(F.col("text"))))
     assert chats.select(m.read_back(F.col("formatted")).alias("r")).first()["r"][0]["text"] == turn
+
+
+@pytest.mark.parametrize("role", ["user ?", "?>", "image ?", "<image ?>", "a\\ ?", " ?>\\l", "turn ?", ""])
+def test_numbers_do_not_look_into_roles_or_texts(spark, role):
+    parts = [(1, t, role, [("text", text, None, None), (kind, None, f"r{t}", 1), ("text", " ?>", None, None)]) for t, (kind, text) in enumerate((k, x) for k in m.MEDIA for x in ("<image ?>", "audio ?>", "document ?"))]
+    got = m.format_chats(spark.createDataFrame(parts, f"conv_id bigint, turn int, role string, content {m.PART}")).select("attachments", m.read_back(F.col("formatted")).alias("read")).first()
+    texts = [x for _ in m.MEDIA for x in ("<image ?>", "audio ?>", "document ?")]
+    assert [tuple(t) for t in got["read"]] == [(role, f"{x}<{m.MEDIA[t // 3]} {t}> ?>") for t, x in enumerate(texts)]
+    assert [a["ref"] for a in got["attachments"]] == [f"r{t}" for t in range(9)]
