@@ -172,4 +172,5 @@ def test_command_line(spark, folder, monkeypatch):
     assert said[-1] == f"best round 4 at 100%, kept in {root}/t.json" and (folder / "set" / "SKILL.md").read_text().endswith("+++") and json.loads((folder / "t.json").read_text())["result"]["success"]
     assert go("generate-evals", f"{root}/set", "--write", "cases", "-o", f"{root}/new") == 0 and said[-1] == f"1 candidates in {root}/new"
     assert go("eval", "missing", "--agent", "x", "--runner", "run", "--root", root) == 2
+    monkeypatch.undo()
     assert cli.named("json:dumps") is json.dumps and results.cache_name(spark, "set") == "set" and results.cache_name(spark, f"{root}/set/") == "set"
