@@ -5,9 +5,11 @@ unlabelled, so the class prior is that of the whole corpus; what other labels sa
 2**HASH_BITS buckets, each at three levels: there, there twice or more, and in that case at least every ``DENSE``-th word.
 
 (1) One pass over all learning documents counts, for each bucket and level, the positives and the unlabelled documents
-that have it; the number of counters is fixed. (2) Every feature with enough evidence for toxicity (log-likelihood ratio
-of at least ``LEAST_GAIN`` under the class prior, in at least ``LEAST_ROWS`` documents) becomes an input of a linear
-model. (3) All learning documents are turned into the list of those features they have, and equal lists are counted
+that have it; the number of counters is fixed. (2) Features become inputs of a linear model by their
+evidence for toxicity, the log-likelihood ratio under the class prior. Its bounds follow the data: at most a share
+``FALSE`` of the features taken may be there by chance, of as many as were looked at (Benjamini and Hochberg's rule), and
+each has to save ``NATS`` for every positive. Where that leaves fewer than ``FEWEST``, the ``FEWEST`` with most evidence
+are taken, so a few positives suffice for a model. (3) All learning documents are turned into the list of those features they have, and equal lists are counted
 together, positives and unlabelled. (4) The model minimises the non-negative risk
 ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`` with logistic loss over all of that table: risk and gradient are
 summed up in its partitions by numpy, and the driver takes quasi-Newton steps from the sums; steps that would make the
@@ -15,7 +17,8 @@ inner term negative are shortened. (5) The cut that scores of 0.7 stand for is w
 predicted positives is best, which needs no negatives, from counts of all learning documents by their value. (6) Scores
 of all documents come from one more pass. Nothing is sampled.
 
-The class prior is the share of positives among labelled learning rows, which the caller may state instead.
+The class prior is the share of positives among labelled learning rows, which the caller may state instead. Of more than ``POSITIVES`` confirmed
+positives an even share by hash of their ids is learnt from, so their ids can be sent to every executor and no text is shuffled.
 
 Defined cases: null and empty texts have no features and get the model's base score; documents without a learning
 label are unlabelled; labels of null are none; repeated label rows of a document count as toxic if any is; without
@@ -39,8 +42,10 @@ from assayframe.llm._words import ALNUM, Words, slices, string_buffers
 HASH_BITS, LEVELS = 19, 3
 PREFIXES = (4, 5, 6, 7, 8)
 DENSE = 100
-#: evidence in nats, and documents, that a feature needs at least; with less evidence come features that only the learning rows have
-LEAST_GAIN, LEAST_ROWS = 25.0, 5
+#: features that may be there by chance, as a share of those taken; nats that a feature saves for each positive; features that are taken at least
+FALSE, NATS, FEWEST = 0.01, 0.12, 36
+#: confirmed positives that are learnt from at most: 16 bytes each in every executor
+POSITIVES = 2_000_000
 STEPS, MEMORY, DECAY = 20, 8, 1e-3
 THRESHOLD = 0.7
 #: values of the linear model are counted in bins of this width, from -_RANGE to _RANGE
@@ -78,7 +83,10 @@ def learning_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: Call
     share = state.agg(F.avg((F.col("state") == 1).cast("int"))).first()[0]
     plain = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     confirmed = state.where("state = 1").select("doc_id", F.lit(True).alias("positive"))
-    return plain.join(confirmed, "doc_id", "left").select("text", F.coalesce("positive", F.lit(False)).alias("positive")), float(share or 0.0)
+    share_kept = -(-confirmed.count() // POSITIVES)
+    if share_kept > 1:
+        confirmed = confirmed.where(F.pmod(F.xxhash64("doc_id"), F.lit(share_kept)) == 0)
+    return plain.join(F.broadcast(confirmed), "doc_id", "left").select("text", F.coalesce("positive", F.lit(False)).alias("positive")), float(share or 0.0)
 
 
 def count_features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -102,12 +110,21 @@ def count_features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
 
 
 def choose_features(positive: np.ndarray, unlabelled: np.ndarray, n_p: int, n_u: int, prior: float) -> np.ndarray:
-    """All features with a large log-likelihood ratio statistic, positives against all documents less the positives hidden in them."""
+    """Features by their log-likelihood ratio statistic, positives against all documents less the positives hidden in them, as the module says."""
     p = (positive + 0.5) / (n_p + 1)
     u = (positive + unlabelled + 0.5) / (n_p + n_u + 1)
     q = np.maximum((u - prior * p) / max(1 - prior, 1e-9), 0.5 / (n_p + n_u + 1))
     gain = n_p * (p * np.log(p / q) + (1 - p) * np.log((1 - p) / np.maximum(1 - q, 1e-9)))
-    return np.flatnonzero((p > q) & (positive + unlabelled >= LEAST_ROWS) & (gain >= LEAST_GAIN))
+    for least in (2, 1):  # what one positive has may be no more than its own, but is better than nothing
+        known = np.flatnonzero((p > q) & (positive >= least))
+        if len(known):
+            break
+    order = known[np.argsort(-gain[known], kind="stable")]
+    gain = gain[order]
+    looked_at = max(1, int(np.count_nonzero(positive + unlabelled)))
+    real = np.flatnonzero(np.exp(-gain) * looked_at <= FALSE * np.arange(1, len(gain) + 1))
+    n = min(int(real[-1]) + 1 if len(real) else 0, int((gain >= NATS * n_p).sum()))
+    return np.sort(order[: max(n, FEWEST)])
 
 
 def _kept(features: np.ndarray) -> np.ndarray:

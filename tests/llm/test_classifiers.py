@@ -154,3 +154,82 @@ def test_without_positives_nothing_is_toxic(spark, docs):
     labels = spark.createDataFrame([(1, 0), (2, 0)], "doc_id bigint, toxic int")
     model = toxicity.train(docs, labels, toxicity.held_out)
     assert toxicity.score(docs.select("doc_id", "text"), model).where("score > 0").count() == 0
+
+
+def _found_at(spark, sf):
+    path = f"/root/testdata/{sf}"
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, labels, toxicity.held_out)).where(toxicity.held_out(F.col("doc_id")))
+    score, label = _labelled(spark, scored, "toxic", path)
+    called = score >= toxicity.THRESHOLD
+    return int((called & (label == 1)).sum()), int(called.sum()), int(label.sum()), len(set(score))
+
+
+def test_toxicity_at_small_sizes(spark):
+    right, called, all_, values = _found_at(spark, "sf0.001")
+    assert right >= 2 and called == right and values > 1
+    right, called, all_, _ = _found_at(spark, "sf0.01")
+    assert right / all_ >= 0.8 and right / called >= 0.9
+
+
+def test_texts_are_not_shuffled_to_be_learnt_from(spark, sf_dir, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    rows, _ = toxicity.learning_rows(docs, labels, "toxic", toxicity.held_out)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    whole = rows.where("positive").count()
+    monkeypatch.setattr(toxicity, "POSITIVES", 2)
+    few, _ = toxicity.learning_rows(docs, labels, "toxic", toxicity.held_out)
+    assert few.where("positive").count() < whole and few.count() == rows.count()
+
+
+def _pieces(text):
+    """What a text has, word by word: {(piece, kind): level} with the levels there, twice and dense."""
+    words = re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))))
+    counts = {}
+    for w in words:
+        for k in (0, *toxicity.PREFIXES):
+            bucket = _bucket(w[:k] if k else w, k)
+            counts[bucket] = counts.get(bucket, 0) + 1
+    out = set(counts)
+    out |= {b + (1 << toxicity.HASH_BITS) for b, n in counts.items() if n >= 2}
+    return out | {b + (2 << toxicity.HASH_BITS) for b, n in counts.items() if n >= 2 and n * toxicity.DENSE >= len(words)}
+
+
+def _bucket(piece, k):
+    from assayframe.llm._words import ALNUM, Words
+
+    h = Words(np.frombuffer(piece, np.uint8), np.array([0, len(piece)]), ALNUM).hashes()
+    return int((h * np.uint64(2 * k + 3) if k else h)[0] >> np.uint64(64 - toxicity.HASH_BITS))
+
+
+def test_counts_risk_and_cut_match_brute_force(spark):
+    rng = np.random.default_rng(1)
+    names = ["foul", "fouler", "Nasty", "nice", "été", "a", "longerwordsthanall", "x1"]
+    texts = [" ".join(rng.choice(names, rng.integers(0, 9))) for _ in range(60)]
+    rows = [(t, bool("foul" in t.split() and i % 2)) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "text string, positive boolean").repartition(3)
+    positive, unlabelled, n_p, n_u = toxicity.count_features(table)
+    for own, kind, n in ((positive, True, n_p), (unlabelled, False, n_u)):
+        want = np.zeros(toxicity.N_FEATURES)
+        for t, p in rows:
+            if p == kind:
+                want[list(_pieces(t))] += 1
+        assert (own == want).all() and n == sum(p == kind for _, p in rows)
+    features = np.flatnonzero(positive + unlabelled > 0)[::3]
+    place = {int(f): i for i, f in enumerate(features)}
+    w, b = np.log((positive[features] + 0.1) / (unlabelled[features] + 1)), 0.3
+    z = np.array([b + sum(w[place[f]] for f in _pieces(t) if f in place) for t, _ in rows])
+    kind = np.array([p for _, p in rows])
+    found = toxicity.patterns(table, features)
+    risk, grad = toxicity._sums(found, w, b)
+    assert np.allclose(risk, [np.logaddexp(0, -z[kind]).sum(), np.logaddexp(0, z[kind]).sum(), np.logaddexp(0, z[~kind]).sum()])
+    up = 1 / (1 + np.exp(-z))
+    assert np.isclose(grad[1, -1], up[kind].sum()) and np.isclose(grad[2, -1], up[~kind].sum())
+    some = next(iter(place))
+    has = np.array([some in _pieces(t) for t, _ in rows])
+    assert np.isclose(grad[2, place[some]], up[~kind & has].sum())
+    cut, _ = toxicity._cut(found, w, b)
+    values = [(np.mean(z[kind] > c) ** 2 / max(np.mean(z > c), 1e-9), c) for c in np.unique(z) - toxicity._BIN]
+    reached = np.mean(z[kind] > cut) ** 2 / np.mean(z > cut)
+    assert reached >= 0.98 * max(v for v, _ in values)
