@@ -10,8 +10,8 @@ distinct (document, window) pairs. The longest verbatim matches follow from the
 first hit place of a document on, the longest match that begins there, then the next place whose window reaches beyond
 it, and so on; each match names one item that has it, and where.
 
-The benchmark is held by every task, in blocks of about ``BLOCK_BYTES`` of text. Blocks are run one after the other,
-each written before the next begins, so a larger benchmark costs more passes but no more memory, on no machine.
+The benchmark's suffix array is built once, by prefix doubling, and sent to the executors as arrays, in blocks of about ``BLOCK_BYTES`` of text. Blocks are
+run one after the other, each written before the next begins, so a larger benchmark costs more passes but no more memory, on no machine.
 
 A window is ``width`` consecutive words of an item, or the whole item if it has fewer (but at least one). A document
 word inside any occurrence is hit. A document is contaminated if 0 < n_hit and 20 * n_hit >= n_words.
@@ -35,9 +35,11 @@ from assayframe.llm._shared import bounded_batches, give_back, written
 from assayframe.llm._words import ALNUM, Words, slices, spread, string_buffers
 
 WIDTH = 13
-SHARD_WORDS, BLOCK_BYTES = 1 << 19, 64 << 20
+SHARD_WORDS, BLOCK_BYTES = 1 << 19, 32 << 20
 #: bytes of text turned into words, and (document, window) pairs turned into items, at a time
 _CHUNK, _PAIRS = 1 << 18, 1 << 20
+#: symbols compared at a time
+_COMPARED = 1 << 20
 FOUND = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, item_ids array<bigint>, matches array<struct<item_id:bigint,item_word:bigint,doc_word:bigint,n_words:bigint>>"
 RESULTS = ("n_words", "n_hit", "item_ids", "matches", "contaminated")
 
@@ -66,17 +68,15 @@ class Benchmark:
         item = np.repeat(np.arange(len(items)), n)
         word = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         at = place[item] + word
-        rank = np.zeros(len(self.symbols), np.int64)
-        rank[at] = np.arange(len(at))
-        order = rank[suffix_array(self.symbols, at, int(counts.max(initial=1)), len(self.known) + 1)]
-        self.item, self.word, self.at, self.length = item[order], word[order], at[order], lengths[item[order]]
+        order = np.argsort(suffix_ranks(self.symbols)[at], kind="stable")
+        self.item, self.word, self.at, self.length = (x[order].astype(np.int32) for x in (item, word, at, lengths[item]))
         new = np.ones(len(order), bool)
         new[1:] = self.length[1:] != self.length[:-1]
         for d in range(width):
             inside = np.flatnonzero(~new & (self.length > d))
             new[inside] = self.symbols[self.at[inside] + d] != self.symbols[self.at[inside - 1] + d]
-        self.first = np.flatnonzero(new)
-        self.edge = np.append(self.first, len(order))
+        self.first = np.flatnonzero(new).astype(np.int32)
+        self.edge = np.append(self.first, np.int32(len(order)))
         self.window_at, self.window_length = self.at[self.first], self.length[self.first]
         self.ids = np.array([i if i is not None else -1 for i, _ in items], np.int64)
         self.named = np.array([i is not None for i, _ in items], bool)
@@ -96,14 +96,8 @@ class Benchmark:
         open_ = np.arange(len(place))
         while len(open_):
             mid = (low[open_] + high[open_]) // 2
-            same, less = self.window_length[window[open_]].copy(), np.zeros(len(open_), bool)
-            grow = np.arange(len(open_))
-            while len(grow):
-                a, b = symbols[place[open_[grow]] + same[grow]], self.symbols[self.at[mid[grow]] + same[grow]]
-                on = (a == b) & (a > 0)
-                less[grow[~on]] = a[~on] > b[~on]
-                grow = grow[on]
-                same[grow] += 1
+            same = agreement(symbols, place[open_], self.symbols, self.at[mid].astype(np.int64), self.window_length[window[open_]].astype(np.int64))
+            less = symbols[place[open_] + same] > self.symbols[self.at[mid] + same]
             better = (same > most[open_]) | ((same == most[open_]) & (mid < best[open_]))
             best[open_[better]], most[open_[better]] = mid[better], same[better]
             low[open_[less]] = mid[less] + 1
@@ -112,6 +106,34 @@ class Benchmark:
         return best, most
 
 
+def agreement(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, done: np.ndarray) -> np.ndarray:
+    """How long the symbols from each place of a and of b agree, up to the first 0; they do for ``done`` symbols. Widths double, so long matches take few steps."""
+    same, live, width = done.copy(), np.arange(len(done)), 4
+    while len(live):
+        w = max(1, min(width, _COMPARED // len(live)))
+        ahead = same[live, None] + np.arange(w)
+        x, y = a[np.minimum(a_at[live, None] + ahead, len(a) - 1)], b[np.minimum(b_at[live, None] + ahead, len(b) - 1)]
+        on = (x == y) & (x > 0)
+        whole = on.all(axis=1)
+        same[live] += np.where(whole, w, on.argmin(axis=1))
+        live, width = live[whole], 2 * width
+    return same
+
+
+def suffix_ranks(symbols: np.ndarray) -> np.ndarray:
+    """The place of every suffix among all, sorted; a 0 ends an item, and ends of earlier items come first. Compared lengths double, so n log(n)**2 steps do for any text."""
+    n, zero = len(symbols), symbols == 0
+    rank = np.where(zero, np.cumsum(zero) - 1, np.count_nonzero(zero) + symbols.astype(np.int64))
+    width = 1
+    while True:
+        key = rank * (n + int(symbols.max(initial=0)) + 2)
+        key[: max(0, n - width)] += rank[width:] + 1
+        found, rank = np.unique(key, return_inverse=True)
+        if len(found) == n or width >= n:
+            return rank
+        width *= 2
+
+
 def suffix_array(symbols: np.ndarray, starts: np.ndarray, depth: int, n_symbols: int) -> np.ndarray:
     """``starts`` sorted by the first ``depth`` symbols that follow; symbols must end in 0, which goes on for ever."""
     bits = max(1, int(n_symbols).bit_length())
@@ -265,7 +287,7 @@ def _findings(hashes: np.ndarray, counts: np.ndarray, bench: Benchmark) -> dict[
     place, suffix, length = shard.matches()
     doc, item = shard.doc(place), bench.item[suffix]
     matches = pa.StructArray.from_arrays(
-        [pa.array(bench.ids[item], pa.int64(), mask=~bench.named[item]), pa.array(bench.word[suffix]), pa.array(place - shard.begin[doc]), pa.array(length)],
+        [pa.array(bench.ids[item], pa.int64(), mask=~bench.named[item]), pa.array(bench.word[suffix], pa.int64()), pa.array(place - shard.begin[doc]), pa.array(length)],
         ["item_id", "item_word", "doc_word", "n_words"],
     )
     return {"n_words": pa.array(counts), "spans": _lists(owner, n, spans), "item_ids": _lists(pairs[0], n, pa.array(pairs[1])), "matches": _lists(doc, n, matches)}
@@ -273,10 +295,10 @@ def _findings(hashes: np.ndarray, counts: np.ndarray, bench: Benchmark) -> dict[
 
 def _scan(rows: DataFrame, items: list[tuple[int | None, str]], width: int) -> DataFrame:
     """rows (_row, _text) to _row and FOUND."""
-    shared = rows.sparkSession.sparkContext.broadcast(items)
+    shared = rows.sparkSession.sparkContext.broadcast(Benchmark(items, width))
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(shared.value, width)
+        bench = shared.value
         held: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         rows: list[pa.Array] = []

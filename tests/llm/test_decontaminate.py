@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -119,3 +120,22 @@ def test_kept_columns_may_be_called_anything(spark):
     found = m.find_contamination(docs, items, keep=("n_words", "_row", "_text")).first()
     assert (found["kept_n_words"], found["_row"], found["_text"], found["n_words"], found["contaminated"]) == (5, "x", "y", 2, True)
     assert m.remove_contaminated(docs, items).columns == docs.columns
+
+
+def test_ranks_are_those_of_sorted_suffixes():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 60, 200):
+        symbols = np.append(rng.integers(0, 3, n), 0).astype(np.int32)
+        ends = np.flatnonzero(symbols == 0)
+        # an end is smaller than any word, and of two ends the earlier
+        named = [tuple((1, s) if s else (0, int(np.searchsorted(ends, i + d))) for d, s in enumerate(symbols[i:].tolist())) for i in range(len(symbols))]
+        want = sorted(range(len(symbols)), key=lambda i: named[i])
+        assert np.argsort(m.suffix_ranks(symbols)).tolist() == want
+
+
+def test_repetitive_benchmarks_take_few_steps():
+    began = time.time()
+    bench = m.Benchmark([(1, "go " * 1_000_000), *((i, f"w{i} x{i} y{i % 7} " * 6) for i in range(2, 3000))], 13)
+    assert time.time() - began < 30 and len(bench.at) > 1_000_000
+    a = np.append(np.ones(300_000, np.int32), 0)
+    assert m.agreement(a, np.array([0, 5]), a, np.array([1, 299_000]), np.array([0, 0])).tolist() == [299_999, 1000]
