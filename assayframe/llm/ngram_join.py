@@ -416,7 +416,7 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> tuple:
     # what is left: pairs of different components
     named = weighed.join(components, F.col("class") == F.col("id"), "left").select("token", "salt", "class", "place", F.coalesce("component", "class").alias("component"), "weight")
     several = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    mixed = named.join(several, "token")
+    mixed = looked_up(named, several, "token", "class")
     # bitmaps folded to 256 bits are enough to rule out most pairs where they meet
     folded = [reduce(Column.bitwiseXOR, (F.col("parity")[i] for i in range(k, PARITY_LONGS, FOLDED))).alias(f"bits{k}") for k in range(FOLDED)]
     left = written(mixed.join(light.select("class", "n", *folded), "class"), "left")

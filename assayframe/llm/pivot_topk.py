@@ -13,7 +13,7 @@ rows, and each query block meets each candidate block in a task of its own, so n
 Defined cases: vectors that are null or hold a null or non-finite component take no part, on either side; shorter
 vectors are filled up with zeros; a query's own row is any row with its id; ties go to the smaller id; rows repeated
 with one id count once, the largest score winning, and as a query the least of their vectors; fewer candidates than k give all; no query or an empty table gives
-no row; other columns are ignored. Components must keep every sum of products below 2**62.
+no row; other columns are ignored. Scores are exact up to 2**62: a vector whose scaled length may be 2**31 or more is an error that names it.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from assayframe.llm._shared import written
 
 N_PIVOTS, PIVOT_POOL = 24, 2048
 BLOCK, QUERY_BLOCK = 16_384, 2_048
+MOST = float(1 << 31)
 _PAIR = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -37,7 +38,10 @@ def usable(vectors: DataFrame, vector: str = "embedding", scale: int = 256) -> D
     """vec_id and v, the components times scale rounded down; only rows that take part."""
     v = F.col(vector).cast("array<double>")
     plain = vectors.where(F.col("vec_id").isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    return plain.select(F.col("vec_id").cast("bigint"), F.transform(v, lambda x: F.floor(x * scale)).alias("v"))
+    # no product of two vectors exceeds the product of their lengths
+    far = F.coalesce(F.array_max(F.transform(v, F.abs)), F.lit(0.0)) * scale >= MOST / F.sqrt(F.greatest(F.size(v), F.lit(1)))
+    error = F.raise_error(F.concat(F.lit("components of vector "), F.col("vec_id").cast("string"), F.lit(" are too large for exact scores")))
+    return plain.select(F.col("vec_id").cast("bigint"), F.when(far, error).otherwise(F.transform(v, lambda x: F.floor(x * scale))).alias("v"))
 
 
 def _matrix(column: pd.Series, dims: int) -> np.ndarray:

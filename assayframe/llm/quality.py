@@ -243,7 +243,7 @@ def _labelled(table: DataFrame, known: DataFrame) -> tuple[list[np.ndarray], np.
     """Both views and the label of FIT_ROWS labelled documents at most, those with the smallest hashes of their ids."""
     order = F.xxhash64("doc_id", F.lit("fit"))
     few = known.orderBy(order, "doc_id").limit(FIT_ROWS)
-    got = table.join(F.broadcast(few), "doc_id").orderBy(order, "same").limit(FIT_ROWS).select("text_view", "meta_view", "label").toArrow()
+    got = table.join(F.broadcast(few), "doc_id").orderBy(order, "same", "meta_view").limit(FIT_ROWS).select("text_view", "meta_view", "label").toArrow()
     if not got.num_rows:
         return [], np.zeros(0)
     return _arrays(got.combine_chunks().to_batches()[0]), got.column("label").to_numpy().astype(np.float64)
@@ -268,7 +268,7 @@ def train(table: DataFrame, labels: DataFrame, label: str = "quality", rounds: i
                 break
     model = CoTrained(*views_)
     model.calibrate([v[held] for v in x], y[held])
-    distinct = table.join(known.select("doc_id"), "doc_id", "left_anti").groupBy("same").agg(F.first("text_view").alias("text_view"), F.first("meta_view").alias("meta_view"))
+    distinct = table.join(known.select("doc_id"), "doc_id", "left_anti").groupBy("same").agg(F.min("text_view").alias("text_view"), F.min("meta_view").alias("meta_view"))  # of copies with other metadata always the same one
     distinct = written(distinct.drop("same"), "distinct")
     for number in range(1, rounds + 1):
         cuts, taken = _surest(distinct, model, min(1.0, number * SHARE))

@@ -233,3 +233,11 @@ def test_counts_risk_and_cut_match_brute_force(spark):
     values = [(np.mean(z[kind] > c) ** 2 / max(np.mean(z > c), 1e-9), c) for c in np.unique(z) - toxicity._BIN]
     reached = np.mean(z[kind] > cut) ** 2 / np.mean(z > cut)
     assert reached >= 0.98 * max(v for v, _ in values)
+
+
+def test_quality_does_not_depend_on_the_order_of_rows(spark):
+    path = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    copies = docs.unionByName(docs.where("doc_id % 3 = 0").withColumns({"doc_id": F.col("doc_id") + 1_000_000, "lang": F.lit("xx"), "source": F.lit("other"), "n_chars": F.lit(1).cast("bigint")}))
+    a, b = (quality.quality_scores(d, labels).select("doc_id", "score").toPandas().sort_values("doc_id")["score"].to_numpy() for d in (copies.repartition(3, F.rand(1)), copies.orderBy(F.desc("n_chars")).repartition(5, F.rand(2))))
+    assert np.allclose(a, b, atol=1e-9)

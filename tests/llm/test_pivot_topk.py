@@ -63,3 +63,11 @@ def test_queries_repeated_with_other_vectors(spark):
         asked = spark.createDataFrame(order, "vec_id bigint, v array<bigint>").coalesce(1)
         got = m.top_k(vectors, asked, 1).collect()
         assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(7, 2, 45)]
+
+
+def test_components_beyond_exact_scores_are_an_error(spark):
+    make = lambda x: spark.createDataFrame([(1, [1.0, 2.0]), (2, [x, 0.0])], "vec_id bigint, embedding array<double>")
+    assert m.usable(make(5e6)).count() == 2 and sum(r["v"][0] for r in m.usable(make(5e6)).collect()) == 256 + 1_280_000_000
+    for x in (1e300, -6.1e6, 8388608.0):
+        with pytest.raises(Exception, match="vector 2 are too large"):
+            m.usable(make(x)).collect()
