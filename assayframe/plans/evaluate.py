@@ -91,6 +91,8 @@ def evaluate(
     fresh = kept(_grade(answered, runner).select(*names, *payload, "infra_failure", F.lit(False).alias("cached")))
     if store:
         store.record(fresh)
+        if store is not cache:
+            store.close()  # what was found is kept
     results = fresh if found is None else found.unionByName(fresh)
     results = results.withColumns({"passed": F.col("judgment.pass"), "case_source": F.col("source")})
     counted = samples.summary(results)

@@ -53,6 +53,7 @@ class ResultStore:
         self._file = jvm.org.apache.hadoop.fs.Path
         self._fs = self._file(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
         self._opened: tuple[int, str] | None = None
+        self._names: list[str] = []
         if self._pointer() is None:
             self._point({"version": 0, "buckets": self.buckets})
         self.buckets = self._pointer()["buckets"]
@@ -98,8 +99,15 @@ class ResultStore:
             )
             self.spark.sql(f"MSCK REPAIR TABLE {name}")
             self._opened = (version, name)
+            self._names.append(name)
         return self._opened[1]
 
+    def close(self) -> None:
+        """Take the store's entries out of the session's catalog; its files stay, and it is opened again when it is used."""
+        while self._names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._names.pop()}")
+        self._opened = None
+
     def _append(self, rows: DataFrame, table: str) -> None:
         names = self.spark.table(table).columns
         dealt = rows.repartition(self.buckets, *KEYS).select(*names)  # as the buckets are: one file for each

@@ -154,6 +154,9 @@ def test_store_latest_lifetime_and_compaction(spark, tmp_path):
     found = lambda s: {(r["case_key"], r["iteration"]): r["response"] for r in s.entries("s", "a", "b").collect()}
     assert found(store) == {("k1", 1): "new", ("k3", 2): "y"}
     assert found(ResultStore(spark, store.path)) == found(store) and store.entries("s", "a", "other").count() == 0
+    tables = len(spark.catalog.listTables())
+    store.close()
+    assert len(spark.catalog.listTables()) == tables - 1 and found(store) == {("k1", 1): "new", ("k3", 2): "y"}
     store.compact()
     assert found(store) == found(ResultStore(spark, store.path)) == {("k1", 1): "new", ("k3", 2): "y"}
     assert spark.read.parquet(f"{store.path}/v1").count() == 2 and not os.path.exists(f"{store.path}/v0")
