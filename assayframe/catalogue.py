@@ -541,9 +541,7 @@ def assert_all_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {RUNS} SELECT count(DISTINCT case_source) AS n_cases, count(DISTINCT case_source) FILTER (NOT passed) AS n_failing, sum(CASE WHEN cached THEN 0 ELSE 1 END)::BIGINT AS n_calls, avg(passed::INT) AS score FROM runs")
 def case_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Different cases, those with a failure, calls that were really made, and the score from 0 to 1."""
-    rows = plain_runs(spark, sf_dir).groupBy("case_source").agg(F.count("*").alias("n"), F.count_if("passed").alias("c"), F.count_if(~F.col("cached")).alias("calls"))
-    return rows.agg(F.count("*").alias("n_cases"), F.count_if(F.col("c") < F.col("n")).alias("n_failing"), F.sum("calls").alias("n_calls"), (F.sum("c") / F.sum("n")).alias("score"))
+    return samples.case_totals(plain_runs(spark, sf_dir))
 
 
 @_query("SELECT doc_id, array_to_string((string_split(text, chr(10)))[1:10], '|') AS head, greatest(len(string_split(text, chr(10))) - 10, 0)::BIGINT AS n_more FROM documents")

@@ -70,6 +70,12 @@ def summary(results: DataFrame) -> DataFrame:
     return counted.select("total_runs", "total_pass", "cached_count", (F.col("total_runs") - F.col("cached_count")).alias("fresh_count"), pass_rate(F.col("total_pass"), F.col("total_runs")).alias("pass_rate"))
 
 
+def case_totals(results: DataFrame) -> DataFrame:
+    """One row: different cases, those with a failure, calls that were really made, and the score from 0 to 1. Runs are counted by case first, so no distinct set is built."""
+    rows = results.groupBy("case_source").agg(F.count("*").alias("n"), F.count_if("passed").alias("c"), F.count_if(~F.col("cached")).alias("calls"))
+    return rows.agg(F.count("*").alias("n_cases"), F.count_if(F.col("c") < F.col("n")).alias("n_failing"), F.sum("calls").alias("n_calls"), (F.sum("c") / F.sum("n")).alias("score"))
+
+
 def per_case(results: DataFrame, k: int | Column) -> DataFrame:
     """Runs, passes, pass@k and pass^k of every case."""
     counted = results.groupBy("case_source").agg(F.count("*").alias("n"), F.count_if("passed").alias("c"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,7 @@ from assayframe.errors import CaseValidationError, EmptyFolderError, SkillError
 from assayframe.functions import text as texts
 from assayframe.operators import grading, samples
 from assayframe.operators.numbering import numbered
+from assayframe.sources.results import read_text
 
 _ASSERTIONS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("value", T.StringType())]))
 CASE_FIELDS = T.StructType(
@@ -178,6 +179,11 @@ def analysis(skills: DataFrame) -> DataFrame:
     return skills.select("path", field("name"), field("description"), "goals", "prohibitions", F.size("examples").cast("bigint").alias("example_count"), F.slice("examples", 1, 3).alias("first_examples"))
 
 
+def load_template(spark: SparkSession, path: str, **columns: Column) -> Column:
+    """The template in a file, white space at its ends taken off, filled in with columns."""
+    return texts.template(read_text(spark, path).strip(), **columns)
+
+
 def training_rows(cases: DataFrame) -> DataFrame:
     return cases.select("prompt", "expected")
 

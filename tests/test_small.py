@@ -42,6 +42,11 @@ def test_results_as_a_round_keeps_them(spark):
     assert got == [("a", True, "", "", 1.0), ("b", False, "why", "r", 0.0)]
 
 
+def test_templates_in_files(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("\nHi $name, ${what} costs $$5 $other\n")
+    assert one(spark, documents.load_template(spark, str(tmp_path / "t.txt"), name=F.lit("$what"), what=F.lit("é"))) == "Hi $what, é costs $5 $other"
+
+
 def test_training_rows(spark):
     cases = spark.createDataFrame([(["p"], "e", "n")], "prompt array<string>, expected string, name string")
     assert documents.training_rows(cases).columns == ["prompt", "expected"]
