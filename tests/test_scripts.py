@@ -202,3 +202,29 @@ def test_lookup_does_not_move_the_store(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange") == 1 and "PartitionFilters: [isnotnull(set_name" in plan
+
+
+def test_written_through_under_skip_cache_and_over_a_crash(spark, tmp_path, monkeypatch):
+    base, log, store = tmp_path / "evals", tmp_path / "calls", str(tmp_path / "store")
+    base.mkdir()
+    for n in "ab":
+        (base / f"{n}.yaml").write_text(CASE.format(n=n, extra=""))
+    cases = documents.load_cases(spark, str(base))
+    path = str(log)
+
+    def ask(task, home):
+        with open(path, "a") as file:
+            file.write(task["name"])
+        return "hi", []
+
+    def run(**more):
+        return {(r["source"], r["cached"], r["passed"]) for r in evaluate(cases, Calls(ask), agent="x", samples_per_case=1, cache=store, **more).results.collect()}
+
+    with monkeypatch.context() as own:  # the process ends after the journal is written
+        own.setattr(ResultStore, "_settle", lambda self, token: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            run()
+    assert sorted(log.read_text()) == ["a", "b"]
+    assert run() == {("a.yaml", True, True), ("b.yaml", True, True)} and len(log.read_text()) == 2
+    assert run(skip_cache=True) == {("a.yaml", False, True), ("b.yaml", False, True)} and len(log.read_text()) == 4
+    assert run() == {("a.yaml", True, True), ("b.yaml", True, True)} and len(log.read_text()) == 4
