@@ -115,7 +115,7 @@ class _Table:
 class PieceEncoder(Encoder):
     """Ids of whole texts by their pieces between blanks."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, pieces: int):
         super().__init__(path)
         self.pattern = regex.compile(pattern)
         self.letters = _byte_letters()
@@ -127,7 +127,7 @@ class PieceEncoder(Encoder):
         self.added = regex.compile("|".join(regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         self.tokenize = self.tokenizer.model.tokenize
         self.parts: dict[str, list[int]] = {}
-        self.table = _Table(CACHE_PIECES, self.kind)
+        self.table = _Table(pieces, self.kind)
 
     def _part(self, part: str) -> list[int]:
         """Ids of what the pre-tokenizer leaves as one part."""
@@ -163,8 +163,8 @@ class PieceEncoder(Encoder):
             words.low[at] = own[at]
             hashes = words.hashes()
             # a text may have more pieces than the table holds
-            for a in range(0, len(words.start), CACHE_PIECES) or (0,):
-                b = min(a + CACHE_PIECES, len(words.start))
+            for a in range(0, len(words.start), self.table.most) or (0,):
+                b = min(a + self.table.most, len(words.start))
                 got, sizes = self._ids_of(own, words.start[a:b], words.end[a:b], hashes[a:b])
                 ids.append(got)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -184,7 +184,7 @@ class PieceEncoder(Encoder):
         if len(new):
             keys, first = np.unique(h[new], return_index=True)
             if len(table) + len(keys) > table.most:
-                table = self.table = _Table(CACHE_PIECES, self.kind)
+                table = self.table = _Table(table.most, self.kind)
                 keys, new = np.unique(h, return_index=True)
                 first = np.arange(len(keys))
             at = new[first]
@@ -196,7 +196,8 @@ class PieceEncoder(Encoder):
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, pieces: int = CACHE_PIECES) -> Encoder:
+    """The encoder of a tokenizer's file; a worker keeps it, with up to ``pieces`` pieces, for its later tasks."""
     with open(path, encoding="utf-8") as f:
         made = json.load(f)
     parts = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
@@ -209,5 +210,5 @@ def encoder(path: str) -> Encoder:
         and not parts[1].get("add_prefix_space")
         and made.get("post_processor") is None
     ):
-        return PieceEncoder(path, split["pattern"]["Regex"])
+        return PieceEncoder(path, split["pattern"]["Regex"], pieces)
     return Encoder(path)

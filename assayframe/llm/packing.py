@@ -31,6 +31,8 @@ from assayframe.llm._shared import bounded_batches, give_back, written
 CAPACITY, END_ID = 2048, 0
 #: groups that meet in a round, rounds at most (8**21 groups), and pieces a task packs at a time
 FAN_IN, ROUNDS, RUN = 8, 21, 200_000
+#: pieces of texts whose ids a worker keeps
+CACHE_PIECES = 1_000_000
 #: a bin is nearly full if no more than capacity // SLACK ids are free
 SLACK = 256
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -42,7 +44,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     """doc_id, piece, start, length, ids_crc32 of all documents."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _tokens.encoder(tokenizer)
+        encoder = _tokens.encoder(tokenizer, CACHE_PIECES)
         for batch in batches:
             ids, sizes = encoder.encode_all(batch.column("text"))
             ends, rows = np.concatenate([[0], np.cumsum(sizes)]), []

@@ -34,9 +34,8 @@ def test_odd_pieces_too(tokenizer, text):
     assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_a_small_cache_changes_nothing(tokenizer, plain, monkeypatch):
-    monkeypatch.setattr(_tokens, "CACHE_PIECES", 3)
-    encoder = _tokens.PieceEncoder(tokenizer, _tokens.encoder(tokenizer).pattern.pattern)
+def test_a_small_cache_changes_nothing(tokenizer, plain):
+    encoder = _tokens.encoder(tokenizer, 3)
     text = " ".join(random.Random(0).choices(["alpha", "beta,", "Gamma", "délta", "x1"], k=200))
     assert encoder.encode(text).tolist() == ids_of(plain, text)
 
