@@ -1,13 +1,17 @@
 """Main text of web pages by wrapper induction.
 
 (1) Every distinct page is parsed into blocks of text, each in a slot: its path of tags and classes, in which runs of
-equal siblings are one. The tree of its slots is the page's layout. (2) For each host, the ``LAYOUTS`` most frequent
-layouts are aligned with the fullest of them by simple tree matching, so slots that are matched count as one; slots of
-rarer layouts stand for themselves. (3) Over all distinct pages of the host, the texts of each slot are counted. A text
+equal siblings are one. The tree of its slots is the page's layout. (2) For each host, every layout, however rare or
+large, is aligned with the fullest by simple tree matching of tags, so slots that are matched count as one although classes on
+their paths differ; slots that both have stand for themselves, and where layouts differ, the most frequent one's match counts. (3) Over all distinct pages of the host, the texts of each slot are counted. A text
 that comes on ``LEAST`` pages or more, and on ``SHARE`` of the pages that have the slot, is constant and belongs to the
 host's template; what varies is content. (4) Every page is read with its host's wrapper: a block is dropped if its text is
 the template's in its slot.
 
+Layouts are aligned one by one, so a host's layouts are many tasks' work, and each page gets only those entries of the template
+that it has, so a host's template may be of any size. Matching takes time in proportion to the product of two layouts' sizes at
+worst, which is in the nature of the task, and a few rows of its table in memory; equal parts of two layouts take none.
+
 Wrappers alone would keep menus and adverts that vary by page, so of what they leave, elements that are furniture by
 tag, role or class are dropped as well: outside articles by any part of a class or id, inside them only by names of adverts and comments; an element of an
 article that is called like other furniture (related, notice, promo-guide) goes only if half of its text or more is links. Articles (``article``, ``main``, or such a role) are the content where they hold at least half of the text
@@ -32,19 +36,17 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
+from math import isqrt
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from assayframe.llm._shared import bounded_batches, give_back, written
 
-LAYOUTS, LEAST, SHARE = 12, 4, 0.2
-#: nodes of a tree that is aligned; larger layouts stand for themselves
-NODES = 2_000
-#: wrappers are broadcast up to this many bytes, and joined otherwise
+LEAST, SHARE = 4, 0.2
+#: wrappers, and hosts' fullest layouts, are broadcast up to this many bytes, and joined otherwise
 BROADCAST_BYTES = 16 << 20
 
 #: elements whose content has no tags, and is never main text
@@ -329,13 +331,11 @@ def main_text(page: str | None, template: frozenset[tuple[int, int]] | set[tuple
     return "\n\n".join(b.text for b in blocks)
 
 
-def layout_of(root: Node) -> str | None:
-    """A layout as JSON, [label, key, parent's place] of its nodes in page order; null if it has more than NODES."""
+def layout_of(root: Node) -> str:
+    """A layout as JSON, [label, key, parent's place] of its nodes in page order."""
     out, todo = [], [(root, -1)]
     while todo:
         node, parent = todo.pop()
-        if len(out) == NODES:
-            return None
         at = len(out)
         out.append([node.label, int.from_bytes(node.key, "little", signed=True), parent])
         todo += [(c, at) for c in reversed(node.children)]
@@ -354,54 +354,137 @@ class Tree:
                 self.children[parent].append(i)
 
 
+class Subtrees:
+    """The kinds of subtrees of two layouts, equal ones being one kind: label, tag, kinds of children and number of nodes of each.
+
+    A pair of nodes with equal tags weighs ``pair``, and one more if their classes are equal too: with ``pair`` above the number of
+    nodes, the heaviest matching is one with the most pairs, and among those one with the most equal labels.
+    """
+
+    def __init__(self, pair: int):
+        self.pair = pair
+        self.labels: list[str] = []
+        self.tags: list[str] = []
+        self.children: list[tuple[int, ...]] = []
+        self.nodes: list[int] = []
+        self._kinds: dict[tuple[str, tuple[int, ...]], int] = {}
+        self._best: dict[tuple[int, int], int] = {}
+
+    def kinds(self, tree: Tree) -> list[int]:
+        """The kind of each node's subtree."""
+        out = [0] * len(tree.labels)
+        for i in range(len(out) - 1, -1, -1):  # children come after their parents
+            own = tree.labels[i], tuple(out[c] for c in tree.children[i])
+            if own not in self._kinds:
+                self._kinds[own] = len(self.labels)
+                self.labels.append(own[0])
+                self.tags.append(own[0].split(".", 1)[0])
+                self.children.append(own[1])
+                self.nodes.append(1 + sum(self.nodes[c] for c in own[1]))
+            out[i] = self._kinds[own]
+        return out
+
+    def _plain(self, p: int, q: int) -> bool:
+        """Whether the best matching of two kinds with equal tags needs no table."""
+        return p == q or not self.children[p] or not self.children[q]
+
+    def weight(self, p: int, q: int) -> int:
+        """The weight of the best matching of two kinds with equal tags, if ``solve`` has come by."""
+        if p == q:
+            return self.nodes[p] * (self.pair + 1)
+        return self.pair + (self.labels[p] == self.labels[q]) if self._plain(p, q) else self._best[p, q]
+
+    def solve(self, p: int, q: int) -> int:
+        """The weight of the best matching of two kinds with equal tags."""
+        todo = [(p, q, False)]
+        while todo:
+            i, j, ready = todo.pop()
+            if self._plain(i, j) or (i, j) in self._best:
+                continue
+            if ready:
+                for last in self.rows(i, j):
+                    pass
+                self._best[i, j] = self.pair + (self.labels[i] == self.labels[j]) + int(last[-1])
+                continue
+            todo.append((i, j, True))
+            named: dict[str, list[int]] = {}
+            for y in dict.fromkeys(self.children[j]):
+                if self.children[y]:
+                    named.setdefault(self.tags[y], []).append(y)
+            todo += [(x, y, False) for x in dict.fromkeys(self.children[i]) if self.children[x] for y in named.get(self.tags[x], ()) if x != y]
+        return self.weight(p, q)
+
+    def rows(self, i: int, j: int, row: np.ndarray | None = None, begin: int = 0, end: int | None = None) -> Iterator[np.ndarray]:
+        """Rows begin + 1 to end of the table of best matchings of first children of i and j, after ``row``, that of begin."""
+        ys = self.children[j]
+        places: dict[str, list[int]] = {}
+        for m, y in enumerate(ys):
+            places.setdefault(self.tags[y], []).append(m)
+        weights: dict[int, tuple[list[int], np.ndarray]] = {}
+        row = np.zeros(len(ys) + 1, np.int64) if row is None else row
+        for x in self.children[i][begin:end]:
+            if x not in weights:
+                if len(weights) * len(ys) > 1 << 20:
+                    weights.clear()
+                at = places.get(self.tags[x], [])
+                weights[x] = at, np.array([self.weight(x, ys[m]) for m in at], np.int64)
+            at, own = weights[x]
+            if at:
+                after = row.copy()
+                after[1:][at] = np.maximum(after[1:][at], row[at] + own)
+                row = np.maximum.accumulate(after)
+            yield row
+
+    def matched(self, i: int, j: int) -> list[tuple[int, int]]:
+        """Places of the children of i and j that a best matching pairs, last ones first; of a large table, blocks of rows are made anew from the row before each."""
+        k, m = len(self.children[i]), len(self.children[j])
+        block = k if k * m <= 1 << 20 else isqrt(k) + 1
+        starts = {0: np.zeros(m + 1, np.int64)}
+        if block < k:
+            starts |= {n: row for n, row in enumerate(self.rows(i, j), 1) if n % block == 0}
+        out = []
+        while k and m:
+            begin = (k - 1) // block * block
+            table = [starts[begin], *self.rows(i, j, starts[begin], begin, k)]
+            while k > begin and m:
+                if table[k - begin][m] == table[k - begin - 1][m]:
+                    k -= 1
+                elif table[k - begin][m] == table[k - begin][m - 1]:
+                    m -= 1
+                else:
+                    k, m = k - 1, m - 1
+                    out.append((k, m))
+        return out
+
+
 def match_trees(a: Tree, b: Tree) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: the most pairs of nodes with equal labels, in order, under matched parents."""
+    """Simple tree matching: the most pairs of nodes with equal tags, in order, under matched parents; of the ways to do so one with the most equal classes."""
     if a.labels[0] != b.labels[0]:
         return 0, []
-    found: dict[tuple[int, int], int] = {}
-    tables: dict[tuple[int, int], list[list[int]]] = {}
-    todo = [(0, 0, False)]
+    trees = Subtrees(1 + max(len(a.labels), len(b.labels)))
+    of_a, of_b = trees.kinds(a), trees.kinds(b)
+    trees.solve(of_a[0], of_b[0])
+    pairs, todo = [], [(0, 0)]
     while todo:
-        i, j, ready = todo.pop()
-        if (i, j) in found:
+        i, j = todo.pop()
+        p, q = of_a[i], of_b[j]
+        if p == q:  # a subtree's nodes stand in a row
+            pairs += zip(range(i, i + trees.nodes[p]), range(j, j + trees.nodes[q]))
             continue
-        xs, ys = a.children[i], b.children[j]
-        if not ready:
-            todo.append((i, j, True))
-            todo += [(x, y, False) for x in xs for y in ys if a.labels[x] == b.labels[y]]
-            continue
-        best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-        for k, x in enumerate(xs, 1):
-            for m, y in enumerate(ys, 1):
-                best[k][m] = max(best[k - 1][m], best[k][m - 1], best[k - 1][m - 1] + found[x, y] if a.labels[x] == b.labels[y] else 0)
-        found[i, j], tables[i, j] = 1 + best[-1][-1], best
-    pairs, todo2 = [], [(0, 0)]
-    while todo2:
-        i, j = todo2.pop()
         pairs.append((i, j))
-        best, k, m = tables[i, j], len(a.children[i]), len(b.children[j])
-        while k and m:
-            if best[k][m] == best[k - 1][m]:
-                k -= 1
-            elif best[k][m] == best[k][m - 1]:
-                m -= 1
-            else:
-                k, m = k - 1, m - 1
-                todo2.append((a.children[i][k], b.children[j][m]))
-    return found[0, 0], pairs
-
-
-def aligned(layouts: list[str]) -> list[tuple[int, int]]:
-    """(slot, slot of the fullest layout that it is matched with), for slots that are matched with another."""
-    trees = [Tree(x) for x in layouts]
-    full = max(trees, key=lambda t: len(t.keys), default=None)
-    out = {}
-    for tree in trees:
-        if tree is not full:
-            own = set(full.keys)
-            for i, j in match_trees(full, tree)[1]:
-                if tree.keys[j] not in own:
-                    out.setdefault(tree.keys[j], full.keys[i])
+        todo += [(a.children[i][k], b.children[j][m]) for k, m in trees.matched(p, q)]
+    return len(pairs), pairs
+
+
+def aligned(full: Tree, tree: Tree) -> list[tuple[int, int]]:
+    """(slot, slot of the full layout that it is matched with), for a layout's slots that the full one lacks."""
+    own = set(full.keys)
+    if own.issuperset(tree.keys):
+        return []
+    out: dict[int, int] = {}
+    for i, j in match_trees(full, tree)[1]:
+        if tree.keys[j] not in own:
+            out.setdefault(tree.keys[j], full.keys[i])
     return sorted(out.items())
 
 
@@ -409,8 +492,38 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)", 1)), F.lit(""))
 
 
+def _joined(rows: DataFrame, table: DataFrame, on: list[str], how: str, size) -> DataFrame:
+    """rows joined with a table, which is broadcast if it is small; ``size`` are a row's bytes."""
+    if (table.agg(F.sum(size + 64)).first()[0] or 0) <= BROADCAST_BYTES:
+        table = F.broadcast(table)
+    return rows.join(table, on, how)
+
+
+def aligned_slots(layouts: DataFrame) -> DataFrame:
+    """host, slot and same, the slot of the host's fullest layout that it is matched with, of layouts (host, layout, n)."""
+    # of equally full layouts the most frequent one
+    fullest = written(layouts.groupBy("host").agg(F.max_by("layout", F.struct(F.json_array_length("layout"), "n", F.bitwise_not(F.xxhash64("layout")))).alias("full")), "fullest")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = full = None
+        for batch in batches:
+            rows = []
+            for host, layout, place, fullest in zip(*(batch.column(c).to_pylist() for c in ("host", "layout", "place", "full"))):
+                if fullest != layout:
+                    if fullest != last:
+                        last, full = fullest, Tree(fullest)
+                    rows += [(host, slot, same, place) for slot, same in aligned(full, Tree(layout))]
+            kinds = (pa.string(), pa.int64(), pa.int64(), batch.schema.field("place").type)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 4, kinds)], ["host", "slot", "same", "place"])
+        give_back()
+
+    pairs = _joined(layouts, fullest, ["host"], "inner", F.octet_length("host") + F.octet_length("full")).select("host", "layout", F.struct((-F.col("n")).alias("n"), F.xxhash64("layout").alias("h")).alias("place"), "full")
+    # where layouts differ in what a slot is, the most frequent one counts
+    return pairs.mapInArrow(align, "host string, slot bigint, same bigint, place struct<n: bigint, h: bigint>").groupBy("host", "slot").agg(F.min_by("same", "place").alias("same"))
+
+
 def induce_wrappers(pages: DataFrame) -> DataFrame:
-    """host and template (slots and digests of constant texts) for every host of pages (url, html) that has any."""
+    """host, page (hash of host and html), and slots and digests of its blocks that its host's template has, for every distinct one of pages (url, html) that has any."""
     # equal pages tell nothing about each other; pages are compared by hash and read once more by those that are kept
     distinct = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).where("html <> ''").withColumn("page", F.xxhash64("host", "html"))
 
@@ -424,30 +537,22 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
                 if own:
                     layouts[host, layout_of(root)] += 1
                     rows += [(host, page, None, None, slot, digest) for slot, digest in {(b.slot, b.digest) for b in own}]
-            rows += [(host, None, layout, n, None, None) for (host, layout), n in layouts.items() if layout]
+            rows += [(host, None, layout, n, None, None) for (host, layout), n in layouts.items()]
             columns = list(zip(*rows)) or [[]] * 6
             kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "page", "layout", "n", "slot", "digest"])
         give_back()
 
     found = written(distinct.mapInArrow(scan, "host string, page bigint, layout string, n bigint, slot bigint, digest bigint"), "slots")
-    frequent = found.where("layout is not null").groupBy("host", "layout").agg(F.sum("n").alias("n"))
-    few = frequent.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), F.xxhash64("layout")))).where(F.col("n") <= LAYOUTS)
-
-    def align(own: pd.DataFrame) -> pd.DataFrame:
-        pairs = aligned(own.sort_values("n")["layout"].tolist())
-        return pd.DataFrame({"host": pd.Series([own["host"].iloc[0]] * len(pairs), dtype="object"), "slot": pd.Series([x for x, _ in pairs], dtype="int64"), "same": pd.Series([y for _, y in pairs], dtype="int64")})
-
-    same = written(few.groupBy("host").applyInPandas(align, "host string, slot bigint, same bigint"), "aligned")
+    layouts = written(found.where("layout is not null").groupBy("host", "layout").agg(F.sum("n").alias("n")), "layouts")
+    same = written(aligned_slots(layouts), "aligned")
     # a page counts once for a slot, and once for a text of it
     held = found.where("slot is not null").join(same, ["host", "slot"], "left").select("host", "page", "slot", F.coalesce("same", "slot").alias("one"), "digest")
     texts = held.groupBy("host", "one", "digest", "page").agg(F.min("slot").alias("slot")).groupBy("host", "one", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
     every = held.select("host", "one", "page").distinct().groupBy("host", "one").agg(F.count("*").alias("pages"))
     constant = texts.join(every, ["host", "one"]).where(F.col("n") >= SHARE * F.col("pages")).select("host", "one", "digest")
-    # matched slots of other layouts have the same template
-    slots = same.select("host", F.col("same").alias("one"), "slot")
-    named = constant.select("host", F.col("one").alias("slot"), "digest").unionAll(constant.join(slots, ["host", "one"]).select("host", "slot", "digest")).distinct()
-    return named.groupBy("host").agg(F.collect_list("slot").alias("slots"), F.collect_list("digest").alias("digests"))
+    constant_of = held.join(constant, ["host", "one", "digest"], "left_semi")
+    return constant_of.groupBy("host", "page").agg(F.collect_set(F.struct("slot", "digest")).alias("_own")).select("host", "page", F.col("_own.slot").alias("slots"), F.col("_own.digest").alias("digests"))
 
 
 RESULTS = ("text", "n_chars")
@@ -457,10 +562,8 @@ def extract_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -
     """The columns in keep, text and n_chars (code points) of every page."""
     bounded_batches(pages.sparkSession)
     wrappers = written(induce_wrappers(pages), "wrappers")
-    size = wrappers.agg(F.sum(F.octet_length("host") + 16 * F.size("slots") + 64)).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        wrappers = F.broadcast(wrappers)
-    rows = pages.select(F.struct(*[pages[c] for c in keep]).alias("_row"), F.col("html").cast("string").alias("_html"), host_of(F.col("url")).alias("host")).join(wrappers, "host", "left").drop("host")
+    rows = pages.select(F.struct(*[pages[c] for c in keep]).alias("_row"), F.col("html").cast("string").alias("_html"), host_of(F.col("url")).alias("host")).withColumn("page", F.xxhash64("host", "_html"))
+    rows = _joined(rows, wrappers, ["host", "page"], "left", F.octet_length("host") + 16 * F.size("slots")).drop("host", "page")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -175,3 +175,45 @@ def test_articles_keep_what_is_only_called_like_furniture():
     nested = '<article><div class="related">Long text here with words.<div class="share"><a href="x">share this</a></div></div></article>'
     assert m.main_text(nested) == "Long text here with words."
     assert m.main_text('<body><div class="promo-bar">Buy</div><p>Text</p></body>') == "Text"
+
+
+def _menus(n, more=""):
+    """Pages of a host that each call the box of their menu otherwise."""
+    names = ["box" + "".join(chr(97 + int(c)) for c in str(i)) for i in range(n)]
+    return [(i, "https://h.example/", f'<body><div class="{name}"><ul><li>Shop now</li></ul></div><div class="text"><p>Story {i}.</p>{more}</div></body>') for i, name in enumerate(names)]
+
+
+def test_every_layout_of_a_host_is_aligned(spark):
+    got = m.extract_text(spark.createDataFrame(_menus(30), "page_id bigint, url string, html string")).collect()
+    assert len(got) == 30 and all(r["text"] == f"Story {r['page_id']}." for r in got)
+
+
+def test_layouts_of_any_size_are_aligned(spark):
+    more = "".join(f"<p>a{i}</p><h3>b{i}</h3>" for i in range(1500))
+    got = m.extract_text(spark.createDataFrame(_menus(6, more), "page_id bigint, url string, html string")).collect()
+    assert len(got) == 6 and all(r["text"] == f"Story {r['page_id']}." for r in got)
+
+
+def test_equal_classes_are_matched_first():
+    full, tree = _tree('<div class="top">a</div><div class="text">b</div><div class="end">c</div>'), _tree('<div class="new">n</div><div class="top">a</div><div class="text">b</div><div class="end">c</div>')
+    size, pairs = m.match_trees(full, tree)
+    assert size == 4 and all(full.labels[i] == tree.labels[j] for i, j in pairs) and m.aligned(full, tree) == []
+    other = _tree('<div class="top">a</div><div class="words">b</div><div class="end">c</div>')
+    assert m.aligned(full, other) == [(other.keys[2], full.keys[2])]
+
+
+def test_wide_layouts_are_matched_as_by_a_plain_table():
+    r = random.Random(6)
+    xs, ys = ([r.choice("pqrs") for _ in range(n)] for n in (1700, 1600))
+    a, b = (_tree("".join(f"<{x}x>t</{x}x>" for x in own)) for own in (xs, ys))
+    rows = [[t.labels[c] for c in t.children[0]] for t in (a, b)]
+    assert len(rows[0]) * len(rows[1]) > 1 << 20  # made anew in blocks
+    best = [0] * (len(rows[1]) + 1)
+    for x in rows[0]:
+        before = best
+        best = [0]
+        for k, y in enumerate(rows[1], 1):
+            best.append(max(before[k], best[k - 1], before[k - 1] + (x == y)))
+    size, pairs = m.match_trees(a, b)
+    assert size == 1 + best[-1] == len(set(pairs)) and all(a.labels[i] == b.labels[j] for i, j in pairs)
+    assert sorted(pairs) == sorted(pairs, key=lambda p: p[1])
