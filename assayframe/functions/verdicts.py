@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayframe.functions.text import json_in_prose
+from assayframe.shared import bounded_batches
 
 # What counts as a boolean in a verdict.
 TRUE_WORDS = ("true", "1", "yes", "y", "on", "t")
@@ -52,6 +53,7 @@ def _verdicts(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def verdict(answer: Column) -> Column:
     """struct<pass,reasoning> of an answer, exact in what counts as a boolean; pass is null if there is no valid verdict."""
+    bounded_batches()
     return _verdicts(json_in_prose(answer))
 
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import ctypes
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from assayframe.shared import bounded_batches, give_back  # noqa: F401
+
 _made: list[tuple] = []
 
 
@@ -38,21 +38,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
-    """At most so many bytes in a batch between Spark and Python, whatever the length of texts. Every operator that sends texts to Python asks for the same."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    spark.conf.set(key, str(most))
-
-
-def give_back() -> None:
-    """Hand memory that a Python worker has freed back to the system, for a worker outlives its tasks."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not glibc
-        pass
-
-
 def drop_tables() -> None:
     """Delete the tables of this process from the shared folder."""
     while _made:

@@ -8,13 +8,15 @@ for Python's own dialect; the UDF runs only if ``python_regex`` is asked for.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assayframe.shared import bounded_batches, give_back
+
 Check = Callable[[Column, Column, Column], tuple[Column, Column]]
 
 
@@ -39,7 +41,7 @@ TYPES = (*CHECKS, "regex")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _regex_messages(responses: pd.Series, patterns: pd.Series) -> pd.Series:
+def _regex_messages(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """For each pattern what is wrong, or null; patterns that are null have nothing wrong."""
 
     def one(response: str, pattern: str | None) -> str | None:
@@ -48,7 +50,9 @@ def _regex_messages(responses: pd.Series, patterns: pd.Series) -> pd.Series:
         except re.error as e:
             return f"regex: invalid pattern '{pattern}': {e}"
 
-    return pd.Series([[one(r or "", p) for p in own] if own is not None else [] for r, own in zip(responses, patterns)])
+    for responses, patterns in batches:
+        yield pd.Series([[one(r or "", p) for p in own] if own is not None else [] for r, own in zip(responses, patterns)], dtype="object")
+    give_back()
 
 
 def check(kind: str, response: Column, tools: Column, value: Column) -> Column:
@@ -79,6 +83,7 @@ def grade(rows: DataFrame, python_regex: bool = True) -> DataFrame:
     """Adds judgment (struct<pass,reasoning>) to rows with response, tools (array of names) and assertions."""
     patterns = F.transform("assertions", lambda a: F.when(a["type"] == "regex", F.coalesce(a["value"], F.lit(""))))
     if python_regex:
+        bounded_batches(rows.sparkSession)
         rows = rows.withColumn("_regex", F.when(F.exists("assertions", lambda a: a["type"] == "regex"), _regex_messages(F.col("response"), patterns)))
     failed = _told(F.col("response"), F.col("tools"), F.col("assertions"), F.col("_regex") if python_regex else None)
     return rows.withColumn("_failed", failed).withColumn(

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from assayframe.errors import CaseValidationError
 from assayframe.functions.metrics import pass_at_k, pass_pow_k, pass_rate
 from assayframe.operators.numbering import in_first_seen_order
+from assayframe.shared import bounded_batches
 
 CACHE_KEYS = ("set_name", "case_key", "agent", "skill_key", "iteration")
 REQUIRED = ("expected", "name", "prompt", "timestamp")
@@ -133,6 +134,7 @@ def directory_hash(files: DataFrame, folder: str = "folder") -> DataFrame:
     A digest is a chain over a folder's files, so one task reads a folder: sorted by Spark, which spills, and digested as it streams by. A task holds
     one batch of rows and one digest state, whatever the folder's size. Null names and contents are empty.
     """
+    bounded_batches(files.sparkSession)
     rows = files.select(F.col(folder).alias("folder"), F.coalesce(F.col("rel"), F.lit("")).alias("rel"), F.coalesce(F.col("content"), F.lit("")).alias("content"))
     ordered = rows.repartition("folder").sortWithinPartitions("folder", F.split("rel", "/"), "content")
     kind = rows.schema["folder"].dataType

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assayframe.shared import bounded_batches
+
 #: fixed values: items that are tool calls, and their keys that are not input
 TOOL_ITEMS = ("command_execution", "mcp_tool_call", "file_change", "web_search")
 ENVELOPE = ("id", "type", "status")
@@ -88,6 +90,7 @@ def item_stream(lines: DataFrame, keys: tuple[str, ...] = ("task_key", "turn"),
         F.when(tool, F.col("raw")).alias("tool_raw"),
     )
     if inputs:
+        bounded_batches(lines.sparkSession)
         parts = parts.withColumn("tool_raw", _item_input("tool_raw"))
     last = lambda c, name: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(name)
     value = F.struct(F.col("tool").alias("name"), (F.col("tool_raw") if inputs else F.lit(None).cast("string")).alias("input"))

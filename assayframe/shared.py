@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,3 +27,18 @@ def kept(df: DataFrame) -> DataFrame:
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def bounded_batches(spark: SparkSession | None = None, most: int = 8 << 20) -> None:
+    """At most so many bytes in a batch between Spark and Python, whatever the length of texts. Every operator that sends texts to Python asks for the same."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    (spark or SparkSession.active()).conf.set(key, str(most))
+
+
+def give_back() -> None:
+    """Hand memory that a Python worker has freed back to the system, for a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass

@@ -16,6 +16,7 @@ from assayframe.errors import CaseValidationError, EmptyFolderError, SkillError
 from assayframe.functions import text as texts
 from assayframe.operators import grading, samples
 from assayframe.operators.numbering import numbered
+from assayframe.shared import bounded_batches
 from assayframe.sources.results import read_text
 
 _ASSERTIONS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("value", T.StringType())]))
@@ -67,6 +68,7 @@ def _cases(contents: pd.Series) -> pd.DataFrame:
 
 def parse_cases(files: DataFrame) -> DataFrame:
     """(source, content) to cases; case_idx counts from 0 in order of the sources' path components."""
+    bounded_batches(files.sparkSession)
     parsed = files.withColumn("c", _cases("content")).select("source", "content", "c.*")
     # only sources are dealt by their order; contents stay where they are
     numbers = numbered(files.select("source").distinct(), F.split("source", "/"), name="case_idx").withColumn("case_idx", F.col("case_idx").cast("int"))
@@ -137,6 +139,8 @@ def parse_skills(files: DataFrame, exact: bool = True) -> DataFrame:
     """(path, content) to skill documents; exact=False reads only simple ``key: value`` lines, without Python."""
     front, body = texts.split_frontmatter(F.col("content"))
     parts = F.split("path", "/")
+    if exact:
+        bounded_batches(files.sparkSession)
     fields = _fields(front) if exact else F.coalesce(texts.simple_fields(front), F.create_map().cast("map<string,string>"))
     docs = files.withColumn("fields", fields)
     return docs.select(
