@@ -55,6 +55,17 @@ def test_schemas_that_cannot_be_compiled():
         schema.problems(F.lit("{}"), {"$ref": "other.json"})
 
 
+def test_nesting_does_not_multiply_the_work(spark):
+    def deep(n):
+        return {"type": "object", "required": ["x"], "properties": {"x": deep(n - 1)}} if n else {"type": "integer", "minimum": 3}
+
+    told = [str(schema.problems(F.col("t"), deep(n))) for n in (1, 2, 3)]
+    reads = [x.count("variant_get") for x in told]
+    assert all(x.count("parse_json") == 1 for x in told) and reads[2] - reads[1] == reads[1] - reads[0] > 0
+    value = F.lit('{"x":' * 3 + "2" + "}" * 3)
+    assert spark.range(1).select(schema.problems(value, deep(3))).first()[0] == ["$.x.x.x is less than 3"]
+
+
 def test_rounds_ask_again_with_what_was_wrong(spark):
     asked = spark.createDataFrame([(k, f"prompt {k}") for k in ("good", "late", "never", "silent")], "path string, prompt string")
     rounds = []
