@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 SLICE_BITS = 14
 #: parts that sums are combined in
 PARTS = 256
+#: tasks that arrays of numbers are added up in, before one task adds up theirs
+ADDERS = 8
 FIELDS = (("part", pa.int32()), ("slice", pa.int32()), ("counts", pa.binary()))
 SCHEMA = "part int, slice int, counts binary"
 
@@ -63,15 +67,19 @@ def floats(arrays: list[np.ndarray]) -> pa.RecordBatch:
 def total_floats(sums: DataFrame, shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
     """The sums over all tasks of the arrays that ``floats`` gave."""
 
-    def add(table: pa.Table) -> pa.Table:
-        out = sum(np.frombuffer(b.as_py()) for b in table.column("counts"))
-        first = table.slice(0, 1)
-        return pa.table({"part": first.column("part"), "slice": first.column("slice"), "counts": pa.array([out.tobytes()], pa.binary())})
-
-    group = F.floor(F.col("part") / PARTS).cast("int")
-    few = sums.withColumn("part", group).groupBy("slice", "part").applyInArrow(add, SCHEMA)
-    few = few.withColumn("part", F.lit(0)).groupBy("slice", "part").applyInArrow(add, SCHEMA)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, own in zip(batch.column("slice").to_pylist(), batch.column("counts")):
+                own = np.frombuffer(own.as_py())
+                out[at] = out[at] + own if at in out else own
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(out), pa.int32()), pa.array(list(out), pa.int32()), pa.array([a.tobytes() for a in out.values()], pa.binary())], [f for f, _ in FIELDS])
+
+    # dealt out without a key: as many tasks as are needed, however many partitions a shuffle has
+    for n in (ADDERS, 1):
+        sums = sums.repartition(n).mapInArrow(add, SCHEMA)
     out = [np.zeros(s) for s in shapes]
-    for row in few.collect():
+    for row in sums.collect():
         out[row["slice"]] = np.frombuffer(row["counts"]).reshape(shapes[row["slice"]])
     return out

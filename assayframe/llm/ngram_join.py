@@ -41,6 +41,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -158,10 +159,8 @@ def _ordered(own: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return own[order], estimate[order]
 
 
-def _postings(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(token, salt, class, place, need) for every shingle of prefixes of _matches, which is need; salt is -1 but for frequent shingles, place counts from 0 in the prefix of one match and is -1 beyond it. A class comes once a task."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    hot = max(HOT, HOT_MEANS * float(sketch.mean()))
+def _postings(docs: DataFrame, shared: Broadcast, hot: float, width: int, percent: int) -> DataFrame:
+    """(token, salt, class, place, need) for every shingle of prefixes of _matches, which is need; salt is -1 but for shingles of an estimate of hot or more, place counts from 0 in the prefix of one match and is -1 beyond it. A class comes once a task."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
@@ -189,7 +188,7 @@ def _postings(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) ->
     return docs.select(F.col("text").cast("string")).mapInArrow(scan, "token bigint, salt int, class bigint, place int, need int")
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, sketch: np.ndarray, width: int) -> DataFrame:
+def _whole_sets(docs: DataFrame, wanted: DataFrame, order: Broadcast, width: int) -> DataFrame:
     """(class, n, tokens in global order) of the classes in wanted (class, doc_id of one member).
 
     A bitmap over hashed doc_ids, of 16 bits for each wanted one and 2**28 (32 MB) at most, lets other documents be skipped
@@ -204,7 +203,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, sketch: np.ndarray, width: i
         at = (row["n"] - 1) * 4096
         own = np.frombuffer(row["bits"], np.uint8)
         bitmap[at : at + len(own)] = own
-    shared, order = spark.sparkContext.broadcast(bitmap), spark.sparkContext.broadcast(sketch)
+    shared = spark.sparkContext.broadcast(bitmap)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, sketch = shared.value, order.value
@@ -377,13 +376,16 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> tuple:
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     classes, sketch = set_classes(docs, width)
+    hot, order = max(HOT, HOT_MEANS * float(sketch.mean())), docs.sparkSession.sparkContext.broadcast(sketch)
+    del sketch
+    give_back()
     one = F.min(F.struct("doc_id", "n_shingles", "parity")).alias("one")
     members = written(classes.where("class is not null").groupBy("class").agg(one, F.min("doc_id").alias("name"), F.count("*").alias("copies")).select("class", "name", "one.doc_id", F.col("one.n_shingles").alias("n"), "one.parity", "copies"), "members")
     light = members.select("class", "n", "parity")
 
     # places where linked sets must meet: prefix shingles that two classes share
     spot = Window.partitionBy("token", "salt")
-    met = _postings(docs, sketch, width, percent).repartition("token", "salt")
+    met = _postings(docs, order, hot, width, percent).repartition("token", "salt")
     met = met.select("token", "salt", "class", "place", "need", F.min("need").over(spot).alias("least"), F.min("class").over(spot).alias("low"), F.max("class").over(spot).alias("high"), F.count("*").over(spot).alias("members"))
     met = met.where("low <> high or salt >= 0").groupBy("token", "salt", "class").agg(F.max("place").alias("place"), F.max("members").alias("members"), F.max("need").alias("need"), F.min("least").alias("least"))
     shared = written(met, "shared")
@@ -407,7 +409,7 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> tuple:
     def sets_of(pairs: DataFrame) -> DataFrame:
         named = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
         wanted = written(members.select("class", "doc_id").join(named, "class", "left_semi"), "wanted")
-        return written(_whole_sets(docs, wanted, sketch, width), "sets")
+        return written(_whole_sets(docs, wanted, order, width), "sets")
 
     near = written(_near(spokes, light, percent), "near")
     links = written(_linked(near, sets_of(near), percent), "links")

@@ -6,7 +6,7 @@ what a page is known by apart from its text: language, source and length, hashed
 model of its own, fitted by numpy.
 
 (1) One pass over all documents computes both views; the small numeric table is written out. (2) Both models are fitted
-on labelled documents, at most ``FIT_ROWS``. (3) In each round both models judge every distinct unlabelled text, and the
+on labelled documents, at most ``FIT_ROWS``, by the task that chose them; they are written out too, and the driver gets models and sums only. (3) In each round both models judge every distinct unlabelled text, and the
 share each is surest of (``SHARE`` of all in each round more, by class in proportion, found by a histogram of all) become
 pseudo-labels for the other view, if the other does not contradict them. Both are refitted by Newton steps, whose sums
 over all pseudo-labelled texts are added up in the partitions; no pseudo-labelled row comes to the driver. (4) Each view
@@ -22,6 +22,7 @@ class only, every score is that class's share; an empty table gives no row; extr
 from __future__ import annotations
 
 import copy
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -45,6 +46,8 @@ THRESHOLD = 0.5
 META_BUCKETS, META_STEPS, WORD_BUCKETS = 64, 14, 128
 #: bytes of text handled at a time: temporaries are about 30 times that
 _CHUNK = 1 << 18
+#: rows of features that a model expands at a time
+_ROWS = 1 << 11
 TEXT_FEATURES = (
     "log_bytes", "log_words", "capitals", "digits", "symbols", "exclamation", "pipes", "non_ascii", "word_bytes", "long_words",
     "doubled_words", "distinct_words", "top_word", "short_lines", "distinct_lines", "log_lines", "ends_in_stop", "words_per_line",
@@ -146,9 +149,13 @@ class Logistic:
 
     def sums(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradient and second derivatives of the weighted loss."""
-        z = self.expand(x)
-        p = _sigmoid(z @ self.w)
-        return z.T @ (weight * (p - y)), (z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z
+        grad, hess = np.zeros(len(self.w)), np.zeros((len(self.w),) * 2)
+        for i in range(0, len(x), _ROWS):
+            z, own, label = self.expand(x[i : i + _ROWS]), weight[i : i + _ROWS], y[i : i + _ROWS]
+            p = _sigmoid(z @ self.w)
+            grad += z.T @ (own * (p - label))
+            hess += (z * (own * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z
+        return grad, hess
 
     def step(self, grad: np.ndarray, hess: np.ndarray) -> float:
         ridge = 1e-3 * np.eye(len(self.w))
@@ -157,7 +164,7 @@ class Logistic:
         return float(np.abs(move).max())
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(self.expand(x) @ self.w, -30, 30)
+        return np.concatenate([np.zeros(0), *(np.clip(self.expand(x[i : i + _ROWS]) @ self.w, -30, 30) for i in range(0, len(x), _ROWS))])
 
 
 def _balanced(y: np.ndarray) -> np.ndarray:
@@ -239,35 +246,76 @@ def _arrays(batch) -> list[np.ndarray]:
     return [text, _meta_rows(meta)]
 
 
-def _labelled(table: DataFrame, known: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """Both views and the label of FIT_ROWS labelled documents at most, those with the smallest hashes of their ids."""
+#: a labelled row, its weight in fitting (0: none) and whether it is for calibration, or a model, pickled
+_FITTED = f"{_VIEWS}, label double, weight double, held boolean, model binary"
+
+
+def _fitted(table: DataFrame, known: DataFrame) -> DataFrame:
+    """FIT_ROWS labelled documents at most, those with the smallest hashes of their ids, and in one more row the model fitted on them, or the share of good ones if labels have one class; no row without labels."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["text_view", "meta_view", "label", "weight", "held", "model"], [pa.list_(pa.float32()), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.bool_(), pa.binary()]
+        rows = [batch for batch in batches if batch.num_rows]
+        if not rows:
+            return
+        y = np.concatenate([batch.column("label").to_numpy(zero_copy_only=False) for batch in rows]).astype(np.float64)
+        weight, held = np.zeros(len(y)), np.zeros(len(y), bool)
+        if y.min() == y.max():
+            model = float(y.mean())
+        else:
+            keep_out = np.arange(len(y)) % 4 == 0  # for calibration
+            if len(np.unique(y[~keep_out])) < 2 or len(np.unique(y[keep_out])) < 2:
+                keep_out[:] = False
+            held = keep_out if keep_out.any() else ~keep_out
+            weight[~keep_out] = _balanced(y[~keep_out])
+            x = [np.concatenate(view) for view in zip(*map(_arrays, rows))]
+            views_ = [Logistic(8, len(TEXT_FEATURES)).prepare(x[0][~keep_out]), Logistic(0, 0).prepare(x[1][~keep_out])]
+            for view, own in zip(views_, x):
+                own = own[~keep_out]
+                for _ in range(25):
+                    if view.step(*view.sums(own, y[~keep_out], weight[~keep_out])) < 1e-4:
+                        break
+            model = CoTrained(*views_)
+            model.calibrate([v[held] for v in x], y[held])
+        at = 0
+        for batch in rows:
+            own = slice(at, at := at + batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(k) for c, k in zip(names[:2], kinds)), pa.array(y[own]), pa.array(weight[own]), pa.array(held[own]), pa.nulls(batch.num_rows, kinds[5])], names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[:5]), pa.array([pickle.dumps(model)], pa.binary())], names)
+        give_back()
+
     order = F.xxhash64("doc_id", F.lit("fit"))
     few = known.orderBy(order, "doc_id").limit(FIT_ROWS)
-    got = table.join(F.broadcast(few), "doc_id").orderBy(order, "same", "meta_view").limit(FIT_ROWS).select("text_view", "meta_view", "label").toArrow()
-    if not got.num_rows:
-        return [], np.zeros(0)
-    return _arrays(got.combine_chunks().to_batches()[0]), got.column("label").to_numpy().astype(np.float64)
+    got = table.join(F.broadcast(few), "doc_id").orderBy(order, "same", "meta_view").limit(FIT_ROWS).select("text_view", "meta_view", "label")
+    return written(got.mapInArrow(fit, _FITTED), "fitted")  # a limit leaves one partition, in order
+
+
+def _calibrated(labelled: DataFrame, model: CoTrained) -> CoTrained:
+    """The model with curves and weights by the rows held for that, FIT_ROWS at most."""
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [batch for batch in batches if batch.num_rows]
+        if rows:
+            own = shared.value
+            own.calibrate([np.concatenate(view) for view in zip(*map(_arrays, rows))], np.concatenate([batch.column("label").to_numpy() for batch in rows]))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(own)], pa.binary())], ["model"])
+        give_back()
+
+    out = pickle.loads(labelled.where("held").select("text_view", "meta_view", "label").coalesce(1).mapInArrow(scan, "model binary").first()[0])
+    shared.unpersist()
+    return out
 
 
 def train(table: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = ROUNDS) -> CoTrained | float:
     """A co-trained model from views (doc_id, same, text_view, meta_view); the share of good documents if labels have one class, 0.5 without labels."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min(F.col(label).cast("int")).alias("label"))
-    x, y = _labelled(table, known)
-    if not len(y) or y.min() == y.max():
-        return float(y.mean()) if len(y) else 0.5
-    keep_out = np.arange(len(y)) % 4 == 0  # for calibration
-    if len(np.unique(y[~keep_out])) < 2 or len(np.unique(y[keep_out])) < 2:
-        keep_out[:] = False
-    held = keep_out if keep_out.any() else ~keep_out
-    fit_x, fit_y = [v[~keep_out] for v in x], y[~keep_out]
-    weight = _balanced(fit_y)
-    views_ = [Logistic(8, len(TEXT_FEATURES)).prepare(fit_x[0]), Logistic(0, 0).prepare(fit_x[1])]
-    for view, own in zip(views_, fit_x):
-        for _ in range(25):
-            if view.step(*view.sums(own, fit_y, weight)) < 1e-4:
-                break
-    model = CoTrained(*views_)
-    model.calibrate([v[held] for v in x], y[held])
+    fitted = _fitted(table, known)
+    row = fitted.where("model is not null").select("model").first()
+    model = pickle.loads(row[0]) if row else 0.5
+    if isinstance(model, float):
+        return model
+    labelled = fitted.where("model is null").drop("model")
     distinct = table.join(known.select("doc_id"), "doc_id", "left_anti").groupBy("same").agg(F.min("text_view").alias("text_view"), F.min("meta_view").alias("meta_view"))  # of copies with other metadata always the same one
     distinct = written(distinct.drop("same"), "distinct")
     for number in range(1, rounds + 1):
@@ -276,10 +324,9 @@ def train(table: DataFrame, labels: DataFrame, label: str = "quality", rounds: i
             break
         teacher = copy.deepcopy(model)
         for _ in range(NEWTON):
-            for k, (grad, hess) in enumerate(_pseudo_sums(distinct, teacher, model, cuts, taken)):
-                own_grad, own_hess = model.views[k].sums(fit_x[k], fit_y, weight)
-                model.views[k].step(own_grad + grad, own_hess + hess)
-        model.calibrate([v[held] for v in x], y[held])
+            for view, sums in zip(model.views, _pseudo_sums(distinct, teacher, model, cuts, taken, labelled)):
+                view.step(*sums)
+        model = _calibrated(labelled, model)
     return model
 
 
@@ -325,8 +372,8 @@ def _surest(distinct: DataFrame, model: CoTrained, share: float) -> tuple[np.nda
     return cuts, taken
 
 
-def _pseudo_sums(distinct: DataFrame, teacher: CoTrained, model: CoTrained, cuts: np.ndarray, taken: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Gradient and second derivatives of each view over the texts that the other is surest of."""
+def _pseudo_sums(distinct: DataFrame, teacher: CoTrained, model: CoTrained, cuts: np.ndarray, taken: np.ndarray, labelled: DataFrame | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Gradient and second derivatives of each view over the texts that the other is surest of, and over labelled rows (text_view, meta_view, label, weight)."""
     shared = distinct.sparkSession.sparkContext.broadcast((teacher, model))
     shapes = [s for view in model.views for s in ((len(view.w),), (len(view.w),) * 2)]
 
@@ -344,7 +391,21 @@ def _pseudo_sums(distinct: DataFrame, teacher: CoTrained, model: CoTrained, cuts
                     out[2 * (1 - k) + 1] += hess
         yield _counts.floats(out)
 
-    found = _counts.total_floats(distinct.mapInArrow(scan, _counts.SCHEMA), shapes)
+    def own_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, model = shared.value
+        out = [np.zeros(s) for s in shapes]
+        for batch in batches:
+            for k, x in enumerate(_arrays(batch) if batch.num_rows else ()):
+                grad, hess = model.views[k].sums(x, batch.column("label").to_numpy(), batch.column("weight").to_numpy())
+                out[2 * k] += grad
+                out[2 * k + 1] += hess
+        yield _counts.floats(out)
+
+    sums = distinct.mapInArrow(scan, _counts.SCHEMA)
+    if labelled is not None:
+        sums = sums.unionAll(labelled.where("weight > 0").select("text_view", "meta_view", "label", "weight").mapInArrow(own_labels, _counts.SCHEMA))
+    found = _counts.total_floats(sums, shapes)
+    shared.unpersist()
     return [(found[0], found[1]), (found[2], found[3])]
 
 

@@ -53,6 +53,8 @@ _BIN, _RANGE = 0.02, 40.0
 #: bytes of text handled at a time: temporaries are about 100 times that
 _CHUNK = 1 << 18
 N_FEATURES = LEVELS << HASH_BITS
+#: features that are weighed at a time
+_SLICE = 1 << 16
 
 
 def features_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -111,17 +113,23 @@ def count_features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
 
 def choose_features(positive: np.ndarray, unlabelled: np.ndarray, n_p: int, n_u: int, prior: float) -> np.ndarray:
     """Features by their log-likelihood ratio statistic, positives against all documents less the positives hidden in them, as the module says."""
-    p = (positive + 0.5) / (n_p + 1)
-    u = (positive + unlabelled + 0.5) / (n_p + n_u + 1)
-    q = np.maximum((u - prior * p) / max(1 - prior, 1e-9), 0.5 / (n_p + n_u + 1))
-    gain = n_p * (p * np.log(p / q) + (1 - p) * np.log((1 - p) / np.maximum(1 - q, 1e-9)))
-    for least in (2, 1):  # what one positive has may be no more than its own, but is better than nothing
-        known = np.flatnonzero((p > q) & (positive >= least))
-        if len(known):
-            break
-    order = known[np.argsort(-gain[known], kind="stable")]
-    gain = gain[order]
-    looked_at = max(1, int(np.count_nonzero(positive + unlabelled)))
+    known, gains, looked_at = [], [], 0
+    for i in range(0, len(positive), _SLICE):
+        own, other = positive[i : i + _SLICE], unlabelled[i : i + _SLICE]
+        looked_at += int(np.count_nonzero(own + other))
+        p = (own + 0.5) / (n_p + 1)
+        u = (own + other + 0.5) / (n_p + n_u + 1)
+        q = np.maximum((u - prior * p) / max(1 - prior, 1e-9), 0.5 / (n_p + n_u + 1))
+        at = np.flatnonzero((p > q) & (own >= 1))
+        p, q = p[at], q[at]
+        known.append(at + i)
+        gains.append(n_p * (p * np.log(p / q) + (1 - p) * np.log((1 - p) / np.maximum(1 - q, 1e-9))))
+    known, gain, looked_at = np.concatenate(known), np.concatenate(gains), max(1, looked_at)
+    several = positive[known] >= 2  # what one positive has may be no more than its own, but is better than nothing
+    if several.any():
+        known, gain = known[several], gain[several]
+    order = np.argsort(-gain, kind="stable")
+    order, gain = known[order], gain[order]
     real = np.flatnonzero(np.exp(-gain) * looked_at <= FALSE * np.arange(1, len(gain) + 1))
     n = min(int(real[-1]) + 1 if len(real) else 0, int((gain >= NATS * n_p).sum()))
     return np.sort(order[: max(n, FEWEST)])
@@ -178,15 +186,11 @@ def _sums(table: DataFrame, w: np.ndarray, b: float) -> tuple[np.ndarray, np.nda
             for k, own in enumerate((n_p * (up - 1), n_p * up, n_u * up)):
                 grad[k, :n] += np.bincount(flat, weights=own[row], minlength=n)
                 grad[k, n] += own.sum()
-        flat = np.concatenate([risk, grad.reshape(-1)])
-        at = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(flat[at])], ["at", "value"])
+        yield _counts.floats([risk, grad])
 
-    out = np.zeros(3 + 3 * (n + 1))
-    for row in table.mapInArrow(scan, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():  # three for each feature, whatever the input
-        out[row["at"]] = row["value"]
+    risk, grad = _counts.total_floats(table.mapInArrow(scan, _counts.SCHEMA), [(3,), (3, n + 1)])  # three for each feature, whatever the input
     shared.unpersist()
-    return out[:3], out[3:].reshape(3, n + 1)
+    return risk, grad
 
 
 def fit(table: DataFrame, n_features: int, n_p: int, n_u: int, prior: float) -> tuple[np.ndarray, float]:
@@ -286,6 +290,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Callable, label: str = "
         return NOTHING
     prior = min(max(share if prior is None else prior, 1e-4), 0.5)
     features = choose_features(positive, unlabelled, n_p, n_u, prior)
+    del positive, unlabelled
+    give_back()
     if not len(features):
         return NOTHING
     table = patterns(rows, features)

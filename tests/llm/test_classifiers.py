@@ -1,10 +1,12 @@
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from assayframe.llm import quality, toxicity
+from assayframe.llm import _counts, quality, toxicity
+from assayframe.llm._shared import written
 
 
 def _auc(score, label):
@@ -241,3 +243,72 @@ def test_quality_does_not_depend_on_the_order_of_rows(spark):
     copies = docs.unionByName(docs.where("doc_id % 3 = 0").withColumns({"doc_id": F.col("doc_id") + 1_000_000, "lang": F.lit("xx"), "source": F.lit("other"), "n_chars": F.lit(1).cast("bigint")}))
     a, b = (quality.quality_scores(d, labels).select("doc_id", "score").toPandas().sort_values("doc_id")["score"].to_numpy() for d in (copies.repartition(3, F.rand(1)), copies.orderBy(F.desc("n_chars")).repartition(5, F.rand(2))))
     assert np.allclose(a, b, atol=1e-9)
+
+
+def test_labelled_rows_do_not_come_to_the_driver(spark, monkeypatch):
+    path = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    table = written(quality.views(docs), "views")
+    came = []
+    frame = type(table)
+    for name in ("toArrow", "toPandas", "collect"):
+
+        def seen(self, *args, _plain=getattr(frame, name)):
+            came.append(self.columns)
+            return _plain(self, *args)
+
+        monkeypatch.setattr(frame, name, seen)
+    model = quality.train(table, labels)
+    assert isinstance(model, quality.CoTrained) and came
+    assert not [columns for columns in came if {"text_view", "meta_view", "doc_id"} & set(columns)]
+
+
+def test_models_expand_few_rows_at_a_time():
+    rng = np.random.default_rng(5)
+    x, y, weight = rng.random((5000, 6), np.float32), (rng.random(5000) > 0.4).astype(float), rng.random(5000)
+    model = quality.Logistic(3, 4).prepare(x)
+    model.w = rng.standard_normal(len(model.w))
+    z = model.expand(x)
+    p = 1 / (1 + np.exp(-np.clip(z @ model.w, -30, 30)))
+    sizes, plain = [], model.expand
+    model.expand = lambda own: sizes.append(len(own)) or plain(own)
+    grad, hess = model.sums(x, y, weight)
+    assert np.allclose(grad, z.T @ (weight * (p - y))) and np.allclose(hess, (z * (weight * p * (1 - p))[:, None]).T @ z)
+    assert np.allclose(model.logits(x), np.clip(z @ model.w, -30, 30)) and model.logits(x[:0]).shape == (0,)
+    assert max(sizes) <= quality._ROWS < len(x)
+
+
+def test_features_are_chosen_in_little_memory():
+    rng = np.random.default_rng(6)
+    positive, unlabelled = (rng.poisson(m, toxicity.N_FEATURES).astype(float) for m in (0.02, 1.0))
+    positive[1000:1040] = 90
+    tracemalloc.start()
+    chosen = toxicity.choose_features(positive, unlabelled, 100, 2000, 0.05)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(chosen) == list(range(1000, 1040))
+    assert peak < 2 * positive.nbytes
+
+
+def test_sums_of_arrays_take_few_tasks(spark):
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    shapes = [(3,), (2, 5)]
+
+    def scan(batches):
+        n = sum(batch.num_rows for batch in batches)
+        yield _counts.floats([np.full(s, float(n)) for s in shapes])
+
+    try:
+        spark.sparkContext.setJobGroup("sums of arrays", "")
+        got = _counts.total_floats(spark.range(0, 1000, 1, 5).mapInArrow(scan, _counts.SCHEMA), shapes)
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for job in tracker.getJobIdsForGroup("sums of arrays") for s in tracker.getJobInfo(job).stageIds}
+        tasks = sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert [g.tolist() for g in got] == [np.full(s, 1000.0).tolist() for s in shapes]
+    assert 5 <= tasks <= 5 + _counts.ADDERS + 1
